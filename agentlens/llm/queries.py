@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.license_scan import OP2_SQL, op2
+from agentlens.llm.near_dedup import op6
 
 QUERIES = {
     "op2_license_scan": op2,
     "op4_exact_dedup": op4,
+    "op6_near_dedup": op6,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
