@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from agentlens.llm.decontaminate import op10
 from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.license_scan import OP2_SQL, op2
 from agentlens.llm.near_dedup import op6
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_license_scan": op2,
     "op4_exact_dedup": op4,
     "op6_near_dedup": op6,
+    "op10_decontaminate": op10,
 }
 ORACLES = {
     "op2_license_scan": OP2_SQL,
