@@ -6,11 +6,13 @@ from agentlens.llm.decontaminate import op10
 from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.license_scan import OP2_SQL, op2
 from agentlens.llm.near_dedup import op6
+from agentlens.llm.token_files import op9
 
 QUERIES = {
     "op2_license_scan": op2,
     "op4_exact_dedup": op4,
     "op6_near_dedup": op6,
+    "op9_token_files": op9,
     "op10_decontaminate": op10,
 }
 ORACLES = {
