@@ -7,8 +7,10 @@ from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.license_scan import OP2_SQL, op2
 from agentlens.llm.near_dedup import op6
 from agentlens.llm.token_files import op9
+from agentlens.llm.warc import OP1_SQL, op1
 
 QUERIES = {
+    "op1_warc": op1,
     "op2_license_scan": op2,
     "op4_exact_dedup": op4,
     "op6_near_dedup": op6,
@@ -16,6 +18,7 @@ QUERIES = {
     "op10_decontaminate": op10,
 }
 ORACLES = {
+    "op1_warc": OP1_SQL,
     "op2_license_scan": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
