@@ -53,3 +53,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept back from fitting: crc32 of the id as text, modulo 3, is 1. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches that go to Python hold fewer rows than Spark's 10,000, as a row here may be a very long text."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import table
+from agentlens.llm.common import bounded_batches, table
 
 _GAPS = re.compile(r"[\W_]+")
 SCHEMA = "doc_id long, item_id long, distance int, budget int, start long, end long"
@@ -114,6 +114,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.
     ``min_chars`` and null or empty items match nothing; null and empty documents hold nothing. Equal items are reported
     each; rows that repeat an id are matched each by itself. Other columns are not read; an empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     items = sorted((int(r["item_id"]), t) for r in benchmark.select("item_id", "text").toLocalIterator() if r["item_id"] is not None and len(t := normalised(r["text"])) >= min_chars)
     parts: list[list[tuple[int, str]]] = [[]]
     held = 0

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import table, written
+from agentlens.llm.common import bounded_batches, table, written
 from agentlens.llm.components import connected_components
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
@@ -150,6 +150,7 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
     A link is missed only if no band agrees, which at the threshold of 0.85 happens with probability
     (1 - 0.85 ** rows) ** bands = 2e-7 (at 0.8: 3e-5).
     """
+    bounded_batches(docs.sparkSession)
     most = most_differing(per_100 / 100, bands * rows)
     made = written(sketches(docs, size, bands, rows), "sketches")
     with_set = made.filter("doc_id IS NOT NULL AND n_shingles > 0")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import new_path, table
+from agentlens.llm.common import bounded_batches, new_path, table
 
 EVERY, BLOCK_IDS, FILE_IDS = 128, 2_000_000, 16_000_000
 MAGIC = b"HUF1"
@@ -215,6 +215,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     null ids first; returns the manifest. Rows that repeat an id follow each other in the order of their ids' crc32."""
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
+    bounded_batches(spark)
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
