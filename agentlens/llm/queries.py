@@ -7,6 +7,7 @@ from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.license_scan import OP2_SQL, op2
 from agentlens.llm.near_dedup import op6
 from agentlens.llm.quality import op3
+from agentlens.llm.substring_dedup import op7
 from agentlens.llm.token_files import op9
 from agentlens.llm.toxicity import op5
 from agentlens.llm.warc import OP1_SQL, op1
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_exact_dedup": op4,
     "op5_toxicity": op5,
     "op6_near_dedup": op6,
+    "op7_substring_dedup": op7,
     "op9_token_files": op9,
     "op10_decontaminate": op10,
 }
