@@ -7,10 +7,13 @@
 3. Candidates: in every band bucket each member is compared with the bucket's smallest id (linear in the bucket). A pair
    goes on if its sketches differ in so few bits as a pair at the threshold does, but for one in about 100,000.
 4. Exact check of what remains, on the full sets.
-5. Buckets whose members are not yet in one component are compared in full: their members are dealt over blocks, and each
-   pair of blocks is one group of bounded size; pairs inside a component are left out. Only pairs that pass the sketch
-   become rows, and they are checked on full sets too. So no bucket has a cap and no link is lost to the stars.
-6. Components of all links; the smallest id of each stays.
+5. Clusters of documents that close stars tie together, but whose confirmed links leave in several components, are
+   compared in full: their members are dealt over blocks, each pair of blocks is one group of bounded size, and the full
+   sets meet there as matrices. Only links that join two components become rows.
+6. Buckets whose members are still in several components are compared in the same blocks, by sketch; pairs of one cluster
+   or component are left out, and what is close enough is checked on full sets. So no bucket has a cap and no link is
+   lost to the stars.
+7. Components of all links; the smallest id of each stays.
 """
 
 from __future__ import annotations
@@ -101,41 +104,96 @@ def _alike(a: str, b: str, per_100: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(per_100) * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, per_100: int) -> DataFrame:
-    """Of (a, b), those whose full sets satisfy 100 * intersection >= per_100 * union."""
+def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The sets of the documents in (a, b). Rows that repeat an id have a set each; a link of any is a link of the id."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # Rows that repeat an id have one set here each; a link of any of them is a link of the id.
-    sets = written(_sets(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"), size), "sets")
+    return written(_sets(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"), size), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
+    """Of (a, b), those whose full sets satisfy 100 * intersection >= per_100 * union."""
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("k"))
     return both.filter(F.lit(100) * F.col("k") >= F.lit(per_100) * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b").distinct()
 
 
-def _crossing(open_rows: DataFrame, most: int, per_100: int) -> DataFrame:
-    """Pairs of one bucket and different components whose sketches are close enough: (a, b). open_rows: key, n (rows of
-    the bucket), doc_id, component, n_shingles, sketch."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a group of n dealt over blocks, each row once for every block that its own meets: columns i <= j, mine."""
     blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    dealt = open_rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component", "n_shingles", "sketch")
+    dealt = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 16384) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices of ``width`` values at a time."""
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    _, rank, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[rank] > 1  # a value of one set adds to no intersection
+    rank, owner = rank[shared], owner[shared]
+    rank = np.unique(rank, return_inverse=True)[1]
+    order = np.argsort(rank, kind="stable")
+    rank, owner = rank[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        at = slice(*np.searchsorted(rank, (lo, lo + width)))
+        m = np.zeros((len(left) + len(right), width), np.float32)
+        m[owner[at], rank[at] - lo] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _within(open_rows: DataFrame, per_100: int) -> DataFrame:
+    """Links (a, b) on full sets between components of one cluster, enough to join what can be joined in a pair of
+    blocks. open_rows: cluster, n, doc_id, component, shingles."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
+        mine = pdf["mine"].to_numpy()
+        lower, upper = (np.flatnonzero(mine == pdf[c].to_numpy()) for c in ("i", "j"))
+        ids, comp, sets = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy(), pdf["shingles"].tolist()
+        k = intersections([sets[x] for x in lower], [sets[y] for y in upper]).astype(np.int64)
+        n = np.array([len(s) for s in sets])
+        linked = 100 * k >= per_100 * (n[lower][:, None] + n[upper][None, :] - k)
+        over = {c: c for c in comp.tolist()}
+
+        def top(c: int) -> int:
+            while over[c] != c:
+                over[c] = c = over[over[c]]
+            return c
+
+        a, b = [], []
+        for x, y in zip(*np.nonzero(linked & (comp[lower][:, None] != comp[upper][None, :])), strict=True):
+            p, q = top(int(comp[lower[x]])), top(int(comp[upper[y]]))
+            if p != q:
+                over[max(p, q)] = min(p, q)
+                a.append(int(ids[lower[x]]))
+                b.append(int(ids[upper[y]]))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return _dealt(open_rows).groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _crossing(open_rows: DataFrame, most: int, per_100: int) -> DataFrame:
+    """Pairs (a, b) of one bucket but different components and clusters whose sketches are close enough. open_rows: key,
+    n (rows of the bucket), doc_id, component, cluster, n_shingles, sketch."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
-        lower = pdf["mine"].to_numpy() == pdf["i"].to_numpy()
-        upper = pdf["mine"].to_numpy() == pdf["j"].to_numpy()
-        ids, comp, n = (pdf[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        mine = pdf["mine"].to_numpy()
+        lower, right = (np.flatnonzero(mine == pdf[c].to_numpy()) for c in ("i", "j"))
+        ids, comp, cluster, n = (pdf[c].to_numpy() for c in ("doc_id", "component", "cluster", "n_shingles"))
         bits = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        right = np.flatnonzero(upper)
         a, b = [], []
-        for x in np.flatnonzero(lower):
-            y = right[(ids[right] != ids[x]) & (comp[right] != comp[x])]
+        for x in lower:
+            y = right[(comp[right] != comp[x]) & (cluster[right] != cluster[x])]
             y = y[100 * np.minimum(n[y], n[x]) >= per_100 * np.maximum(n[y], n[x])]
             y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= most]
             a += [ids[x]] * len(y)
             b += ids[y].tolist()
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    found = dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    found = _dealt(open_rows).groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -167,17 +225,29 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
         return pairs.join(one, "a").join(two, "b").filter(_alike("n", "m", per_100) & (differing_bits("s", "t") <= most)).select("a", "b").distinct()
 
     stars = buckets.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = written(confirmed(written(close(stars), "pairs"), docs, size, per_100), "links")
-    first = written(connected_components(links), "components")
-
-    placed = buckets.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    # A bucket of two was settled by its star.
-    open_rows = placed.filter("n > 2").join(open_keys, "key", "left_semi").join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    crossing = written(_crossing(open_rows.select("key", "n", "doc_id", "component", "n_shingles", "sketch"), most, per_100).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = confirmed(crossing, docs, size, per_100)
-    # The first round's components stand for its links.
-    final = connected_components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("id", "head")
+    near = written(close(stars), "pairs")
+    sets = sets_of(near, docs, size)
+    as_links = lambda c: c.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    first = written(connected_components(confirmed(near, sets, per_100)), "components")
+    clusters = written(connected_components(near).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+
+    def placed(rows: DataFrame, components: DataFrame) -> DataFrame:
+        return rows.join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def open_groups(rows: DataFrame, key: str) -> DataFrame:
+        """The groups of more than two (a star settles two) in several components: key, n."""
+        by = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+        return by.filter("n > 2 AND lo <> hi").select(key, "n")
+
+    in_clusters = placed(clusters, first)
+    within = _within(in_clusters.join(open_groups(in_clusters, "cluster"), "cluster").join(sets, "doc_id"), per_100)
+    second = written(connected_components(as_links(first).union(within)), "components")
+    in_buckets = placed(buckets.select("key", "doc_id"), second)
+    open_rows = in_buckets.join(open_groups(in_buckets, "key"), "key").join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id")).join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    crossing = written(_crossing(open_rows, most, per_100), "pairs")
+    more = confirmed(crossing, sets_of(crossing, docs, size), per_100)
+    # Components stand for their links.
+    final = connected_components(as_links(second).union(more)).withColumnRenamed("id", "head")
     rows_out = made.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left").join(final, "head", "left")
     by_row = rows_out.select("doc_id", "n_shingles", F.coalesce("component", "head", "doc_id").alias("component_id"))
     return by_row.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
