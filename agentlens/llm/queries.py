@@ -5,6 +5,7 @@ from __future__ import annotations
 from agentlens.llm.decontaminate import op10
 from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.license_scan import OP2_SQL, op2
+from agentlens.llm.mixing import op8
 from agentlens.llm.near_dedup import op6
 from agentlens.llm.quality import op3
 from agentlens.llm.substring_dedup import op7
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5,
     "op6_near_dedup": op6,
     "op7_substring_dedup": op7,
+    "op8_mixing": op8,
     "op9_token_files": op9,
     "op10_decontaminate": op10,
 }
