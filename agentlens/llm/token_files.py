@@ -47,14 +47,16 @@ class Encoder:
     and never joins across it, so the stretches' ids in a row are the ids of the whole text.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         self.inner.no_padding()
         self.inner.no_truncation()
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        # Two generations: what the older one still has is not encoded again when the newer one is full.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = limit
 
     @staticmethod
@@ -69,8 +71,11 @@ class Encoder:
         split = [self.stretches(t) if t else [] for t in texts]
         new = list({s: None for parts in split for s in parts if s not in self.known})
         if len(self.known) + len(new) > self.limit:
-            self.known = {}
+            self.known, self.older = {}, self.known
             new = list({s: None for parts in split for s in parts})
+        if self.older:
+            self.known.update((s, self.older[s]) for s in new if s in self.older)
+            new = [s for s in new if s not in self.known]
         for i in range(0, len(new), 50_000):
             some = new[i : i + 50_000]
             for s, e in zip(some, self.inner.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -79,6 +84,16 @@ class Encoder:
         return [b"".join(map(of, parts)) for parts in split]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its memory serves all the tasks that the worker runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, ids (bytes, 2 or 4 an id), with the end id; null and empty texts have the end id alone."""
 
@@ -86,7 +101,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = Encoder(tokenizer)
+        coder = encoder(tokenizer)
         end = np.array([end_id], coder.dtype).tobytes()
         for batch in batches:
             for i in range(0, len(batch), 1000):
