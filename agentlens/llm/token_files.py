@@ -31,7 +31,7 @@ from agentlens.llm.common import bounded_batches, new_path, table
 
 EVERY, BLOCK_IDS, FILE_IDS = 128, 2_000_000, 16_000_000
 MAGIC = b"HUF1"
-_BESIDE = re.compile(r" \s|\s ")
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 def default_tokenizer() -> str:
@@ -61,8 +61,9 @@ class Encoder:
 
     @staticmethod
     def stretches(text: str) -> list[str]:
-        parts = text.split(" ")
-        if _BESIDE.search(text) is None and parts[-1] and parts[0]:
+        # As many words as white space has characters, and one: each stands alone between two words.
+        if len(text.split()) == 1 + sum(map(text.count, SPACES)):
+            parts = text.split(" ")
             return [parts[0], *[" " + p for p in parts[1:]]]
         parts = re.split(r"(?<=\S) (?=\S)", text)
         return [parts[0], *[" " + p for p in parts[1:]]]
