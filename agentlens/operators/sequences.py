@@ -26,14 +26,14 @@ def drift_alerts(decisions: DataFrame, sigma: float = 2.0, window: int = 50, lea
     return rows.filter((F.col("n") >= least) & (F.col("n") % every == 0) & (F.col("std") > 0) & (F.col("recent") < F.col("mean") - sigma * F.col("std"))).withColumn("sigmas", (F.col("mean") - F.col("recent")) / F.col("std"))
 
 
-def budget_pacer(decisions: DataFrame, ceiling: float, eta: float = 0.5, window: int = 100, key: str | None = None) -> DataFrame:
+def budget_pacer(decisions: DataFrame, ceiling: float, key: str, eta: float = 0.5, window: int = 100) -> DataFrame:
     """The pacer's multiplier after each decision. The recursion max(0, last + step) is a reflected walk: the running sum
-    of the steps less its running minimum (0 at most), so two windows give it. ``key``: tenants are paced apart."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy("id")
+    of the steps less its running minimum (0 at most), so two windows give it. ``key`` is the tenant; tenants are paced apart."""
+    w = Window.partitionBy(key).orderBy("id")
     mean = F.avg("cost_usd").over(w.rowsBetween(1 - window, 0))
     rows = decisions.withColumn("mean_cost", mean).withColumn("s", F.sum(eta * (F.col("mean_cost") - ceiling)).over(w.rowsBetween(ALL, 0)))
     lam = F.col("s") - F.least(F.lit(0.0), F.min("s").over(w.rowsBetween(ALL, 0)))
-    return rows.select(*([key] if key else []), "id", "mean_cost", lam.alias("multiplier"), (F.lit(ceiling) - F.col("mean_cost")).alias("headroom"), (F.col("mean_cost") > ceiling).alias("over"))
+    return rows.select(key, "id", "mean_cost", lam.alias("multiplier"), (F.lit(ceiling) - F.col("mean_cost")).alias("headroom"), (F.col("mean_cost") > ceiling).alias("over"))
 
 
 def regret(rows: DataFrame, key: str, order: str, oracle: Column, actual: Column, n: int = 20) -> DataFrame:
@@ -110,13 +110,21 @@ def age_cap(episodes: DataFrame, limit: int = 10_000, drop_share: float = 0.1) -
     return episodes.orderBy(F.desc("id")).limit(kept)
 
 
-def pareto_front(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Points that no other point beats in one cost without losing in the other; equal points stay together. One row for
-    each x is enough to sweep, so the sweep sees distinct x only."""
-    best = points.groupBy(x).agg(F.min(y).alias("_least"))
-    before = F.min("_least").over(Window.partitionBy(F.lit(0)).orderBy(x).rowsBetween(ALL, -1))
-    front = best.withColumn("_b", before).filter("_b IS NULL OR _least < _b").select(x, "_least")
-    return points.join(front, x).filter(F.col(y) == F.col("_least")).drop("_least")
+def pareto_front(points: DataFrame, x: str, y: str, bins: int = 1024) -> DataFrame:
+    """Points that no other point beats in one cost without losing in the other; equal points stay together.
+
+    Two levels: x is cut into bins, the least y of all earlier bins is carried into each (a window over the bins only),
+    and points are swept inside their bin. A point that the carry already beats leaves before the sweep."""
+    ends = points.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")).withColumn("_one", F.lit(1))
+    at = F.coalesce(F.floor(F.try_divide((F.col(x) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(0))
+    placed = points.withColumn("_one", F.lit(1)).join(ends, "_one").withColumn("_bin", at).drop("_one", "_lo", "_hi")
+    by_bin = placed.groupBy("_bin").agg(F.min(y).alias("_m"))
+    carry = by_bin.select("_bin", F.min("_m").over(Window.orderBy("_bin").rowsBetween(ALL, -1)).alias("_carry"))
+    left = placed.join(carry, "_bin").filter(F.col("_carry").isNull() | (F.col(y) < F.col("_carry")))
+    least = left.groupBy("_bin", x).agg(F.min(y).alias("_least"))
+    before = F.min("_least").over(Window.partitionBy("_bin").orderBy(x).rowsBetween(ALL, -1))
+    front = least.withColumn("_b", before).filter("_b IS NULL OR _least < _b").select("_bin", x, "_least")
+    return left.join(front, ["_bin", x]).filter(F.col(y) == F.col("_least")).drop("_least", "_bin", "_carry")
 
 
 def knee(front: DataFrame, x: str, y: str, name: str) -> DataFrame:
