@@ -29,7 +29,9 @@ from agentlens.llm.common import bounded_batches, table, written
 from agentlens.llm.components import connected_components
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
-BANDS, ROWS, SKETCH_WORDS, BLOCK = 26, 5, 8, 256
+BANDS, ROWS, SKETCH_WORDS = 26, 5, 8
+#: Rows, and shingles where sets travel, of a block at most (a single longer set is a block of its own).
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 
 
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
@@ -118,14 +120,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of a group of n dealt over blocks, each row once for every block that its own meets: columns i <= j, mine."""
+    """Rows of a group of n (with ``total`` shingles, if sets travel) dealt over blocks, each row once for every block that
+    its own meets: columns i <= j, mine."""
     blocks = F.ceil(F.col("n") / BLOCK)
+    if "total" in rows.columns:
+        blocks = F.greatest(blocks, F.ceil(F.col("total") / BLOCK_SHINGLES))
     dealt = rows.withColumn("mine", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n")
+    return dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n", "total")
 
 
-def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 16384) -> np.ndarray:
-    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices of ``width`` values at a time."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices of at most ``cells`` cells."""
     values = np.concatenate([*left, *right])
     owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
     _, rank, times = np.unique(values, return_inverse=True, return_counts=True)
@@ -135,6 +140,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
     order = np.argsort(rank, kind="stable")
     rank, owner = rank[order], owner[order]
     out = np.zeros((len(left), len(right)), np.float32)
+    width = max(256, cells // (len(left) + len(right)))
     for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
         at = slice(*np.searchsorted(rank, (lo, lo + width)))
         m = np.zeros((len(left) + len(right), width), np.float32)
@@ -240,7 +246,9 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
         return by.filter("n > 2 AND lo <> hi").select(key, "n")
 
     in_clusters = placed(clusters, first)
-    within = _within(in_clusters.join(open_groups(in_clusters, "cluster"), "cluster").join(sets, "doc_id"), per_100)
+    in_open = written(in_clusters.join(open_groups(in_clusters, "cluster"), "cluster").join(sets, "doc_id"), "open")
+    total = in_open.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("total"))
+    within = _within(in_open.join(total, "cluster"), per_100)
     second = written(connected_components(as_links(first).union(within)), "components")
     in_buckets = placed(buckets.select("key", "doc_id"), second)
     open_rows = in_buckets.join(open_groups(in_buckets, "key"), "key").join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id")).join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
