@@ -25,7 +25,7 @@ SELECT event_id AS id, ts, CAST(user_id AS VARCHAR(20)) AS task_id,
  FROM events""",
     "v_task_metrics": """
 SELECT l_orderkey AS task_id, CASE WHEN l_suppkey % 3=0 THEN 'cloud:a' ELSE 'local:m' || CAST(l_suppkey % 3 AS VARCHAR(20)) END AS agent_name,
- p.p_type AS capability_bucket, l_quantity*1000 AS wall_time_ms, CAST(l_extendedprice/100 AS BIGINT) AS tokens_generated,
+ p.p_type AS capability_bucket, l_quantity*1000 AS wall_time_ms, CAST(floor(l_extendedprice/100) AS BIGINT) AS tokens_generated,
  CAST(l_quantity*10 AS BIGINT) AS prompt_tokens, CASE WHEN l_returnflag='N' THEN NULL WHEN l_returnflag='R' THEN 1 ELSE 0 END AS success,
  1-l_discount*5 AS quality_score, l_tax*10 AS reward_score, CASE WHEN l_suppkey % 3=0 THEN l_extendedprice/100000 ELSE CAST(0 AS DOUBLE) END AS cost_usd, l_shipdate AS ts,
  l_orderkey * 10 + l_linenumber AS id
