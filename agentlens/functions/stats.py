@@ -32,8 +32,8 @@ def wilson(k: Column, n: Column, z: float = Z95, empty: tuple[float, float] = (0
     centre = (p + zz / (2 * some)) / (1 + zz / some)
     half = z * F.sqrt(p * (1 - p) / some + zz / (4 * some * some)) / (1 + zz / some)
     return F.struct(
-        F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(empty[0])).alias("lo"),
-        F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(empty[1])).alias("hi"),
+        F.when(n > 0, F.greatest(F.lit(0.0), centre - half)).otherwise(empty[0]).alias("lo"),
+        F.when(n > 0, F.least(F.lit(1.0), centre + half)).otherwise(empty[1]).alias("hi"),
     )
 
 

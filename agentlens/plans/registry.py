@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -33,6 +32,5 @@ def query(name: str, views: str, sql: str | None, digits: int = 6) -> Callable:
     return wrap
 
 
-for _module in ("audit", "decisions", "text", "joins", "reports", "ranking", "learning"):
-    if importlib.util.find_spec(f"agentlens.plans.{_module}_queries") is not None:
-        importlib.import_module(f"agentlens.plans.{_module}_queries")
+for _module in ("audit", "decisions", "text", "joins", "reports", "learning", "streams"):
+    importlib.import_module(f"agentlens.plans.{_module}_queries")
