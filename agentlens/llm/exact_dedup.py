@@ -32,15 +32,10 @@ def duplicate_groups(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     Of a group, the row with the most code points in the original text stays, then the smallest doc_id (null ids last).
     """
     keyed = _keyed(docs, prefix_chars)
-    lengths = keyed.groupBy("n_plain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("n_plain")
-    prefixes = (
-        keyed.select("n_plain", "prefix_hash")
-        .join(lengths, "n_plain", "left_semi")
-        .groupBy("n_plain", "prefix_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("n_plain", "prefix_hash")
-    )
+    # Rows are counted by length and prefix before they move, so a hot length is a few rows a task.
+    counted = keyed.groupBy("n_plain", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))
+    lengths = counted.groupBy("n_plain").agg(F.sum("n").alias("rows")).filter("rows > 1").select("n_plain")
+    prefixes = counted.join(lengths, "n_plain", "left_semi").filter("n > 1").select("n_plain", "prefix_hash")
     survivors = keyed.select("doc_id", "n_points", "n_plain", "prefix_hash", F.sha2("plain", 256).alias("text_sha256")).join(prefixes, ["n_plain", "prefix_hash"], "left_semi")
     # Smaller ids win among equal code points: the least struct of (negated points, null flag, id).
     return (
