@@ -335,14 +335,19 @@ def predicted(rows: DataFrame, weights: list[float], column: str = "p") -> DataF
     return rows.withColumn(column, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
 
 
-def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Area under the curve by rank sums: scores are counted by value first, so the window is over distinct scores."""
-    by = by or []
+def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None, bins: int = 1024) -> DataFrame:
+    """Area under the curve by rank sums. Scores are counted by value, values are ranked inside a bin of the score's range,
+    and a bin starts after the rows of all bins before it (a window over the bins only)."""
+    by = by or ["_all"]
+    rows = rows.withColumn("_all", F.lit(0))
     v = rows.groupBy(*by, score).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(label).cast("long")).alias("pos"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    r = v.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2)
+    ends = v.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    v = v.join(ends, by).withColumn("_bin", F.coalesce(F.floor(F.try_divide((F.col(score) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(0)))
+    start = v.groupBy(*by, "_bin").agg(F.sum("c").alias("_c")).withColumn("_before", F.sum("_c").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).drop("_c")
+    w = Window.partitionBy(*by, "_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    r = v.join(start, [*by, "_bin"]).withColumn("rank", F.col("_before") + F.sum("c").over(w) - (F.col("c") - 1) / 2)
     n1, n = F.sum("pos"), F.sum("c")
-    return r.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - n1 * (n1 + 1) / 2, (n1 * (n - n1)).cast("double")).alias("auc"))
+    return r.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - n1 * (n1 + 1) / 2, (n1 * (n - n1)).cast("double")).alias("auc")).drop("_all")
 
 
 def evaluation(rows: DataFrame, score: str = "p", label: str = "label") -> DataFrame:

@@ -8,13 +8,15 @@ from agentlens.operators import observe, sequences
 from agentlens.plans.registry import query
 
 D = "v_decisions"
-TS = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss")
-OVER = F.col("bandit_pick") != F.col("selected_agent")
+
+
+def _overridden():
+    return F.col("bandit_pick") != F.col("selected_agent")
 
 
 @query("p01_within_window", D, "SELECT bucket, count(*) AS n FROM v_decisions WHERE strftime(ts,'%Y-%m-%dT%H:%M:%S') >= '1995-03' AND substr(strftime(ts,'%Y-%m-%dT%H:%M:%S'),1,7) <= '2024-01' GROUP BY bucket")
 def within(d):
-    return d.filter(observe.within_window(TS, "1995-03", "2024-01")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return d.filter(observe.within_window(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "1995-03", "2024-01")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p02_epoch_window", "v_task_metrics", "SELECT agent_name, count(*) AS n FROM v_task_metrics WHERE epoch(ts) >= epoch(TIMESTAMP '1995-02-01 00:00:00') AND epoch(ts) <= epoch(TIMESTAMP '1996-03-15 23:59:59.999999') GROUP BY agent_name")
@@ -54,7 +56,7 @@ def filtered_stats_empty(d):
 
 @query("a19_composer_split", D, "SELECT count(*) FILTER (WHERE bandit_pick=selected_agent) AS n_yes, count(*) FILTER (WHERE bandit_pick<>selected_agent) AS n_no, round(avg(reward) FILTER (WHERE bandit_pick=selected_agent),6) AS mean_yes, round(avg(reward) FILTER (WHERE bandit_pick<>selected_agent),6) AS mean_no, round(avg(reward) FILTER (WHERE bandit_pick=selected_agent)-avg(reward) FILTER (WHERE bandit_pick<>selected_agent),6) AS delta FROM v_decisions WHERE reward IS NOT NULL")
 def composer_split(d):
-    return observe.split_means(d, ~OVER)
+    return observe.split_means(d, ~_overridden())
 
 
 @query("a20_escalations", D, "SELECT strategy, count(*) AS n, round(avg(reward),6) AS mean_reward, round(avg(cost_usd),6) AS mean_cost, round(avg(latency_s),6) AS mean_latency, round(count(*)*100.0::DOUBLE/(SELECT count(*) FROM v_decisions),6) AS per_100 FROM v_decisions WHERE escalated_to IS NOT NULL GROUP BY strategy")
@@ -64,7 +66,7 @@ def escalations(d):
 
 @query("a21_override_roi", D, "SELECT CASE WHEN bandit_pick<>selected_agent THEN 'overridden' ELSE 'kept' END AS kind, count(*) AS n, round(avg(reward),6) AS mean_reward, round(avg(1+CAST(k AS DOUBLE)/7),6) AS mean_weight, round(min(1+CAST(k AS DOUBLE)/7),6) AS min_weight, round(max(1+CAST(k AS DOUBLE)/7),6) AS max_weight FROM v_decisions GROUP BY 1")
 def override_roi(d):
-    return observe.override_roi(d, OVER, 1 + F.col("k").cast("double") / 7)
+    return observe.override_roi(d, _overridden(), 1 + F.col("k").cast("double") / 7)
 
 
 @query("a22_calibration", D, "WITH e AS (SELECT selected_agent AS agent, abs(CAST(k % 10 AS DOUBLE)/10 - reward) AS e FROM v_decisions WHERE reward IS NOT NULL AND k IS NOT NULL) SELECT agent, round(avg(e),6) AS mae, count(*) AS n FROM e GROUP BY agent UNION ALL SELECT NULL, round(avg(e),6), count(*) FROM e")

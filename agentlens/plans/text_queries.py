@@ -8,7 +8,6 @@ from agentlens.functions import text as X
 from agentlens.plans.registry import query
 
 R = "v_results"
-P, O, B = F.col("prompt"), F.col("output"), F.col("bucket")
 KEY = ["conv_id", "turn"]
 
 
@@ -28,22 +27,22 @@ FB = "CASE WHEN error>0.5 THEN 'debug' WHEN test>0.5 THEN 'test' WHEN refactor>0
 
 @query("p03_bucket", R, f"SELECT conv_id, turn, {BUCKET} AS b, CASE WHEN bucket IN ('research','plan') AND conv_id % 3=0 THEN bucket ELSE {BUCKET} END AS hinted FROM v_results")
 def bucket(r):
-    return r.select(*KEY, X.bucket_of(P).alias("b"), X.bucket_of(P, F.when(F.col("conv_id") % 3 == 0, B)).alias("hinted"))
+    return r.select(*KEY, X.bucket_of(F.col("prompt")).alias("b"), X.bucket_of(F.col("prompt"), F.when(F.col("conv_id") % 3 == 0, F.col("bucket"))).alias("hinted"))
 
 
 @query("p04_features", R, f"WITH {FEAT} SELECT conv_id, turn, round(word_count,6) AS word_count, round(code_density,6) AS code_density, question, round(tier,6) AS tier, round(files_n,6) AS files, error, creation, research, 0.0::DOUBLE AS queue FROM g")
 def features(r):
-    return r.select(*KEY, X.features(P).alias("f")).select(*KEY, *[f"f.{c}" for c in ("word_count", "code_density", "question", "tier", "files", "error", "creation", "research", "queue")])
+    return r.select(*KEY, X.features(F.col("prompt")).alias("f")).select(*KEY, *[f"f.{c}" for c in ("word_count", "code_density", "question", "tier", "files", "error", "creation", "research", "queue")])
 
 
 @query("p05_feature_bucket", R, f"WITH {FEAT} SELECT conv_id, turn, {FB} AS b FROM g")
 def feature_bucket(r):
-    return r.select(*KEY, X.feature_bucket(X.features(P)).alias("b"))
+    return r.select(*KEY, X.feature_bucket(X.features(F.col("prompt"))).alias("b"))
 
 
 @query("p06_classification_gate", R, f"WITH {FEAT} SELECT conv_id, turn, bucket, {FB} AS b FROM g WHERE {FB} <> bucket")
 def classification_gate(r):
-    return r.select(*KEY, "bucket", X.feature_bucket(X.features(P)).alias("b")).filter("b <> bucket")
+    return r.select(*KEY, "bucket", X.feature_bucket(X.features(F.col("prompt"))).alias("b")).filter("b <> bucket")
 
 
 REPLY = "CASE conv_id % 6 WHEN 0 THEN '{\"correct\" : TRUE}' || output WHEN 1 THEN 'so \"correct\":false' WHEN 2 THEN 'True, ' || turn WHEN 3 THEN 'FALSE' WHEN 4 THEN 'true or false' ELSE output END"
@@ -59,29 +58,29 @@ NUMS = "'Given $1,' || conv_id || ' and -' || turn || '.5, also 3/' || (turn % 3
 
 @query("p13_ordered_numbers", R, f"WITH r AS (SELECT conv_id, turn, regexp_extract_all(translate({NUMS}, ',$', ''), '-?\\d+(?:\\.\\d+)?\\s*/\\s*-?\\d+(?:\\.\\d+)?|-?\\d+(?:\\.\\d+)?') AS ts FROM v_results), v AS (SELECT conv_id, turn, list_filter([CASE WHEN contains(t,'/') THEN CAST(trim(split_part(t,'/',1)) AS DOUBLE)/nullif(CAST(trim(split_part(t,'/',2)) AS DOUBLE),0) ELSE CAST(t AS DOUBLE) END FOR t IN ts], lambda x: x IS NOT NULL) AS x FROM r) SELECT conv_id, turn, len(x)::INTEGER AS n, round(list_sum(x[-3:]),6) AS last_sum FROM v")
 def numbers(r):
-    text = F.concat(F.lit("Given $1,"), F.col("conv_id"), F.lit(" and -"), F.col("turn"), F.lit(".5, also 3/"), F.col("turn") % 3, F.lit(" or 7 / 4 then "), F.length(O))
+    text = F.concat(F.lit("Given $1,"), F.col("conv_id"), F.lit(" and -"), F.col("turn"), F.lit(".5, also 3/"), F.col("turn") % 3, F.lit(" or 7 / 4 then "), F.length(F.col("output")))
     return r.select(*KEY, F.size(X.ordered_numbers(text)).alias("n"), F.aggregate(X.ordered_numbers(text, 3), F.lit(0.0), lambda a, b: a + b).alias("last_sum"))
 
 
 @query("p14_extract_code", R, "SELECT conv_id, turn, CASE WHEN conv_id % 3=0 THEN 'x=' || turn WHEN conv_id % 3=1 THEN 'y' || chr(10) || 'z' ELSE trim(output) END AS code FROM v_results")
 def code(r):
     fenced = F.concat(F.lit("Sure\n```py\nx="), F.col("turn"), F.lit("\n```\nmore\n```\nno\n```"))
-    return r.select(*KEY, X.extract_code(F.when(F.col("conv_id") % 3 == 0, fenced).when(F.col("conv_id") % 3 == 1, F.lit("```js\ny\nz")).otherwise(O)).alias("code"))
+    return r.select(*KEY, X.extract_code(F.when(F.col("conv_id") % 3 == 0, fenced).when(F.col("conv_id") % 3 == 1, F.lit("```js\ny\nz")).otherwise(F.col("output"))).alias("code"))
 
 
 @query("p14_strip_chatter", R, "SELECT conv_id, turn, trim(prompt) AS body FROM v_results WHERE prompt NOT LIKE '%' || chr(10) || '%'")
 def chatter(r):
-    return r.filter(~F.contains(P, F.lit("\n"))).select(*KEY, X.strip_chatter(F.concat(F.lit("Sure, here you go\nCertainly!\n"), P, F.lit("\nLet me know if\nHope this helps"))).alias("body"))
+    return r.filter(~F.contains(F.col("prompt"), F.lit("\n"))).select(*KEY, X.strip_chatter(F.concat(F.lit("Sure, here you go\nCertainly!\n"), F.col("prompt"), F.lit("\nLet me know if\nHope this helps"))).alias("body"))
 
 
 @query("p15_text_hash", R, "SELECT conv_id, turn, CASE WHEN conv_id % 7=0 THEN NULL ELSE sha256(lower(trim(prompt))) END AS h FROM v_results")
 def text_hash(r):
-    return r.select(*KEY, X.text_hash(F.when(F.col("conv_id") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), P, F.lit(" ")))).alias("h"))
+    return r.select(*KEY, X.text_hash(F.when(F.col("conv_id") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("prompt"), F.lit(" ")))).alias("h"))
 
 
 @query("p16_without_trailers", R, "SELECT conv_id, turn, trim(prompt) AS body FROM v_results WHERE prompt NOT LIKE '%' || chr(10) || '%'")
 def trailers(r):
-    return r.filter(~F.contains(P, F.lit("\n"))).select(*KEY, X.without_trailers(F.concat(F.trim(P), F.lit("\n\nSigned-off-by: A <a@b>\n folded\nCc: x y\n"))).alias("body"))
+    return r.filter(~F.contains(F.col("prompt"), F.lit("\n"))).select(*KEY, X.without_trailers(F.concat(F.trim(F.col("prompt")), F.lit("\n\nSigned-off-by: A <a@b>\n folded\nCc: x y\n"))).alias("body"))
 
 
 @query("p18_agent_and_model", "v_attempts", "SELECT DISTINCT arm, 'tool' AS agent, 'm:' || arm AS model FROM v_attempts")
@@ -91,7 +90,7 @@ def agent_and_model(a):
 
 @query("p21_complexity_tier", R, f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(agent || ' ' || prompt), '{_alts(X.COMPLEX_PHRASES)}') OR len({WORDS('agent || chr(32) || prompt')}) > 60 THEN 3 ELSE 1 END AS tier FROM v_results")
 def tier(r):
-    return r.select(*KEY, X.complexity_tier(F.col("agent"), P).alias("tier"))
+    return r.select(*KEY, X.complexity_tier(F.col("agent"), F.col("prompt")).alias("tier"))
 
 
 TOK = lambda c: f"list_filter(list_distinct([lower(w) FOR w IN regexp_extract_all({c}, '[A-Za-z0-9_]+')]), lambda w: w NOT IN ({','.join(repr(w) for w in X.STOPWORDS)}))"
@@ -105,25 +104,25 @@ c AS (SELECT conv_id, turn, bucket, CASE WHEN len(ow)=0 THEN 0.0 WHEN len(ow)<5
 
 @query("m03_prose_components", R, f"WITH {PARTS} SELECT conv_id, turn, round(structural,6) AS structural, round(novelty,6) AS novelty, not_plan, round(length,6) AS length FROM c")
 def components(r):
-    return r.select(*KEY, X.prose_components(P, O, B).alias("c")).select(*KEY, "c.*")
+    return r.select(*KEY, X.prose_components(F.col("prompt"), F.col("output"), F.col("bucket")).alias("c")).select(*KEY, "c.*")
 
 
 @query("m03_quality_score", R, f"WITH {PARTS} SELECT conv_id, turn, round(round(least(0.45*structural+0.25*novelty+0.2*not_plan+0.1*length,1.0),4),3) AS score FROM c", 3)
 def quality(r):
-    return r.select(*KEY, X.quality_score(P, O, B).alias("score"))
+    return r.select(*KEY, X.quality_score(F.col("prompt"), F.col("output"), F.col("bucket")).alias("score"))
 
 
 @query("m03_code_debug_security", R, None)
 def other_scores(r):
-    return r.select(*KEY, X.quality_score(P, O, F.lit("code")).alias("code"), X.quality_score(P, O, F.lit("debug")).alias("debug"), X.quality_score(P, O, F.lit("security")).alias("security"))
+    return r.select(*KEY, X.quality_score(F.col("prompt"), F.col("output"), F.lit("code")).alias("code"), X.quality_score(F.col("prompt"), F.col("output"), F.lit("debug")).alias("debug"), X.quality_score(F.col("prompt"), F.col("output"), F.lit("security")).alias("security"))
 
 
 @query("m04_quality_band", R, f"WITH {PARTS}, s AS (SELECT *, (turn%10)/10.0::DOUBLE*2-1 AS sim FROM c), e AS (SELECT *, CASE WHEN (sim+1)/2<0.35 THEN greatest(0.0,(sim+1)/2/0.35) WHEN (sim+1)/2<=0.8 THEN 1.0 ELSE greatest(0.0,(1-(sim+1)/2)/0.2) END AS embed FROM s) SELECT conv_id, turn, round(embed,6) AS embed, round(round(least(0.35*structural+0.25*novelty+0.2*not_plan+0.1*length+0.1*embed,1.0),4),3) AS score FROM e", 6)
 def band(r):
     embed = X.band_score((F.col("turn") % 10) / F.lit(10.0) * 2 - 1)
-    return r.select(*KEY, embed.alias("embed"), F.round(X.prose_score(X.prose_components(P, O, B), embed), 3).alias("score"))
+    return r.select(*KEY, embed.alias("embed"), F.round(X.prose_score(X.prose_components(F.col("prompt"), F.col("output"), F.col("bucket")), embed), 3).alias("score"))
 
 
 @query("m26_keyword_summary", R, f"WITH t AS (SELECT conv_id, turn, prompt, list_filter(regexp_extract_all(output, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda w: lower(w) NOT IN ({','.join(repr(w) for w in X.STOPWORDS)})) AS ts FROM v_results), u AS (SELECT conv_id, turn, prompt, list_filter(ts, lambda w, i: list_position([lower(x) FOR x IN ts], lower(w))=i) AS f FROM t) SELECT conv_id, turn, CASE WHEN len(f)=0 THEN prompt ELSE prompt || ' [' || array_to_string(f[1:50], ', ') || ']' END AS text FROM u")
 def keyword_summary(r):
-    return r.select(*KEY, X.augmented(P, X.keyword_summary(O)).alias("text"))
+    return r.select(*KEY, X.augmented(F.col("prompt"), X.keyword_summary(F.col("output"))).alias("text"))
