@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.llm.common import bounded_batches, drop_path, new_path, table, written
+from agentlens.llm.near_dedup import intersections
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
 SIZE = 5
@@ -46,70 +47,160 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
     return out
 
 
-#: No shingle half a passage away, and the longest reach that a packed window keeps (longer windows reach beyond it: their
-#: passages have other windows).
-NONE, REACH = 1 << 16, (1 << 16) - 1
+#: Too few shingles on this side (the text ends).
+NONE = 1 << 16
+#: How far before and after a minimum stands the shingle that stands for that side.
+BESIDE = 23
+#: Rows of a block in the full comparison of a bucket, and of one matrix product in it.
+BLOCK, TILE = 8192, 1024
+
+
+def beside(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """16 bits for each place of c: the shingles BESIDE places before and after it."""
+    short = np.concatenate([np.full(BESIDE, NONE), (s >> np.uint64(48)).astype(np.int64), np.full(BESIDE, NONE)])
+    return short[c], short[c + 2 * BESIDE]
 
 
 def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
-    """key, doc_id, span, sides. span packs the place c (32 bits) and the reach to the left and right of it (16 bits each);
-    sides packs which function (8 bits) and 17 bits each of the shingle half a passage before and after. Nearly all
-    windows leave after being counted, so what moves of them is kept small."""
-    half = least // 2
+    """key, doc_id, c, sides. c is the place; sides packs which function (8 bits) and 17 bits each of what stands before
+    and after. Nearly all windows leave after being counted, so what moves of them is kept small."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, k = Words(), constants(hashes, 41)
         for batch in batches:
-            keys, ids, spans, sides = [], [], [], []
+            keys, ids, places, sides = [], [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingled(cache.of(text), SIZE)
                 if len(s) < least:
                     continue
-                short = np.concatenate([np.full(half, NONE), (s >> np.uint64(48)).astype(np.int64), np.full(half, NONE)])
                 for i in range(hashes):
                     v = mixed(s ^ k[i])
-                    lo, c, hi = np.array(compact_windows(v, least), np.int64).reshape(-1, 3).T
+                    c = np.array(compact_windows(v, least), np.int64).reshape(-1, 3)[:, 1]
                     keys.append(v[c])
                     ids.append(np.full(len(c), doc_id, np.int64))
-                    spans.append((c << 32) | (np.minimum(c - lo, REACH) << 16) | np.minimum(hi - c, REACH))
-                    sides.append((i << 34) | (short[c] << 17) | short[c + 2 * half])
+                    places.append(c.astype(np.int32))
+                    before, after = beside(s, c)
+                    sides.append((i << 34) | (before << 17) | after)
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "span": np.concatenate(spans), "sides": np.concatenate(sides)})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInPandas(run, "key long, doc_id long, span long, sides long")
-
-
-def stretches(found: DataFrame, agree: int) -> DataFrame:
-    """a, b, n_hashes, a_lo, a_hi, b_lo, b_hi (shingles): where windows of a pair overlap across ``agree`` functions."""
-    bits = lambda c, at, n: F.shiftright(c, at).bitwiseAND((1 << n) - 1)
-    c = F.shiftright("span", 32)
-    sides = found.select(
-        "key", "doc_id", F.shiftright("sides", 34).cast("int").alias("f"), c.alias("c"), (c - bits("span", 16, 16)).alias("l"), (c + bits("span", 0, 16)).alias("r"),
-        F.explode(F.array(F.struct(F.lit(0).alias("side"), bits("sides", 17, 17).alias("beside")), F.struct(F.lit(1).alias("side"), bits("sides", 0, 17).alias("beside")))).alias("s"),
-    ).select("key", "f", "doc_id", "c", "l", "r", "s.side", "s.beside").filter(F.col("beside") != NONE)
-    by = ["key", "side", "beside"]
-    heads = sides.groupBy(*by).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select(*by, "h")
-    hits = (
-        sides.join(heads, by)
-        .filter("doc_id <> h.doc_id")
-        .select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("h.l").alias("al"), F.col("h.r").alias("ar"), F.col("l").alias("bl"), F.col("r").alias("br"), (F.col("c") - F.col("h.c")).alias("shift"))
-        .distinct()
-    )
-    # The stretch of a that both windows can stand for, give or take a gap; hits of one pair only, so a group is a pair.
-    lo = F.greatest(F.col("al"), F.col("bl") - F.col("shift"))
-    hi = F.least(F.col("ar"), F.col("br") - F.col("shift"))
-    order = Window.partitionBy("a", "b").orderBy("lo", "hi", "f", "shift")
-    joined = hits.withColumns({"lo": lo, "hi": hi}).withColumn("reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    island = F.sum(F.when(F.col("lo") > F.col("reach") + GAP, 1).otherwise(0)).over(order)
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "c": np.concatenate(places), "sides": np.concatenate(sides)})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInPandas(run, "key long, doc_id long, c int, sides long")
+
+
+BY = ["key", "side", "beside"]
+
+
+def sided(found: DataFrame) -> DataFrame:
+    """key, side, beside (the bucket), f, doc_id, c: one row a window and side."""
+    bits = lambda at: F.shiftright("sides", at).bitwiseAND((1 << 17) - 1)
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), bits(17).alias("beside")), F.struct(F.lit(1).alias("side"), bits(0).alias("beside")))).alias("s")
+    return found.select("key", "doc_id", F.shiftright("sides", 34).cast("int").alias("f"), "c", side).select("key", "s.side", "s.beside", "f", "doc_id", "c").filter(F.col("beside") != NONE)
+
+
+def starred(rows: DataFrame) -> DataFrame:
+    """a, b, f, a_lo, a_hi, b_lo, b_hi (places): each bucket's documents with its smallest one, all their places in it."""
+    places = rows.groupBy(*BY, "f", "doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    heads = places.groupBy(*BY).agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select(*BY, "h")
+    hits = places.join(heads, BY).filter("doc_id <> h.doc_id")
+    return hits.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("h.lo").alias("a_lo"), F.col("h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct()
+
+
+def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
+    """a, b, n_hashes, a_lo, a_hi, b_lo, b_hi (shingles): hits of a pair whose passages' lengths overlap in a, give or
+    take a gap, are one stretch; it goes on if ``agree`` functions have hits in it."""
+    order = Window.partitionBy("a", "b").orderBy("a_lo", "a_hi", "f", "b_lo", "b_hi")
+    joined = hits.withColumn("reach", F.max("a_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    island = F.sum(F.when(F.col("a_lo") > F.col("reach") + 2 * least + GAP, 1).otherwise(0)).over(order)
     return (
         joined.withColumn("island", island)
         .groupBy("a", "b", "island")
-        .agg(F.count_distinct("f").alias("n_hashes"), F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi"), F.min(F.col("lo") + F.col("shift")).alias("b_lo"), F.max(F.col("hi") + F.col("shift")).alias("b_hi"))
+        .agg(F.count_distinct("f").alias("n_hashes"), *(F.greatest(F.min(f"{x}_lo") - least, F.lit(0)).alias(f"{x}_lo") if end == "lo" else (F.max(f"{x}_hi") + least).alias(f"{x}_hi") for x in "ab" for end in ("lo", "hi")))
         .filter(F.col("n_hashes") >= agree)
         .drop("island")
     )
 
 
+def still_open(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of the buckets in which a place stands in no confirmed passage of its document, without the heads (they have
+    met everyone) and without what has no smaller document left to meet: BY, f, doc_id, c, open."""
+    heads = rows.groupBy(*BY).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").select(*BY, "head")
+    rest = rows.join(heads, BY).filter("doc_id <> head").drop("head")
+    spans = pairs.select(F.col("b").alias("doc_id"), F.col("b_start").alias("lo"), (F.col("b_start") + F.col("b_words") - SIZE).alias("hi")).distinct()
+    places = rest.select("doc_id", "c").distinct()
+    settled = places.join(spans, "doc_id").filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct().withColumn("settled", F.lit(True))
+    marked = rest.join(settled, ["doc_id", "c"], "left").withColumn("open", F.col("settled").isNull()).drop("settled")
+    left = marked.groupBy(*BY).agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).filter("first < last").select(*BY, "last")
+    return marked.join(left, BY).filter("doc_id <= last").drop("last")
+
+
+def contexts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, c, bits: 32 bits of each shingle no further from c than a passage and a gap."""
+    reach = least + GAP
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Words()
+        for batch in batches:
+            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
+                s = (shingled(cache.of(text), SIZE) >> np.uint64(32)).astype(np.uint32)
+                for i in range(0, len(found), 10_000):
+                    some = [int(c) for c in found[i : i + 10_000] if c < len(s)]
+                    yield pd.DataFrame({"doc_id": np.full(len(some), doc_id, np.int64), "c": np.array(some, np.int32), "bits": [s[max(0, c - reach) : c + reach + 1].tobytes() for c in some]})
+
+    of = places.groupBy("doc_id").agg(F.collect_set("c").alias("places"))
+    return docs.select(F.col("doc_id").cast("long"), "text").join(of, "doc_id").mapInPandas(cut, "doc_id long, c int, bits binary")
+
+
+def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Hits (as ``starred`` gives them) of open places: each with the smallest documents of its bucket, one of every block,
+    that have the passage in the words around. Buckets are compared in full, in pairs of blocks of bounded size; small
+    buckets travel together."""
+    # Two stretches of ``least`` at the similarity share so many shingles.
+    shared = int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9)) - GAP
+
+    def nearest(pdf: pd.DataFrame, out: list) -> None:
+        sets = [np.frombuffer(x, np.uint32) for x in pdf["bits"]]
+        ids, mine, is_open, c, f = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f"))
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        for left, right in {(i, j), (j, i)}:
+            smaller, larger = np.flatnonzero(mine == left), np.flatnonzero((mine == right) & is_open)
+            smaller = smaller[np.argsort(ids[smaller], kind="stable")]
+            for y in range(0, len(larger), TILE):
+                ys, todo = larger[y : y + TILE], np.ones(len(larger[y : y + TILE]), bool)
+                for x in range(0, len(smaller), TILE):
+                    xs = smaller[x : x + TILE]
+                    if not todo.any() or ids[xs[0]] >= ids[ys[todo]].max():
+                        break
+                    k = intersections([np.unique(sets[q]) for q in xs], [np.unique(sets[q]) for q in ys])
+                    likely = (k >= shared) & (ids[xs][:, None] < ids[ys][None, :])
+                    for at in np.flatnonzero(todo & likely.any(axis=0)):
+                        b = ys[at]
+                        for a in xs[np.flatnonzero(likely[:, at])]:
+                            if passages(sets[a], sets[b], least, similarity):
+                                out.append((ids[a], ids[b], f[b], c[a], c[a], c[b], c[b]))
+                                todo[at] = False
+                                break
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, bucket in pdf.groupby(BY, sort=False):
+            nearest(bucket, out)
+        return pd.DataFrame(out, columns=["a", "b", "f", "a_lo", "a_hi", "b_lo", "b_hi"])
+
+    sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
+    packs = max(1, rows.count() // 4096)
+    of = F.xxhash64(*BY)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = (
+        rows.join(contexts(rows.select("doc_id", "c").distinct(), docs, least), ["doc_id", "c"])
+        .join(sizes, BY)
+        .withColumns({"pack": F.when(F.col("n") > TILE, of).otherwise(F.pmod(of, F.lit(packs))), "mine": F.pmod(F.xxhash64("doc_id", "c"), blocks)})
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
+        .drop("other", "n")
+    )
+    return dealt.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long, f int, a_lo int, a_hi int, b_lo int, b_hi int").distinct()
+
+
 def exact_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     """(place in a, place in b, length): b from left to right in stretches that stand in a, each by its longest match."""
     order = np.argsort(a, kind="stable")
@@ -208,13 +299,17 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     least = min_words - SIZE + 1
     spark, made_path = docs.sparkSession, new_path(docs.sparkSession, "windows")
     windows(docs, hashes, least).write.option("compression", "zstd").parquet(made_path)
-    made = spark.read.schema("key long, doc_id long, span long, sides long").parquet(made_path)
+    made = spark.read.schema("key long, doc_id long, c int, sides long").parquet(made_path)
     # Most keys stand once: they are counted alone, without the windows.
     often = made.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     repeated = written(made.join(often, "key", "left_semi"), "windows")
     drop_path(spark, made_path)
-    found = written(stretches(repeated, agree), "stretches")
-    pairs = written(verified(found, docs, least, similarity).distinct(), "passages")
+    rows = sided(repeated)
+    found = written(stretches(starred(rows), agree, least), "stretches")
+    first = written(verified(found, docs, least, similarity).distinct(), "passages")
+    open_rows = written(still_open(rows, first), "open")
+    more = written(stretches(crossing(open_rows, docs, least, similarity), 1, least), "stretches")
+    pairs = first.unionByName(written(verified(more, docs, least, similarity).distinct(), "passages")).distinct()
     members = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_start").alias("start_word"), F.col("b_words").alias("n_words")).agg(
         F.min(F.struct(F.col("a").alias("first_doc_id"), F.col("a_start").alias("first_start_word"), "similarity", "n_hashes")).alias("m")
     )

@@ -157,6 +157,35 @@ def test_repeated_passages(spark):
     assert found[41].first_doc_id == 40 and found[41].n_words == 120 and 0.8 <= found[41].similarity < 1
 
 
+def test_repeats_behind_a_head_that_has_less(spark):
+    rows = []
+    for k in range(30):
+        shared = words(1000 + k, 51 + k % 5, 10**6)
+        whole = lambda i, n=100: (i, " ".join([*words(5000 + i, n, 10**6), *shared, *words(9000 + i, 100, 10**6)]))  # noqa: B023, E731
+        rows += [(10 * k + 1, " ".join([*words(2000 + k, 100, 10**6), *shared[:49], *words(3000 + k, 100, 10**6)])), whole(10 * k + 2), whole(10 * k + 3, 80)]
+    got = {r.doc_id: (r.first_doc_id, r.start_word, r.n_words, r.kept) for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    for k in range(30):
+        n = 51 + k % 5
+        assert 10 * k + 1 not in got and got[10 * k + 2] == (10 * k + 2, 100, n, True) and got[10 * k + 3] == (10 * k + 2, 80, n, False)
+
+
+def test_repeats_of_a_later_place_in_the_head(spark):
+    rows = []
+    for k in range(20):
+        shared, gap = words(1100 + k, 52, 10**6), words(2100 + k, 300, 10**6)
+        rows += [(2 * k, " ".join([*shared[:45], *gap, *shared, *gap[:9]])), (2 * k + 1, " ".join([*words(3100 + k, 60, 10**6), *shared, *words(4100 + k, 60, 10**6)]))]
+    got = {r.doc_id: (r.first_start_word, r.start_word, r.n_words) for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert all(got[2 * k + 1] == (345, 60, 52) for k in range(20))
+
+
+def test_crossing_compares_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4)
+    passage = words(77, 60, 10**6)
+    texts = {i: [*words(600 + i, 80, 10**6), *(passage[:35] if i < 25 else passage), *words(700 + i, 80, 10**6)] for i in range(30)}
+    got = substring_dedup.repeated_passages(docs(spark, [(i, " ".join(t)) for i, t in texts.items()])).collect()
+    assert {(r.doc_id, r.first_doc_id, r.n_words) for r in got} == {(i, 25, 60) for i in range(25, 30)}
+
+
 def test_myers_is_the_table():
     rng = np.random.default_rng(2)
     for _ in range(40):
