@@ -49,16 +49,22 @@ def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]
 
 #: Too few shingles on this side (the text ends).
 NONE = 1 << 16
-#: How far before and after a minimum stands the shingle that stands for that side.
-BESIDE = 23
+#: The shingles before and after a minimum whose least stands for that side.
+BESIDE = 10
 #: Rows of a block in the full comparison of a bucket, and of one matrix product in it.
 BLOCK, TILE = 8192, 1024
 
 
 def beside(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits for each place of c: the shingles BESIDE places before and after it."""
-    short = np.concatenate([np.full(BESIDE, NONE), (s >> np.uint64(48)).astype(np.int64), np.full(BESIDE, NONE)])
-    return short[c], short[c + 2 * BESIDE]
+    """16 bits for each place of c: the least of the BESIDE shingles before it, and of those after it. A least does not
+    shift with the words around it, and in a passage with one edit (or none) the longer clean part has room for one of
+    the two wherever in it the minimum stands."""
+    n = max(0, len(s) - BESIDE + 1)
+    least = s[:n].copy()
+    for i in range(1, BESIDE):
+        np.minimum(least, s[i : i + n], out=least)
+    short = np.concatenate([np.full(BESIDE, NONE), (mixed(least) >> np.uint64(48)).astype(np.int64), np.full(BESIDE, NONE)])
+    return short[c], short[c + BESIDE + 1]
 
 
 def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:

@@ -186,6 +186,17 @@ def test_crossing_compares_all_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.first_doc_id, r.n_words) for r in got} == {(i, 25, 60) for i in range(25, 30)}
 
 
+def test_repeats_with_a_word_put_in_or_left_out(spark):
+    rows, rng = [], np.random.default_rng(3)
+    for k in range(60):
+        one = words(1200 + k, 51 + k % 10, 10**6)
+        other, at = list(one), len(one) // 2 if k % 3 else int(rng.integers(6, len(one) - 6))
+        other[at : at + k % 2] = [] if k % 2 else ["inserted"]
+        rows += [(2 * k, " ".join([*words(2200 + k, 90, 10**6), *one, *words(3200 + k, 90, 10**6)])), (2 * k + 1, " ".join([*words(4200 + k, 70, 10**6), *other, *words(5200 + k, 90, 10**6)]))]
+    long = {k for k in range(60) if len(rows[2 * k + 1][1].split()) - 160 >= 50}
+    assert len(long) > 50 and {r.doc_id for r in substring_dedup.repeated_passages(docs(spark, rows)).collect() if not r.kept} == {2 * k + 1 for k in long}
+
+
 def test_myers_is_the_table():
     rng = np.random.default_rng(2)
     for _ in range(40):
