@@ -5,14 +5,15 @@ stretches of ``least`` shingles or more into compact windows (l, c, r): every su
 has its minimum at c, so the window stands for all of them. There are about 2 / (least + 1) windows a shingle, made by
 walking down the tree and stopping at short subtrees.
 
-1. Map: the windows of ``hashes`` functions: a key (function and minimum), the place, and 16 bits each of the shingles
-   half a passage before and after it.
-2. Keys that stand in one document only go (counted with map-side sums; nearly all go here).
-3. Two passages that share at least ``least`` shingles around c agree half a passage before or after it: buckets are
-   (key, side, those 16 bits), and each bucket's members are paired with its smallest document: linear in the bucket.
-4. The windows of a pair are joined where their intervals overlap; a stretch goes on if enough functions agree on it.
-5. The stretches' words are fetched (texts move once, only those of paired documents) and compared: runs of shared
-   shingles of at least the passage's length and a Jaccard similarity of ``similarity`` or more are passages.
+1. Map: the windows of ``hashes`` functions: a key (function and minimum), the place, and 16 bits each of the least of the
+   shingles before and after it, which an edit does not shift.
+2. Keys that stand once go (counted with map-side sums; most go here).
+3. Buckets are (key, side, those 16 bits), and each bucket's members are paired with its smallest document.
+4. Hits of a pair that overlap are one stretch; it goes on if enough functions agree on it.
+5. The stretches' words are fetched and compared: runs of shared shingles of at least the passage's length and a Jaccard
+   similarity of ``similarity`` or more are passages.
+6. Places of a bucket that stand in no confirmed passage meet all smaller documents of the bucket, by the words around
+   them, in pairs of bounded blocks; what is found there is compared as in 5.
 """
 
 from __future__ import annotations
@@ -156,40 +157,72 @@ def contexts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").join(of, "doc_id").mapInPandas(cut, "doc_id long, c int, bits binary")
 
 
+def fewest_distinct(s: np.ndarray, distinct: int, least: int) -> float:
+    """The least number of distinct values in any ``least`` consecutive ones of s; infinite if s is shorter."""
+    if len(s) < least or distinct == len(s):
+        return np.inf if len(s) < least else least
+    order = np.argsort(s, kind="stable")
+    before = np.full(len(s), -1)
+    same = np.flatnonzero(s[order[1:]] == s[order[:-1]])
+    before[order[same + 1]] = order[same]
+    views = np.lib.stride_tricks.sliding_window_view(before, least)
+    return int((views < np.arange(len(views))[:, None]).sum(axis=1).min())
+
+
+def nearest(ids: np.ndarray, c: np.ndarray, lower: np.ndarray, upper: np.ndarray, texts: list[bytes], least: int, similarity: float) -> list[tuple[int, int]]:
+    """For each place of ``upper`` the place of the smallest document in ``lower`` (a smaller one than its own) that has a
+    passage in the words around, if there is one. Equal surroundings are compared once."""
+    number = {x: n for n, x in enumerate(dict.fromkeys(texts))}
+    kind = np.array([number[x] for x in texts])
+    seqs = [np.frombuffer(x, np.uint32) for x in number]
+    sets = [np.unique(s) for s in seqs]
+    # A passage has ``least`` shingles on both sides, so k >= similarity * (distinct ones of either) of them are shared.
+    need = np.ceil(similarity * np.array([fewest_distinct(s, len(u), least) for s, u in zip(seqs, sets, strict=True)]) - 1e-9)
+    lower = lower[np.lexsort((c[lower], ids[lower]))]
+    lower = lower[np.sort(np.unique(kind[lower], return_index=True)[1])]
+    same, out = {}, []
+    for y in range(0, len(upper), TILE):
+        ys = upper[y : y + TILE]
+        todo = np.ones(len(ys), bool)
+        for x in range(0, len(lower), TILE):
+            xs = lower[x : x + TILE]
+            if not todo.any() or ids[xs[0]] >= ids[ys[todo]].max():
+                break
+            kinds, of = np.unique(kind[ys], return_inverse=True)
+            k = intersections([sets[q] for q in kind[xs]], [sets[q] for q in kinds])
+            enough = k >= np.maximum(need[kind[xs]][:, None], need[kinds][None, :])
+            for at in np.flatnonzero(todo):
+                for row in np.flatnonzero(enough[:, of[at]]):
+                    q, r = xs[row], ys[at]
+                    if ids[q] >= ids[r]:
+                        break
+                    pair = (kind[q], kind[r])
+                    if pair not in same:
+                        same[pair] = pair[0] == pair[1] and len(seqs[pair[0]]) >= least or bool(passages(seqs[pair[0]], seqs[pair[1]], least, similarity))
+                    if same[pair]:
+                        out.append((int(q), int(r)))
+                        todo[at] = False
+                        break
+    return out
+
+
 def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:
     """Hits (as ``starred`` gives them) of open places: each with the smallest documents of its bucket, one of every block,
     that have the passage in the words around. Buckets are compared in full, in pairs of blocks of bounded size; small
     buckets travel together."""
-    # Two stretches of ``least`` at the similarity share so many shingles.
-    shared = int(np.ceil(2 * least * similarity / (1 + similarity) - 1e-9)) - GAP
-
-    def nearest(pdf: pd.DataFrame, out: list) -> None:
-        sets = [np.frombuffer(x, np.uint32) for x in pdf["bits"]]
-        ids, mine, is_open, c, f = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f"))
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        for left, right in {(i, j), (j, i)}:
-            smaller, larger = np.flatnonzero(mine == left), np.flatnonzero((mine == right) & is_open)
-            smaller = smaller[np.argsort(ids[smaller], kind="stable")]
-            for y in range(0, len(larger), TILE):
-                ys, todo = larger[y : y + TILE], np.ones(len(larger[y : y + TILE]), bool)
-                for x in range(0, len(smaller), TILE):
-                    xs = smaller[x : x + TILE]
-                    if not todo.any() or ids[xs[0]] >= ids[ys[todo]].max():
-                        break
-                    k = intersections([np.unique(sets[q]) for q in xs], [np.unique(sets[q]) for q in ys])
-                    likely = (k >= shared) & (ids[xs][:, None] < ids[ys][None, :])
-                    for at in np.flatnonzero(todo & likely.any(axis=0)):
-                        b = ys[at]
-                        for a in xs[np.flatnonzero(likely[:, at])]:
-                            if passages(sets[a], sets[b], least, similarity):
-                                out.append((ids[a], ids[b], f[b], c[a], c[a], c[b], c[b]))
-                                todo[at] = False
-                                break
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, bucket in pdf.groupby(BY, sort=False):
-            nearest(bucket, out)
+        pdf = pdf.sort_values(BY).reset_index(drop=True)
+        ids, mine, is_open, c, f, i, j = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f", "i", "j"))
+        bits, by, out = pdf["bits"].tolist(), pdf[BY].to_numpy(), []
+        cuts = [0, *(np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            at = slice(lo, hi)
+            for left, right in {(int(i[lo]), int(j[lo])), (int(j[lo]), int(i[lo]))}:
+                lower, upper = np.flatnonzero(mine[at] == left), np.flatnonzero((mine[at] == right) & is_open[at])
+                for a, b in nearest(ids[at], c[at], lower, upper, bits[at], least, similarity) if len(lower) and len(upper) else []:
+                    a, b = a + lo, b + lo
+                    out.append((ids[a], ids[b], f[b], c[a], c[a], c[b], c[b]))
         return pd.DataFrame(out, columns=["a", "b", "f", "a_lo", "a_hi", "b_lo", "b_hi"])
 
     sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
