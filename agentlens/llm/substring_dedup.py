@@ -332,7 +332,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     not with each other. Columns besides doc_id and text are not read; an empty table gives none.
 
     An exact repeat has the same minimum under every function. At the similarity itself, one of three functions agrees
-    with probability 0.992; the comparison of the words decides. A larger ``agree`` compares fewer stretches.
+    with probability 0.992; the comparison of the words decides. A larger ``agree`` compares fewer of the stretches that
+    the smallest documents give.
     """
     bounded_batches(docs.sparkSession)
     least = min_words - SIZE + 1
