@@ -102,14 +102,15 @@ def should_escalate(correctness: Column, bucket: Column, exec_failed: Column, bu
     return bucket.isin(*buckets) & (exec_failed | F.coalesce(correctness == 0, F.lit(False)))
 
 
-def linucb_state(log: DataFrame, key: list[str], x: list[str], weight: Column, decay: float = 0.98, prior: float = 0.5, pseudo: DataFrame | None = None, far: int = 1800) -> DataFrame:
+def linucb_state(log: DataFrame, key: list[str], x: list[str], weight: Column, decay: float = 0.98, prior: float = 0.5, pseudo: DataFrame | None = None) -> DataFrame:
     """Per arm the sums of the discounted matrix and vector, flat: key, n, a (d * d), b (d). The newest row has weight 1, a
-    row k places older decay ** k, so rows beyond ``far`` add nothing that a double could hold and leave before the
-    aggregation. The identity prior decays too. pseudo: rows (key, x, reward, weight) that are added undiscounted by their
+    row k places older decay ** k, so rows whose weight is 0 as a double leave before the aggregation (none at decay 1). The identity prior decays too. pseudo: rows (key, x, reward, weight) that are added undiscounted by their
     rank, as observations before all others."""
     d = len(x)
     w = Window.partitionBy(*key).orderBy(F.desc("id"))
-    own = log.select(*key, *x, "reward", weight.alias("w"), (F.row_number().over(w) - 1).alias("age")).filter(F.col("age") < far)
+    own = log.select(*key, *x, "reward", weight.alias("w"), (F.row_number().over(w) - 1).alias("age"))
+    if 0 < decay < 1:
+        own = own.filter(F.col("age") <= -746 / float(np.log(decay)))
     counts = log.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     f = F.col("w") * F.pow(F.lit(decay), F.col("age"))
     sums = own.groupBy(*key).agg(*[F.sum(f * F.col(x[i]) * F.col(x[j])).alias(f"a{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(f * F.col("reward") * F.col(c)).alias(f"b{i}") for i, c in enumerate(x)])

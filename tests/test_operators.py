@@ -254,3 +254,10 @@ def test_stream_in_many_batches_equals_one(spark, tmp_path):
     got = {r.id: r.multiplier for r in trackers.run_to_table(trackers.budget_tracker(stream, 0.012, "k")).collect()}
     want = {r.id: r.multiplier for r in sequences.budget_pacer(spark.createDataFrame(rows, schema), 0.012, "k").collect()}
     assert got == pytest.approx(want, abs=1e-9) and math.isfinite(sum(got.values()))
+
+
+def test_linucb_state_keeps_old_rows_at_slow_decay(spark):
+    rows = spark.range(2500).selectExpr("id", "'a' agent", "1.0D x0", "1.0D reward")
+    for decay in (1.0, 0.999):
+        s = one(learning.linucb_state(rows, ["agent"], ["x0"], F.lit(1.0), decay=decay))
+        assert abs(s.a[0] - sum(decay**k for k in range(2500)) - decay**2500) < 1e-6 and s.n == 2500
