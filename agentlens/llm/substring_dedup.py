@@ -7,13 +7,14 @@ walking down the tree and stopping at short subtrees.
 
 1. Map: the windows of ``hashes`` functions: a key (function and minimum), the place, and 16 bits each of the least of the
    shingles before and after it, which an edit does not shift.
-2. Keys that stand once go (counted with map-side sums; most go here).
-3. Buckets are (key, side, those 16 bits), and each bucket's members are paired with its smallest document.
+2. Keys of a single document go (least and largest id with map-side combination; most go here).
+3. Buckets are key, side and those 16 bits, and each bucket's members are paired with its smallest document.
 4. Hits of a pair that overlap are one stretch; it goes on if enough functions agree on it.
 5. The stretches' words are fetched and compared: runs of shared shingles of at least the passage's length and a Jaccard
    similarity of ``similarity`` or more are passages.
-6. Places of a bucket that stand in no confirmed passage meet all smaller documents of the bucket, by the words around
-   them, in pairs of bounded blocks; what is found there is compared as in 5.
+6. Places of a bucket that stand in no confirmed passage meet all smaller documents of the bucket: those with equal words
+   around them are one kind, and the kinds meet, by these words, in pairs of bounded blocks; what is found is compared as
+   in 5. So a head that has less than a passage hides nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.llm.common import bounded_batches, drop_path, new_path, table, written
-from agentlens.llm.near_dedup import intersections
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
 SIZE = 5
@@ -34,26 +34,41 @@ SIZE = 5
 GAP = 2 * SIZE
 
 
-def compact_windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r), ends included, of every stretch of ``least`` or more; of equal minima the first counts."""
+def compact_windows(values: np.ndarray, least: int, at: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(l, c, r), ends included, of every stretch of ``least`` or more; of equal minima the first counts. Where values
+    stand for runs, ``at`` has the place where each run begins, and the end."""
+    at = range(len(values) + 1) if at is None else at
+    ties = len(np.unique(values)) < len(values)
     out, todo = [], [(0, len(values))]
     while todo:
         lo, hi = todo.pop()
-        if hi - lo < least:
+        if at[hi] - at[lo] < least:
             continue
-        c = lo + int(values[lo:hi].argmin())
-        out.append((lo, c, hi - 1))
-        todo.append((lo, c))
-        todo.append((c + 1, hi))
+        part = values[lo:hi]
+        c = int(part.argmin())
+        # Equal minima cut the stretch at once: a text of one line over and over is not walked again for each line.
+        for c in (lo + np.flatnonzero(part == part[c])).tolist() if ties else (lo + c,):
+            if at[hi] - at[lo] < least:
+                break
+            out.append((lo, c, hi - 1))
+            todo.append((lo, c))
+            lo = c + 1
+        todo.append((lo, hi))
     return out
 
 
+def runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the runs of equal neighbours, and where each begins (and the end)."""
+    at = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
+    return s[at[:-1]], at
+
+
 #: Too few shingles on this side (the text ends).
 NONE = 1 << 16
 #: The shingles before and after a minimum whose least stands for that side.
 BESIDE = 10
-#: Rows of a block in the full comparison of a bucket, and of one matrix product in it.
-BLOCK, TILE = 8192, 1024
+#: Rows of a block in the full comparison of a bucket, and of one matrix in it.
+BLOCK, TILE = 4096, 512
 
 
 def beside(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +95,16 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
                 s = shingled(cache.of(text), SIZE)
                 if len(s) < least:
                     continue
+                values, at = runs(s)
+                ends = at.tolist()
                 for i in range(hashes):
-                    v = mixed(s ^ k[i])
-                    c = np.array(compact_windows(v, least), np.int64).reshape(-1, 3)[:, 1]
-                    keys.append(v[c])
+                    v = mixed(values ^ k[i])
+                    c = np.array(compact_windows(v, least, ends), np.int64).reshape(-1, 3)[:, 1]
+                    key, c, last = v[c], at[c], at[c + 1] - 1
+                    if len(values) < len(s):  # a run of one word over and over stands at its first and its last place
+                        long = last > c
+                        key, c = np.concatenate([key, key[long]]), np.concatenate([c, last[long]])
+                    keys.append(key)
                     ids.append(np.full(len(c), doc_id, np.int64))
                     places.append(c.astype(np.int32))
                     before, after = beside(s, c)
@@ -94,21 +115,18 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInPandas(run, "key long, doc_id long, c int, sides long")
 
 
-BY = ["key", "side", "beside"]
-
-
 def sided(found: DataFrame) -> DataFrame:
-    """key, side, beside (the bucket), f, doc_id, c: one row a window and side."""
+    """bucket, f, doc_id, c: one row a window and side. A bucket stands for key, side and what is beside."""
     bits = lambda at: F.shiftright("sides", at).bitwiseAND((1 << 17) - 1)
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), bits(17).alias("beside")), F.struct(F.lit(1).alias("side"), bits(0).alias("beside")))).alias("s")
-    return found.select("key", "doc_id", F.shiftright("sides", 34).cast("int").alias("f"), "c", side).select("key", "s.side", "s.beside", "f", "doc_id", "c").filter(F.col("beside") != NONE)
+    bucket = F.explode(F.array(*(F.when(bits(at) != NONE, F.xxhash64("key", F.lit(at), bits(at))) for at in (17, 0)))).alias("bucket")
+    return found.select(bucket, F.shiftright("sides", 34).cast("int").alias("f"), "doc_id", "c").filter("bucket IS NOT NULL")
 
 
 def starred(rows: DataFrame) -> DataFrame:
     """a, b, f, a_lo, a_hi, b_lo, b_hi (places): each bucket's documents with its smallest one, all their places in it."""
-    places = rows.groupBy(*BY, "f", "doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    heads = places.groupBy(*BY).agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select(*BY, "h")
-    hits = places.join(heads, BY).filter("doc_id <> h.doc_id")
+    places = rows.groupBy("bucket", "f", "doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    heads = places.groupBy("bucket").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select("bucket", "h")
+    hits = places.join(heads, "bucket").filter("doc_id <> h.doc_id")
     return hits.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("h.lo").alias("a_lo"), F.col("h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct()
 
 
@@ -127,21 +145,21 @@ def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
     )
 
 
-def still_open(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def still_open(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the buckets in which a place stands in no confirmed passage of its document, without the heads (they have
-    met everyone) and without what has no smaller document left to meet: BY, f, doc_id, c, open."""
-    heads = rows.groupBy(*BY).agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").select(*BY, "head")
-    rest = rows.join(heads, BY).filter("doc_id <> head").drop("head")
+    met everyone) and without what has no smaller document left to meet: bucket, f, doc_id, c, open."""
     spans = pairs.select(F.col("b").alias("doc_id"), F.col("b_start").alias("lo"), (F.col("b_start") + F.col("b_words") - SIZE).alias("hi")).distinct()
-    places = rest.select("doc_id", "c").distinct()
-    settled = places.join(spans, "doc_id").filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct().withColumn("settled", F.lit(True))
-    marked = rest.join(settled, ["doc_id", "c"], "left").withColumn("open", F.col("settled").isNull()).drop("settled")
-    left = marked.groupBy(*BY).agg(F.min("doc_id").alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).filter("first < last").select(*BY, "last")
-    return marked.join(left, BY).filter("doc_id <= last").drop("last")
+    settled = found.select("doc_id", "c").distinct().join(spans, "doc_id").filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct()
+    free = written(sided(found.join(settled, ["doc_id", "c"], "left_anti")), "free")
+    last = free.groupBy("bucket").agg(F.max("doc_id").alias("last"))
+    rows = sided(found).join(last, "bucket").filter("doc_id <= last")
+    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").select("bucket", "head")
+    rest = rows.drop("last").join(heads, "bucket").filter("doc_id <> head").drop("head")
+    return rest.join(free.select("doc_id", "c", F.lit(True).alias("open")).distinct(), ["doc_id", "c"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
 def contexts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, c, bits: 32 bits of each shingle no further from c than a passage and a gap."""
+    """doc_id, c, around (a hash), bits: 32 bits of each shingle no further from c than a passage and a gap."""
     reach = least + GAP
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +172,34 @@ def contexts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
                     yield pd.DataFrame({"doc_id": np.full(len(some), doc_id, np.int64), "c": np.array(some, np.int32), "bits": [s[max(0, c - reach) : c + reach + 1].tobytes() for c in some]})
 
     of = places.groupBy("doc_id").agg(F.collect_set("c").alias("places"))
-    return docs.select(F.col("doc_id").cast("long"), "text").join(of, "doc_id").mapInPandas(cut, "doc_id long, c int, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(of, "doc_id").mapInPandas(cut, "doc_id long, c int, bits binary").withColumn("around", F.xxhash64("bits"))
+
+
+class Around:
+    """What one place's surroundings show of the passages that another text may share with it."""
+
+    def __init__(self, s: np.ndarray, least: int, similarity: float):
+        self.seq, self.similarity = s, similarity
+        self.values, at = runs(s)
+        self.apart = len(np.unique(self.values)) == len(self.values)
+        if self.apart:
+            # For each end the last beginning that leaves a passage's length.
+            begin = np.searchsorted(at, at - least, "right") - 1
+            self.ends = np.flatnonzero(begin >= 0)
+            self.begins = begin[self.ends]
+        else:
+            self.values = np.unique(s)
+            self.need = similarity * fewest_distinct(s, len(self.values), least) - 1e-9
+
+    def may_share(self, hit: np.ndarray) -> np.ndarray:
+        """hit: for each other text, which of ``values`` it has. Whether some stretch of a passage's length has the share
+        of its distinct shingles there that the similarity asks for; texts without such a stretch share no passage."""
+        if not self.apart:
+            return hit.sum(axis=1) >= self.need
+        sums = np.zeros((len(hit), hit.shape[1] + 1), np.float32)
+        np.cumsum(hit - np.float32(self.similarity), axis=1, out=sums[:, 1:])
+        least = np.minimum.accumulate(sums, axis=1)
+        return (sums[:, self.ends] - least[:, self.begins] > -1e-3).any(axis=1)
 
 
 def fewest_distinct(s: np.ndarray, distinct: int, least: int) -> float:
@@ -169,75 +214,74 @@ def fewest_distinct(s: np.ndarray, distinct: int, least: int) -> float:
     return int((views < np.arange(len(views))[:, None]).sum(axis=1).min())
 
 
-def nearest(ids: np.ndarray, c: np.ndarray, lower: np.ndarray, upper: np.ndarray, texts: list[bytes], least: int, similarity: float) -> list[tuple[int, int]]:
+def nearest(ids: np.ndarray, around: list[Around], lower: np.ndarray, upper: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
     """For each place of ``upper`` the place of the smallest document in ``lower`` (a smaller one than its own) that has a
-    passage in the words around, if there is one. Equal surroundings are compared once."""
-    number = {x: n for n, x in enumerate(dict.fromkeys(texts))}
-    kind = np.array([number[x] for x in texts])
-    seqs = [np.frombuffer(x, np.uint32) for x in number]
-    sets = [np.unique(s) for s in seqs]
-    # A passage has ``least`` shingles on both sides, so k >= similarity * (distinct ones of either) of them are shared.
-    need = np.ceil(similarity * np.array([fewest_distinct(s, len(u), least) for s, u in zip(seqs, sets, strict=True)]) - 1e-9)
-    lower = lower[np.lexsort((c[lower], ids[lower]))]
-    lower = lower[np.sort(np.unique(kind[lower], return_index=True)[1])]
-    same, out = {}, []
-    for y in range(0, len(upper), TILE):
-        ys = upper[y : y + TILE]
-        todo = np.ones(len(ys), bool)
-        for x in range(0, len(lower), TILE):
-            xs = lower[x : x + TILE]
-            if not todo.any() or ids[xs[0]] >= ids[ys[todo]].max():
-                break
-            kinds, of = np.unique(kind[ys], return_inverse=True)
-            k = intersections([sets[q] for q in kind[xs]], [sets[q] for q in kinds])
-            enough = k >= np.maximum(need[kind[xs]][:, None], need[kinds][None, :])
-            for at in np.flatnonzero(todo):
-                for row in np.flatnonzero(enough[:, of[at]]):
-                    q, r = xs[row], ys[at]
-                    if ids[q] >= ids[r]:
-                        break
-                    pair = (kind[q], kind[r])
-                    if pair not in same:
-                        same[pair] = pair[0] == pair[1] and len(seqs[pair[0]]) >= least or bool(passages(seqs[pair[0]], seqs[pair[1]], least, similarity))
-                    if same[pair]:
-                        out.append((int(q), int(r)))
-                        todo[at] = False
-                        break
+    passage in the words around, if there is one."""
+    lower = lower[np.argsort(ids[lower], kind="stable")]
+    todo, out = upper.tolist(), []
+    for x in range(0, len(lower), TILE):
+        xs = lower[x : x + TILE]
+        values = np.unique(np.concatenate([around[q].values for q in xs]))
+        has = np.zeros((len(xs), len(values) + 1), bool)  # the last column: values that none has
+        for row, q in enumerate(xs):
+            has[row, np.searchsorted(values, around[q].values)] = True
+        open_, todo = todo, []
+        for r in open_:
+            one, n = around[r], int(np.searchsorted(ids[xs], ids[r]))
+            at = np.searchsorted(values, one.values)
+            known = values[np.minimum(at, len(values) - 1)] == one.values
+            found = None
+            # First against all of the tile together: what nobody has, as after an edit, most often decides.
+            if n and one.may_share(known[None, :])[0]:
+                hit = has[:n][:, np.where(known, at, len(values))]
+                found = next((row for row in np.flatnonzero(one.may_share(hit)) if passages(around[xs[row]].seq, one.seq, least, similarity)), None)
+            if found is None:
+                todo.append(r)
+            else:
+                out.append((int(xs[found]), r))
     return out
 
 
 def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:
-    """Hits (as ``starred`` gives them) of open places: each with the smallest documents of its bucket, one of every block,
-    that have the passage in the words around. Buckets are compared in full, in pairs of blocks of bounded size; small
-    buckets travel together."""
+    """Hits (as ``starred`` gives them) of open places. Places of a bucket with equal words around them are one kind; each
+    shares its passage with the smallest document of its kind. The kinds of a bucket are compared in full, in pairs of
+    blocks of bounded size: each open one with the smallest documents, one of every block, that have the passage in the
+    words around. Small buckets travel together."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BY).reset_index(drop=True)
-        ids, mine, is_open, c, f, i, j = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f", "i", "j"))
-        bits, by, out = pdf["bits"].tolist(), pdf[BY].to_numpy(), []
-        cuts = [0, *(np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        pdf = pdf.sort_values("bucket").reset_index(drop=True)
+        ids, mine, is_open, c, f, i, j, bucket = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f", "i", "j", "bucket"))
+        known = {x: Around(np.frombuffer(x, np.uint32), least, similarity) for x in set(pdf["bits"])}
+        around, out = [known[x] for x in pdf["bits"]], []
+        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(pdf)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            at = slice(lo, hi)
+            at = np.arange(lo, hi)
             for left, right in {(int(i[lo]), int(j[lo])), (int(j[lo]), int(i[lo]))}:
-                lower, upper = np.flatnonzero(mine[at] == left), np.flatnonzero((mine[at] == right) & is_open[at])
-                for a, b in nearest(ids[at], c[at], lower, upper, bits[at], least, similarity) if len(lower) and len(upper) else []:
-                    a, b = a + lo, b + lo
+                lower, upper = at[mine[at] == left], at[(mine[at] == right) & is_open[at]]
+                for a, b in nearest(ids, around, lower, upper, least, similarity) if len(lower) and len(upper) else []:
                     out.append((ids[a], ids[b], f[b], c[a], c[a], c[b], c[b]))
         return pd.DataFrame(out, columns=["a", "b", "f", "a_lo", "a_hi", "b_lo", "b_hi"])
 
-    sizes = rows.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
-    packs = max(1, rows.count() // 4096)
-    of = F.xxhash64(*BY)
+    made = written(contexts(rows.select("doc_id", "c").distinct(), docs, least), "contexts")
+    placed = rows.join(made.select("doc_id", "c", "around"), ["doc_id", "c"])
+    kinds = written(placed.groupBy("bucket", "around").agg(F.min(F.struct("doc_id", "c", "open", "f")).alias("k")).select("bucket", "around", "k.*"), "kinds")
+    first = kinds.select("bucket", "around", F.col("doc_id").alias("a"), F.col("c").alias("a_c"))
+    same = placed.filter("open").join(first, ["bucket", "around"]).filter("doc_id <> a")
+    one = lambda df, a, ac, b, bc: df.select(F.col(a).alias("a"), F.col(b).alias("b"), "f", F.col(ac).alias("a_lo"), F.col(ac).alias("a_hi"), F.col(bc).alias("b_lo"), F.col(bc).alias("b_hi"))
+    sizes = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).filter("least < last").select("bucket", "n", "last")
     blocks = F.ceil(F.col("n") / BLOCK)
+    meeting = written(kinds.join(sizes, "bucket").filter("doc_id <= last").drop("last"), "meeting")
+    packs = max(1, meeting.count() // BLOCK)
+    of = F.xxhash64("bucket")
     dealt = (
-        rows.join(contexts(rows.select("doc_id", "c").distinct(), docs, least), ["doc_id", "c"])
-        .join(sizes, BY)
+        meeting.join(made.select("doc_id", "c", "bits"), ["doc_id", "c"])
         .withColumns({"pack": F.when(F.col("n") > TILE, of).otherwise(F.pmod(of, F.lit(packs))), "mine": F.pmod(F.xxhash64("doc_id", "c"), blocks)})
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        .drop("other", "n")
+        .drop("other", "n", "around")
     )
-    return dealt.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long, f int, a_lo int, a_hi int, b_lo int, b_hi int").distinct()
+    met = dealt.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long, f int, a_lo int, a_hi int, b_lo int, b_hi int")
+    return one(same, "a", "a_c", "doc_id", "c").unionByName(met).distinct()
 
 
 def exact_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -287,11 +331,7 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> lis
 
 def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:
     """a, b, n_hashes, a_start, a_words, b_start, b_words, similarity. The words of each stretch, and of a passage's
-    length around it, are cut out beside the text and meet by the pair."""
-    pairs = found.withColumn("pair", F.xxhash64("a", "b", "a_lo", "b_lo"))
-    ends = pairs.select("pair", "a", "b", "n_hashes", F.col("a").alias("doc_id"), F.lit(0).alias("side"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).unionByName(
-        pairs.select("pair", "a", "b", "n_hashes", F.col("b").alias("doc_id"), F.lit(1).alias("side"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"))
-    )
+    length around it, are cut out beside the text, once for all the pairs that it stands in, and meet by the pair."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Words()
@@ -303,12 +343,14 @@ def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -
                 start = max(0, lo - least)
                 at.append(start)
                 bits.append(seq[start : hi + least + 1].tobytes())
-            yield batch.drop(columns=["text", "lo", "hi", "doc_id"]).assign(at=np.array(at, np.int32), bits=bits)
+            yield batch.drop(columns=["text"]).assign(at=np.array(at, np.int32), bits=bits)
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = ends.join(texts, "doc_id").select("pair", "a", "b", "n_hashes", "side", "doc_id", "lo", "hi", "text").mapInPandas(cut, "pair long, a long, b long, n_hashes long, side int, at int, bits binary")
-    one = parts.filter("side = 0").select("pair", "a", "b", "n_hashes", F.col("at").alias("a_at"), F.col("bits").alias("a_bits"))
-    two = parts.filter("side = 1").select("pair", "a", "b", F.col("at").alias("b_at"), F.col("bits").alias("b_bits"))
+
+    def ends(x: str) -> DataFrame:
+        some = found.select(F.col(x).alias("doc_id"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi")).distinct()
+        parts = some.join(texts, "doc_id").mapInPandas(cut, "doc_id long, lo int, hi int, at int, bits binary")
+        return parts.select(F.col("doc_id").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -318,7 +360,8 @@ def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -
                     out.append((r.a, r.b, r.n_hashes, r.a_at + p, q - p + SIZE, r.b_at + i, j - i + SIZE, score))
             yield pd.DataFrame(out, columns=["a", "b", "n_hashes", "a_start", "a_words", "b_start", "b_words", "similarity"])
 
-    return one.join(two, ["pair", "a", "b"]).drop("pair").mapInPandas(compare, "a long, b long, n_hashes long, a_start long, a_words long, b_start long, b_words long, similarity double")
+    both = found.join(ends("b"), ["b", "b_lo", "b_hi"]).join(ends("a"), ["a", "a_lo", "a_hi"]).select("a", "b", "n_hashes", "a_at", "a_bits", "b_at", "b_bits")
+    return both.mapInPandas(compare, "a long, b long, n_hashes long, a_start long, a_words long, b_start long, b_words long, similarity double")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 3, agree: int = 1) -> DataFrame:
@@ -340,14 +383,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     spark, made_path = docs.sparkSession, new_path(docs.sparkSession, "windows")
     windows(docs, hashes, least).write.option("compression", "zstd").parquet(made_path)
     made = spark.read.schema("key long, doc_id long, c int, sides long").parquet(made_path)
-    # Most keys stand once: they are counted alone, without the windows.
-    often = made.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # Most keys stand in one document: they are counted alone, without the windows.
+    often = made.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     repeated = written(made.join(often, "key", "left_semi"), "windows")
     drop_path(spark, made_path)
-    rows = sided(repeated)
-    found = written(stretches(starred(rows), agree, least), "stretches")
+    found = written(stretches(starred(sided(repeated)), agree, least), "stretches")
     first = written(verified(found, docs, least, similarity).distinct(), "passages")
-    open_rows = written(still_open(rows, first), "open")
+    open_rows = written(still_open(repeated, first), "open")
     more = written(stretches(crossing(open_rows, docs, least, similarity), 1, least), "stretches")
     pairs = first.unionByName(written(verified(more, docs, least, similarity).distinct(), "passages")).distinct()
     members = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_start").alias("start_word"), F.col("b_words").alias("n_words")).agg(
