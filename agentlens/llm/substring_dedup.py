@@ -20,6 +20,7 @@ walking down the tree and stopping at short subtrees.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,23 +38,22 @@ GAP = 2 * SIZE
 def compact_windows(values: np.ndarray, least: int, at: list[int] | None = None) -> list[tuple[int, int, int]]:
     """(l, c, r), ends included, of every stretch of ``least`` or more; of equal minima the first counts. Where values
     stand for runs, ``at`` has the place where each run begins, and the end."""
-    at = range(len(values) + 1) if at is None else at
-    ties = len(np.unique(values)) < len(values)
-    out, todo = [], [(0, len(values))]
+    at = list(range(len(values) + 1)) if at is None else at
+    out, todo = [], [(0, len(values))] * (at[-1] >= least)
     while todo:
         lo, hi = todo.pop()
-        if at[hi] - at[lo] < least:
-            continue
         part = values[lo:hi]
-        c = int(part.argmin())
-        # Equal minima cut the stretch at once: a text of one line over and over is not walked again for each line.
-        for c in (lo + np.flatnonzero(part == part[c])).tolist() if ties else (lo + c,):
-            if at[hi] - at[lo] < least:
-                break
+        c = lo + int(part.argmin())
+        # In a long stretch all equal minima cut at once: a text of one line over and over is not walked for each line.
+        for c in (lo + np.flatnonzero(part == values[c])).tolist() if hi - lo > LONG else (c,):
             out.append((lo, c, hi - 1))
-            todo.append((lo, c))
+            if at[c] - at[lo] >= least:
+                todo.append((lo, c))
             lo = c + 1
-        todo.append((lo, hi))
+            if at[hi] - at[lo] < least:
+                break
+        else:
+            todo.append((lo, hi))
     return out
 
 
@@ -67,20 +67,21 @@ def runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 NONE = 1 << 16
 #: The shingles before and after a minimum whose least stands for that side.
 BESIDE = 10
+#: Values of a stretch that is looked through for equal minima.
+LONG = 512
 #: Rows of a block in the full comparison of a bucket, and of one matrix in it.
 BLOCK, TILE = 4096, 512
 
 
-def beside(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits for each place of c: the least of the BESIDE shingles before it, and of those after it. A least does not
-    shift with the words around it, and in a passage with one edit (or none) the longer clean part has room for one of
-    the two wherever in it the minimum stands."""
+def beside(s: np.ndarray) -> np.ndarray:
+    """16 bits for each place: the least of the BESIDE shingles before it (at the place itself), and of those after it
+    (BESIDE + 1 further on). A least does not shift with the words around it, and in a passage with one edit (or none) the
+    longer clean part has room for one of the two wherever in it the minimum stands."""
     n = max(0, len(s) - BESIDE + 1)
     least = s[:n].copy()
     for i in range(1, BESIDE):
         np.minimum(least, s[i : i + n], out=least)
-    short = np.concatenate([np.full(BESIDE, NONE), (mixed(least) >> np.uint64(48)).astype(np.int64), np.full(BESIDE, NONE)])
-    return short[c], short[c + BESIDE + 1]
+    return np.concatenate([np.full(BESIDE, NONE), (mixed(least) >> np.uint64(48)).astype(np.int64), np.full(BESIDE, NONE)])
 
 
 def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
@@ -96,7 +97,7 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
                 if len(s) < least:
                     continue
                 values, at = runs(s)
-                ends = at.tolist()
+                ends, short = at.tolist(), beside(s)
                 for i in range(hashes):
                     v = mixed(values ^ k[i])
                     c = np.array(compact_windows(v, least, ends), np.int64).reshape(-1, 3)[:, 1]
@@ -107,8 +108,7 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
                     keys.append(key)
                     ids.append(np.full(len(c), doc_id, np.int64))
                     places.append(c.astype(np.int32))
-                    before, after = beside(s, c)
-                    sides.append((i << 34) | (before << 17) | after)
+                    sides.append((i << 34) | (short[c] << 17) | short[c + BESIDE + 1])
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "c": np.concatenate(places), "sides": np.concatenate(sides)})
 
@@ -118,7 +118,9 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
 def sided(found: DataFrame) -> DataFrame:
     """bucket, f, doc_id, c: one row a window and side. A bucket stands for key, side and what is beside."""
     bits = lambda at: F.shiftright("sides", at).bitwiseAND((1 << 17) - 1)
-    bucket = F.explode(F.array(*(F.when(bits(at) != NONE, F.xxhash64("key", F.lit(at), bits(at))) for at in (17, 0)))).alias("bucket")
+    # 16 bits of the key lead, so that the buckets of a key can travel together.
+    of = lambda at: F.shiftleft(F.shiftright("key", 48), 48).bitwiseOR(F.shiftrightunsigned(F.xxhash64("key", F.lit(at), bits(at)), 16))
+    bucket = F.explode(F.array(*(F.when(bits(at) != NONE, of(at)) for at in (17, 0)))).alias("bucket")
     return found.select(bucket, F.shiftright("sides", 34).cast("int").alias("f"), "doc_id", "c").filter("bucket IS NOT NULL")
 
 
@@ -179,17 +181,24 @@ class Around:
     """What one place's surroundings show of the passages that another text may share with it."""
 
     def __init__(self, s: np.ndarray, least: int, similarity: float):
-        self.seq, self.similarity = s, similarity
-        self.values, at = runs(s)
-        self.apart = len(np.unique(self.values)) == len(self.values)
-        if self.apart:
-            # For each end the last beginning that leaves a passage's length.
-            begin = np.searchsorted(at, at - least, "right") - 1
-            self.ends = np.flatnonzero(begin >= 0)
-            self.begins = begin[self.ends]
-        else:
+        self.seq, self.least, self.similarity = s, least, similarity
+        self.values, self.at = runs(s)
+        sorted_ = np.sort(self.values)
+        self.apart = bool((sorted_[1:] != sorted_[:-1]).all())
+        self.single = self.apart and len(self.values) == len(s)
+        if not self.apart:
             self.values = np.unique(s)
-            self.need = similarity * fewest_distinct(s, len(self.values), least) - 1e-9
+
+    @cached_property
+    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of runs, and for each the last beginning that leaves a passage's length."""
+        begin = np.searchsorted(self.at, self.at - self.least, "right") - 1
+        ends = np.flatnonzero(begin >= 0)
+        return ends, begin[ends]
+
+    @cached_property
+    def need(self) -> float:
+        return self.similarity * fewest_distinct(self.seq, len(self.values), self.least) - 1e-9
 
     def may_share(self, hit: np.ndarray) -> np.ndarray:
         """hit: for each other text, which of ``values`` it has. Whether some stretch of a passage's length has the share
@@ -198,8 +207,8 @@ class Around:
             return hit.sum(axis=1) >= self.need
         sums = np.zeros((len(hit), hit.shape[1] + 1), np.float32)
         np.cumsum(hit - np.float32(self.similarity), axis=1, out=sums[:, 1:])
-        least = np.minimum.accumulate(sums, axis=1)
-        return (sums[:, self.ends] - least[:, self.begins] > -1e-3).any(axis=1)
+        least, (ends, begins) = np.minimum.accumulate(sums, axis=1), self.lengths
+        return (sums[:, ends] - least[:, begins] > -1e-3).any(axis=1)
 
 
 def fewest_distinct(s: np.ndarray, distinct: int, least: int) -> float:
@@ -214,17 +223,19 @@ def fewest_distinct(s: np.ndarray, distinct: int, least: int) -> float:
     return int((views < np.arange(len(views))[:, None]).sum(axis=1).min())
 
 
-def nearest(ids: np.ndarray, around: list[Around], lower: np.ndarray, upper: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+def nearest(ids: np.ndarray, around: list[Around], lower: np.ndarray, upper: np.ndarray, least: int, similarity: float, met: dict[tuple[int, int], bool]) -> list[tuple[int, int]]:
     """For each place of ``upper`` the place of the smallest document in ``lower`` (a smaller one than its own) that has a
-    passage in the words around, if there is one."""
+    passage in the words around, if there is one. ``met`` remembers pairs of surroundings."""
     lower = lower[np.argsort(ids[lower], kind="stable")]
     todo, out = upper.tolist(), []
     for x in range(0, len(lower), TILE):
         xs = lower[x : x + TILE]
         values = np.unique(np.concatenate([around[q].values for q in xs]))
-        has = np.zeros((len(xs), len(values) + 1), bool)  # the last column: values that none has
+        # Where each value stands in each text, from 1 on; 0: nowhere. The last column: values that none has.
+        where = np.zeros((len(xs), len(values) + 1), np.int16)
         for row, q in enumerate(xs):
-            has[row, np.searchsorted(values, around[q].values)] = True
+            v = around[q].values
+            where[row, np.searchsorted(values, v)] = np.arange(1, len(v) + 1)
         open_, todo = todo, []
         for r in open_:
             one, n = around[r], int(np.searchsorted(ids[xs], ids[r]))
@@ -233,12 +244,20 @@ def nearest(ids: np.ndarray, around: list[Around], lower: np.ndarray, upper: np.
             found = None
             # First against all of the tile together: what nobody has, as after an edit, most often decides.
             if n and one.may_share(known[None, :])[0]:
-                hit = has[:n][:, np.where(known, at, len(values))]
-                found = next((row for row in np.flatnonzero(one.may_share(hit)) if passages(around[xs[row]].seq, one.seq, least, similarity)), None)
+                places = where[:n][:, np.where(known, at, len(values))]
+                for row in np.flatnonzero(one.may_share(places > 0)):
+                    other = around[xs[row]]
+                    pair = (id(other), id(one))
+                    if pair not in met:
+                        place = places[row].astype(np.int64) - 1 if one.single and other.single else None
+                        met[pair] = bool(passages(other.seq, one.seq, least, similarity, place))
+                    if met[pair]:
+                        found = int(xs[row])
+                        break
             if found is None:
                 todo.append(r)
             else:
-                out.append((int(xs[found]), r))
+                out.append((found, r))
     return out
 
 
@@ -252,13 +271,13 @@ def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) ->
         pdf = pdf.sort_values("bucket").reset_index(drop=True)
         ids, mine, is_open, c, f, i, j, bucket = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f", "i", "j", "bucket"))
         known = {x: Around(np.frombuffer(x, np.uint32), least, similarity) for x in set(pdf["bits"])}
-        around, out = [known[x] for x in pdf["bits"]], []
+        around, met, out = [known[x] for x in pdf["bits"]], {}, []
         cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(pdf)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             at = np.arange(lo, hi)
             for left, right in {(int(i[lo]), int(j[lo])), (int(j[lo]), int(i[lo]))}:
                 lower, upper = at[mine[at] == left], at[(mine[at] == right) & is_open[at]]
-                for a, b in nearest(ids, around, lower, upper, least, similarity) if len(lower) and len(upper) else []:
+                for a, b in nearest(ids, around, lower, upper, least, similarity, met) if len(lower) and len(upper) else []:
                     out.append((ids[a], ids[b], f[b], c[a], c[a], c[b], c[b]))
         return pd.DataFrame(out, columns=["a", "b", "f", "a_lo", "a_hi", "b_lo", "b_hi"])
 
@@ -272,10 +291,9 @@ def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) ->
     blocks = F.ceil(F.col("n") / BLOCK)
     meeting = written(kinds.join(sizes, "bucket").filter("doc_id <= last").drop("last"), "meeting")
     packs = max(1, meeting.count() // BLOCK)
-    of = F.xxhash64("bucket")
     dealt = (
         meeting.join(made.select("doc_id", "c", "bits"), ["doc_id", "c"])
-        .withColumns({"pack": F.when(F.col("n") > TILE, of).otherwise(F.pmod(of, F.lit(packs))), "mine": F.pmod(F.xxhash64("doc_id", "c"), blocks)})
+        .withColumns({"pack": F.when(F.col("n") > TILE, F.col("bucket")).otherwise(F.pmod(F.xxhash64(F.shiftright("bucket", 48)), F.lit(packs))), "mine": F.pmod(F.xxhash64("doc_id", "c"), blocks)})
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
         .drop("other", "n", "around")
@@ -306,20 +324,46 @@ def exact_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """Passages of two sequences of shingles: start and end in a, in b (ends included), similarity.
+def places_in(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """The place in a of each value of b (-1: none), if neither repeats a value."""
+    order = np.argsort(a)
+    ranked, sorted_ = a[order], np.sort(b)
+    if not len(a) or (ranked[1:] == ranked[:-1]).any() or (sorted_[1:] == sorted_[:-1]).any():
+        return None
+    at = np.minimum(np.searchsorted(ranked, b), len(a) - 1)
+    return np.where(ranked[at] == b, order[at], -1)
+
+
+def placed_runs(place: np.ndarray) -> list[tuple[int, int, int]]:
+    """``exact_runs`` from the places."""
+    hit = np.flatnonzero(place >= 0)
+    if not len(hit):
+        return []
+    at = place[hit]
+    begin = np.concatenate([[0], np.flatnonzero((hit[1:] != hit[:-1] + 1) | (at[1:] != at[:-1] + 1)) + 1])
+    return list(zip(at[begin].tolist(), hit[begin].tolist(), (np.append(begin[1:], len(hit)) - begin).tolist(), strict=True))
+
+
+def passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float, place: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Passages of two sequences of shingles: start and end in a, in b (ends included), similarity. ``place``: what
+    ``places_in`` gives, if it is known.
 
     Exact runs are taken together from left to right while they are no further apart than a gap on both sides and the
     Jaccard similarity of the shingles they cover stays at ``similarity`` or more; what has ``least`` shingles on both
     sides is a passage. So an exact run of that length is always part of one."""
     out, now = [], None
+    place = places_in(a, b) if place is None else place
 
     def jaccard(p: int, q: int, i: int, j: int) -> float:
+        if place is not None:
+            at = place[i : j + 1]
+            k = int(np.count_nonzero((at >= p) & (at <= q)))
+            return k / (q - p + 1 + j - i + 1 - k)
         x, y = np.unique(a[p : q + 1]), np.unique(b[i : j + 1])
         k = len(np.intersect1d(x, y, assume_unique=True))
         return k / (len(x) + len(y) - k)
 
-    for p, i, n in [*exact_runs(a, b), (0, 0, 0)]:
+    for p, i, n in [*(exact_runs(a, b) if place is None else placed_runs(place)), (0, 0, 0)]:
         if now and n and 0 < p - now[1] <= GAP and i - now[3] <= GAP and (score := jaccard(now[0], p + n - 1, now[2], i + n - 1)) >= similarity:
             now = (now[0], p + n - 1, now[2], i + n - 1, score)
             continue
@@ -347,10 +391,9 @@ def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def ends(x: str) -> DataFrame:
-        some = found.select(F.col(x).alias("doc_id"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi")).distinct()
-        parts = some.join(texts, "doc_id").mapInPandas(cut, "doc_id long, lo int, hi int, at int, bits binary")
-        return parts.select(F.col("doc_id").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
+    ends = found.select(F.col("a").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(found.select("b", "b_lo", "b_hi")).distinct()
+    parts = written(ends.join(texts, "doc_id").mapInPandas(cut, "doc_id long, lo int, hi int, at int, bits binary"), "parts")
+    side = lambda x: parts.select(F.col("doc_id").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -360,7 +403,7 @@ def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -
                     out.append((r.a, r.b, r.n_hashes, r.a_at + p, q - p + SIZE, r.b_at + i, j - i + SIZE, score))
             yield pd.DataFrame(out, columns=["a", "b", "n_hashes", "a_start", "a_words", "b_start", "b_words", "similarity"])
 
-    both = found.join(ends("b"), ["b", "b_lo", "b_hi"]).join(ends("a"), ["a", "a_lo", "a_hi"]).select("a", "b", "n_hashes", "a_at", "a_bits", "b_at", "b_bits")
+    both = found.join(side("b"), ["b", "b_lo", "b_hi"]).join(side("a"), ["a", "a_lo", "a_hi"]).select("a", "b", "n_hashes", "a_at", "a_bits", "b_at", "b_bits")
     return both.mapInPandas(compare, "a long, b long, n_hashes long, a_start long, a_words long, b_start long, b_words long, similarity double")
 
 
