@@ -1,7 +1,7 @@
 """Token ids in canonical length-limited Huffman code, in files of independent blocks.
 
-Writing: every text becomes ids once (kept as a compact table in the shared folder), the ids are counted over the whole
-corpus (at most one count for each id of the vocabulary), package-merge gives code lengths of at most ``limit`` bits, and
+Writing: every text becomes ids once (kept as a compact table in the shared folder), the ids are counted on the way (at
+most one count a task for each id of the vocabulary), package-merge gives code lengths of at most ``limit`` bits, and
 each range of doc_ids is coded by one task into one file. Reading: a table of 2 ** limit entries gives symbol and length
 for the next bits; every checkpoint (a bit offset for each ``EVERY`` ids) is decoded side by side with the others.
 
@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,13 @@ from agentlens.llm.common import bounded_batches, new_path, table
 
 EVERY, BLOCK_IDS, FILE_IDS = 128, 2_000_000, 16_000_000
 MAGIC = b"HUF1"
-SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+#: White space, for RE2; a text where a space or a line feed stands at an end or beside other white space (or which has a
+#: zero byte) is tangled: it is cut by ``SINGLE`` alone.
+WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TANGLED = rf"\x00|(?:^|[{WHITE}])[ \n]|[ \n](?:$|[{WHITE}])"
+SINGLE = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text that are cut and put together at a time (one longer text stands alone), and unseen stretches a call.
+SLICE_BYTES, TOGETHER = 32_000_000, 1000
 
 
 def default_tokenizer() -> str:
@@ -41,10 +49,12 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, with a bounded memory of stretches that start at a space.
+    """Ids of texts by the tokenizers library, with a bounded memory of stretches.
 
-    The vocabulary's pattern starts a new piece at every single space between two characters that are not white space,
-    and never joins across it, so the stretches' ids in a row are the ids of the whole text.
+    The vocabulary's pattern starts a new piece at every single space and around every single line feed between two
+    characters that are not white space, and never joins across it, so the stretches' ids in a row are the ids of the
+    whole text. Texts are cut and ids put together as Arrow and numpy columns; each different stretch of a batch is looked
+    up once.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
@@ -54,35 +64,79 @@ class Encoder:
         self.inner.no_padding()
         self.inner.no_truncation()
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        feed = self.inner.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         # Two generations: what the older one still has is not encoded again when the newer one is full.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = limit
 
-    @staticmethod
-    def stretches(text: str) -> list[str]:
-        # As many words as white space has characters, and one: each stands alone between two words.
-        if len(text.split()) == 1 + sum(map(text.count, SPACES)):
-            parts = text.split(" ")
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        parts = re.split(r"(?<=\S) (?=\S)", text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.stretches(t) if t else [] for t in texts]
-        new = list({s: None for parts in split for s in parts if s not in self.known})
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes stretches many at a time, as lines of one text; those with line feeds by themselves."""
+        lines = [s for s in new if "\n" not in s] if self.feed is not None else []
+        for i in range(0, len(lines), TOGETHER):
+            some = lines[i : i + TOGETHER]
+            (ids,) = self._raw(["\n".join(some) + "\n"])
+            blob, cuts, begin, width = ids.tobytes(), np.flatnonzero(ids == self.feed).tolist(), 0, self.dtype.itemsize
+            for s, end in zip(some, cuts, strict=True):
+                self.known[s] = blob[begin * width : end * width]
+                begin = end + 1
+        alone = new if self.feed is None else [s for s in new if "\n" in s]
+        for i in range(0, len(alone), TOGETHER):
+            some = alone[i : i + TOGETHER]
+            self.known.update((s, x.tobytes()) for s, x in zip(some, self._raw(some), strict=True))
+
+    def of_stretches(self, stretches: list[str]) -> list[bytes]:
+        """Ids of different stretches."""
+        got = list(map(self.known.get, stretches))
+        new = [s for s, x in zip(stretches, got, strict=True) if x is None]
+        if not new:
+            return got
         if len(self.known) + len(new) > self.limit:
             self.known, self.older = {}, self.known
-            new = list({s: None for parts in split for s in parts})
         if self.older:
-            self.known.update((s, self.older[s]) for s in new if s in self.older)
-            new = [s for s in new if s not in self.known]
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            for s, e in zip(some, self.inner.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[s] = np.array(e.ids, self.dtype).tobytes()
-        of = self.known.__getitem__
-        return [b"".join(map(of, parts)) for parts in split]
+            self.known.update((s, x) for s in new if (x := self.older.get(s)) is not None)
+            self._learn([s for s in new if s not in self.known])
+        else:
+            self._learn(new)
+        return [self.known[s] if x is None else x for s, x in zip(stretches, got, strict=True)]
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """The ids of each text, with ``end``, as bytes; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        tangled = pc.match_substring_regex(texts, TANGLED)
+        if not pc.any(tangled).as_py():
+            return self._joined(self._cut(texts), end)
+        plain, rest = texts.filter(pc.invert(tangled)), texts.filter(tangled)
+        single = [[first, *[" " + x for x in others]] for first, *others in map(SINGLE.split, rest.to_pylist())]
+        both = pa.concat_arrays([self._joined(self._cut(plain), end), self._joined(pa.array(single, pa.list_(pa.string())), end)])
+        order = np.argsort(tangled.to_numpy(zero_copy_only=False), kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return both.take(pa.array(back))
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.Array:
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+
+    def _joined(self, cut: pa.Array, end: int) -> pa.Array:
+        if not len(cut):
+            return pa.array([], pa.binary())
+        coded = cut.flatten().dictionary_encode()
+        ids = self.of_stretches(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        at = coded.indices.to_numpy()
+        n, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[cut.offsets.to_numpy()]
+        out = np.insert(out, cuts[1:], end)
+        offsets = (cuts + np.arange(len(cuts))) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -95,36 +149,49 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def slices(texts: pa.Array) -> Iterator[slice]:
+    """Consecutive rows of about ``SLICE_BYTES`` of text."""
+    turn = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(texts)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
+TOKENISED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (bytes, 2 or 4 an id), with the end id; null and empty texts have the end id alone."""
+    """doc_id, ids (bytes, 2 or 4 an id), with the end id; null and empty texts have the end id alone. The last row of a
+    task has ``counts`` instead (int64 for each id up to the largest one) of all its ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = encoder(tokenizer)
-        end = np.array([end_id], coder.dtype).tobytes()
+        coder, total = encoder(tokenizer), np.zeros(0, np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i : i + 1000]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "ids": [x + end for x in coder.encode(part["text"].tolist())]})
+            for part in slices(batch["text"]):
+                texts = batch["text"].slice(part.start, part.stop - part.start)
+                ids = coder.encode(texts, end_id)
+                some = np.bincount(np.frombuffer(ids.buffers()[2], coder.dtype))
+                total, some = (some, total) if len(some) > len(total) else (total, some)
+                total[: len(some)] += some
+                yield pa.record_batch([batch["doc_id"].slice(part.start, len(texts)), ids, pa.nulls(len(texts), pa.binary())], schema=TOKENISED)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=TOKENISED)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def counts(ids: DataFrame, width: int) -> DataFrame:
-    """id, n over all documents; each task sends at most one row an id."""
+def counts(made: DataFrame) -> DataFrame:
+    """id, n over all documents; each task of ``tokenised`` sends at most one row an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            some = np.bincount(np.frombuffer(b"".join(batch["ids"]), f"<u{width}"))
-            total, some = (some, total) if len(some) > len(total) else (total, some)
-            total[: len(some)] += some
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
+            for blob in batch["counts"]:
+                n = np.frombuffer(blob, np.int64)
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"id": at, "n": n[at]})
 
-    return ids.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return made.filter("counts IS NOT NULL").select("counts").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(weights: np.ndarray, limit: int) -> np.ndarray:
@@ -239,8 +306,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     limit = max(limit, int(np.ceil(np.log2(max(2, size)))))
     ids_path = new_path(spark, "ids")
     tokenised(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(ids_path)
-    ids = spark.read.schema("doc_id long, ids binary").parquet(ids_path)
-    found = counts(ids, width).toPandas()
+    made = spark.read.schema("doc_id long, ids binary, counts binary").parquet(ids_path)
+    ids = made.filter("ids IS NOT NULL").select("doc_id", "ids")
+    found = counts(made).toPandas()
     weights = np.zeros(max(size, end_id + 1), np.int64)
     weights[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     lengths = code_lengths(weights, limit)
@@ -276,9 +344,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     files = max(1, -(-int(weights.sum()) // FILE_IDS))
     ordered = ids.withColumn("tie", F.crc32("ids")).repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     # One row a file.
-    made = sorted(ordered.select("doc_id", "ids").mapInPandas(run, "part int, name string, docs long, ids long").collect(), key=lambda r: r["part"])
+    parts = sorted(ordered.select("doc_id", "ids").mapInPandas(run, "part int, name string, docs long, ids long").collect(), key=lambda r: r["part"])
     start, listed = 0, []
-    for r in made:
+    for r in parts:
         if r["docs"]:
             listed.append({"name": r["name"], "start": start, "docs": r["docs"], "ids": r["ids"]})
             start += r["ids"]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,36 @@ def test_crossing_compares_all_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.first_doc_id, r.n_words) for r in got} == {(i, 25, 60) for i in range(25, 30)}
 
 
+def test_nearest_is_brute_force(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TILE", 32)
+    rng = np.random.default_rng(5)
+    base, kinds = rng.integers(0, 1 << 32, 113), []
+    for t in range(160):
+        s = rng.choice(base[:8], 113).tolist() if t % 8 == 7 else np.repeat(base[:30], 4).tolist() if t % 8 == 6 else base.tolist()
+        for _ in range(rng.integers(0, 5)):
+            at, new = int(rng.integers(0, 108)), rng.integers(0, 1 << 32, 5).tolist()
+            s[at : at + (5 if t % 3 else 4)] = new if t % 3 == 0 else new[:4]
+        kinds.append(np.array(s[:113], np.uint32))
+    ids = rng.permutation(160)
+    got = {b: a for a, b in substring_dedup.nearest(ids, [substring_dedup.Around(k, 46, 0.8) for k in kinds], np.arange(160), np.arange(160), 46, 0.8, {})}
+    monkeypatch.setattr(substring_dedup, "places_in", lambda a, b: None)  # the general comparison
+    want = {}
+    for y in range(160):
+        smaller = sorted((x for x in range(160) if ids[x] < ids[y]), key=lambda x: ids[x])
+        found = next((x for x in smaller if substring_dedup.passages(kinds[x], kinds[y], 46, 0.8)), None)
+        want |= {} if found is None else {y: found}
+    assert got == want and 60 < len(want) < 159
+
+
+def test_runs_of_a_word_stand_at_their_ends(spark):
+    rows = [(i, " ".join([*words(7000 + i, 60, 10**6), *["again"] * (60 + i), *words(7100 + i, 60, 10**6)])) for i in range(4)] + [(9, " ".join(["line of five words here"] * 3000))]
+    got = {(r.doc_id, r.first_doc_id): (r.start_word, r.n_words) for r in substring_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert {i for i, _ in got} == {0, 1, 2, 3} and all(got[i, 0] == (60, 60) for i in range(4))
+    v = np.tile(np.random.default_rng(1).integers(0, 99, 5), 400)
+    found = substring_dedup.compact_windows(v, 46)
+    assert all([c for lo, c, hi in found if lo <= i <= c <= i + 45 <= hi] == [i + int(v[i : i + 46].argmin())] for i in range(len(v) - 45))
+
+
 def test_repeats_with_a_word_put_in_or_left_out(spark):
     rows, rng = [], np.random.default_rng(3)
     for k in range(60):
@@ -247,7 +278,11 @@ def test_stretches_encode_like_the_whole(spark):
 
     whole, ours = Tokenizer.from_file(token_files.default_tokenizer()), token_files.Encoder(token_files.default_tokenizer(), limit=4)
     texts = ["", " ", "a  b", "foo \n bar", " lead", "trail ", "it's  x   y", "<|endoftext|> a<|endoftext|>b c", "tab\t x \x85y\x1c z", "日本 語 ² x", "a​ b 　c", "\n \n x", LONG[:500]]
-    assert [np.frombuffer(b, "<u2").tolist() for b in ours.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["one\ntwo, three\nfour", "a\n\nb c", "feed\n", "cr\r\nlf x", "zero\0 byte y\nz", "one two", None]
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for _ in range(2):  # the second time from memory
+        assert [np.frombuffer(b, "<u2").tolist() for b in ours.encode(pa.array(texts, pa.string()), 2).to_pylist()] == want
+    assert [(s.start, s.stop) for s in token_files.slices(pa.array([None, "x", "", "y"]))] == [(0, 4)]
 
 
 def test_token_files_round_trip(spark, monkeypatch):
