@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentlens.functions.stats import mcnemar_exact, paired_difference, share, standing, time_bound, wilson
+from agentlens.functions.stats import Z95, mcnemar_exact, paired_difference, share, standing, time_bound, wilson
 
 SLICE_KEYS = {"arm", "cond", "repos", "machine", "since", "until", "limit_s"}
 
@@ -199,13 +199,15 @@ def verdict_curve(ev: DataFrame, prices: list[float], triage: list[float], **how
     return api_verdict(ev.withColumn("g", grid).select("*", "g.price", "g.triage").drop("g"), F.col("price"), triage_minutes=F.col("triage"), **how)
 
 
-def tasks_needed(rates: DataFrame, half_width: float, cap: int = 10_000) -> DataFrame:
-    """Fewest tasks whose interval at each rate is no wider than +-half_width (cap if none): an ordered search in the row
-    over n, since the width falls with n."""
-    n = F.sequence(F.lit(1), F.lit(cap))
-    w = lambda k: wilson(F.col("point") * k, k)
-    first = F.get(F.filter(n, lambda k: (w(k)["hi"] - w(k)["lo"]) / 2 <= half_width), 0)
-    return rates.withColumn("tasks_needed", F.coalesce(first, F.lit(cap)))
+def tasks_needed(rates: DataFrame, half_width: float) -> DataFrame:
+    """Fewest tasks whose interval at each rate is no wider than +-half_width: the width solved for n, a quadratic, and
+    the first of the numbers around the root that satisfies it (rounding)."""
+    p, z, h = F.col("point"), Z95 * Z95, half_width * half_width
+    b = z * p * (1 - p) - 2 * h * z
+    root = F.ceil((b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * h * (h - 0.25) * z * z))) / (2 * h))
+    w = lambda k: wilson(p * k, k)
+    around = F.sequence(F.greatest(F.lit(1).cast("long"), root - 1), F.greatest(F.lit(1).cast("long"), root + 1))
+    return rates.withColumn("tasks_needed", F.get(F.filter(around, lambda k: (w(k)["hi"] - w(k)["lo"]) / 2 <= half_width), 0))
 
 
 def plan_nights(needed: DataFrame, cells: int, minutes: Column, night_hours: float = 8.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agentlens.functions.stats import share
+from agentlens.sources.paths import shared_path
 
 # Weights of success, quality, speed and cost by bucket.
 REWARD_WEIGHTS = {
@@ -220,28 +222,39 @@ def replay(episodes: DataFrame, estimates: DataFrame, configs: list[tuple[str, f
     rows = episodes.withColumn("c", cells).select("*", "c.*").drop("c")
     est = estimates.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("agent", "estimate"))).alias("known"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        first = pdf.iloc[0]
-        bandit = _Arms(arms, len(first["x"]), first["alpha"], first["decay"])
-        match = used = fell = 0
-        actual = total = 0.0
-        for r in pdf.itertuples():
-            x = np.asarray(r.x, float)
-            pick = bandit.pick(x)
-            logged = 0.0 if pd.isna(r.reward) else r.reward
-            means = dict(r.known) if r.known is not None else {}
-            if pick == r.agent:
-                got, match = logged, match + 1
-            elif pick in means:
-                got, used = means[pick], used + 1
-            else:
-                got, fell = default, fell + 1
-            actual, total = actual + logged, total + got
-            bandit.learn(pick, x, got)
-        return pd.DataFrame({"config": [first["config"]], "slice": [str(first[slices])], "n": [len(pdf)], "matches": [match], "estimated": [used], "defaults": [fell], "actual": [actual], "replayed": [total], "delta": [total - actual]})
-
-    return rows.join(est, "bucket", "left").groupBy("config", slices).applyInPandas(run, "config string, slice string, n long, matches long, estimated long, defaults long, actual double, replayed double, delta double")
+    columns = ["config", "slice", "n", "matches", "estimated", "defaults", "actual", "replayed", "delta"]
+
+    def summed(at: tuple, s: dict) -> pd.DataFrame:
+        return pd.DataFrame([(at[0], str(at[1]), s["n"], s["match"], s["used"], s["fell"], s["actual"], s["total"], s["total"] - s["actual"])], columns=columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, s = None, {}
+        for batch in batches:
+            for r in batch.itertuples():
+                if at != (now := (r.config, getattr(r, slices))):
+                    if at is not None:
+                        yield summed(at, s)
+                    at, s = now, {"bandit": _Arms(arms, len(r.x), r.alpha, r.decay), "n": 0, "match": 0, "used": 0, "fell": 0, "actual": 0.0, "total": 0.0}
+                x = np.asarray(r.x, float)
+                pick = s["bandit"].pick(x)
+                logged = 0.0 if pd.isna(r.reward) else r.reward
+                means = dict(r.known) if r.known is not None else {}
+                if pick == r.agent:
+                    got, kind = logged, "match"
+                elif pick in means:
+                    got, kind = means[pick], "used"
+                else:
+                    got, kind = default, "fell"
+                s[kind] += 1
+                s["n"] += 1
+                s["actual"] += logged
+                s["total"] += got
+                s["bandit"].learn(pick, x, got)
+        if at is not None:
+            yield summed(at, s)
+
+    ordered = rows.join(est, "bucket", "left").repartition("config", slices).sortWithinPartitions("config", slices, "id")
+    return ordered.mapInPandas(run, "config string, slice string, n long, matches long, estimated long, defaults long, actual double, replayed double, delta double")
 
 
 def reward_fidelity(rows: DataFrame, variants: dict[str, dict]) -> DataFrame:
@@ -358,32 +371,58 @@ def evaluation(rows: DataFrame, score: str = "p", label: str = "label") -> DataF
     return loss.join(auc(rows, score, label).withColumn("one", F.lit(1)), "one").drop("one").withColumn("accepted", F.col("auc") >= 0.55)
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", inner: bool = False, block: int = 1024) -> DataFrame:
+def _query_blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
+    """The queries in blocks of ``block`` at most, of which the driver holds one at a time; several blocks are dealt by
+    hash and written, so that reading one reads no other."""
+    spark, n = queries.sparkSession, -(-queries.count() // block)
+    if n <= 1:
+        yield queries.toPandas()
+        return
+    while True:
+        n *= 2
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query", F.to_json("q")), F.lit(n)))
+        if dealt.groupBy("block").count().filter(F.col("count") > block).isEmpty():
+            break
+    path = shared_path(spark, "queries")
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    made = spark.read.schema(dealt.schema).parquet(path)
+    for i in range(n):
+        yield made.filter(F.col("block") == i).drop("block").toPandas()
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", inner: bool = False, block: int = 20_000, tile: int = 256) -> DataFrame:
     """Exact nearest items of each query: query, key, distance (squared L2, or 1 - dot with ``inner``), rank; ties by key.
-    Items are dealt over partitions; queries, a set of bounded size, travel to them in blocks; each partition keeps k a
-    query, and the merge ranks partitions' bests only."""
-    shipped = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    sent = items.sparkSession.sparkContext.broadcast(shipped.toPandas())
-
-    def search(batches):
-        q = sent.value
-        if not len(q):
-            return
-        m = np.array(q["q"].tolist(), float)
-        for b in batches:
-            v = np.array(b[vector].tolist(), float).reshape(len(b), -1)
-            ids = b[key].to_numpy()
-            for i in range(0, len(m), block):
-                part = m[i : i + block]
-                dist = 1 - part @ v.T if inner else ((part**2).sum(1)[:, None] - 2 * part @ v.T + (v**2).sum(1)[None, :])
-                for j, row in enumerate(dist):
-                    row = np.round(row, 9) + 0.0
-                    best = np.lexsort((ids, row))[:k]
-                    yield pd.DataFrame({"query": q["query"].iloc[i + j], key: ids[best], "distance": row[best]})
-
-    found = items.select(key, vector).mapInPandas(search, f"query long, {key} long, distance double")
+    Items stay where they are; queries, which may grow with them, travel in blocks of ``block`` at most, one broadcast and
+    one scan of the items each. A partition keeps its k best a query from batch to batch, and the merge ranks those only.
+    Different rows of queries only; more than ``block`` equal rows of queries are no set."""
+    queries = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).distinct()
+
+    def found(block_of: pd.DataFrame) -> DataFrame:
+        sent = items.sparkSession.sparkContext.broadcast(block_of)
+
+        def search(batches):
+            q = sent.value
+            if not len(q):
+                return
+            m = np.array(q["q"].tolist(), float)
+            best, ids = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+            for b in batches:
+                v, own = np.array(b[vector].tolist(), float).reshape(len(b), -1), b[key].to_numpy(np.int64)
+                for i in range(0, len(m), tile):
+                    part = m[i : i + tile]
+                    dist = 1 - part @ v.T if inner else ((part**2).sum(1)[:, None] - 2 * part @ v.T + (v**2).sum(1)[None, :])
+                    both = np.concatenate([best[i : i + tile], np.round(dist, 9) + 0.0], axis=1)
+                    of = np.concatenate([ids[i : i + tile], np.broadcast_to(own, dist.shape)], axis=1)
+                    first = np.lexsort((of, both), axis=1)[:, :k]
+                    best[i : i + tile], ids[i : i + tile] = np.take_along_axis(both, first, 1), np.take_along_axis(of, first, 1)
+            row, col = np.nonzero(np.isfinite(best))
+            yield pd.DataFrame({"query": q["query"].to_numpy()[row], key: ids[row, col], "distance": best[row, col]})
+
+        return items.select(key, vector).mapInPandas(search, f"query long, {key} long, distance double")
+
+    every = reduce(DataFrame.unionByName, map(found, _query_blocks(queries, block)))
     w = Window.partitionBy("query").orderBy("distance", key)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def memory_bias(neighbours: DataFrame, episodes: DataFrame, least: int = 3, full: int = 5) -> DataFrame:
@@ -455,13 +494,23 @@ def quarantine_step(state: dict, rows: pd.DataFrame, interval: int = 50, release
 QUARANTINE_SCHEMA = "bucket string, id long, agent string, event string"
 
 
-def quarantine_replay(events: DataFrame) -> DataFrame:
+def quarantine_replay(events: DataFrame, interval: int = 50) -> DataFrame:
     """events (bucket, id, kind alert or decision, agent, value: deviation or reward): what happens to agents. An ordered
-    state machine, one group a bucket."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(quarantine_step({"ticks": 0, "agents": {}}, pdf.sort_values("id")), columns=["bucket", "id", "agent", "event"])
-
-    return events.groupBy("bucket").applyInPandas(run, QUARANTINE_SCHEMA)
+    state machine: decisions are numbered in Spark and only every ``interval``-th, which can change something, goes on
+    with the alerts; a bucket streams through a task in order, and only its state is carried from batch to batch."""
+    ordered = Window.partitionBy("bucket").orderBy("id", "kind", "agent", "value")
+    ticks = events.withColumn("tick", F.count_if(F.col("kind") != "alert").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = ticks.filter((F.col("kind") == "alert") | (F.col("tick") % interval == 0)).drop("tick")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, {}
+        for batch in batches:
+            for bucket, rows in batch.groupby("bucket", sort=False, dropna=False):
+                if at is None or at[0] != bucket:
+                    at, state = (bucket,), {"ticks": 0, "agents": {}}
+                yield pd.DataFrame(quarantine_step(state, rows, interval=1), columns=["bucket", "id", "agent", "event"])
+
+    return kept.repartition("bucket").sortWithinPartitions("bucket", "id", "kind", "agent", "value").mapInPandas(run, QUARANTINE_SCHEMA)
 
 
 def least_bad(alerts: DataFrame) -> DataFrame:

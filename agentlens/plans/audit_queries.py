@@ -145,7 +145,7 @@ def verdict_curve(rows):
 @query("a14_sample_plan", "v_attempts", f"""WITH {EV}, q AS (SELECT arm, cond, tasks, point, median_minutes, (SELECT min(i) FROM range(1, 3001) s(i), LATERAL (SELECT point*i AS k, i AS n) z WHERE ({HI} - {LO})/2 <= 0.05) AS need FROM e)
 SELECT arm, cond, tasks, need AS tasks_needed, greatest(need-tasks,0)*10 AS attempts_needed, CAST(ceil(greatest(need-tasks,0)*10 / greatest(1.0, floor(480/greatest(median_minutes,0.1)))) AS BIGINT) AS nights FROM q""")
 def sample_plan(rows):
-    need = audit.tasks_needed(audit.evidence(rows, BY), 0.05, cap=3000).withColumn("tasks_needed", F.col("tasks_needed").cast("long"))
+    need = audit.tasks_needed(audit.evidence(rows, BY), 0.05)
     return audit.plan_nights(need, 10, F.col("median_minutes")).select("arm", "cond", "tasks", "tasks_needed", "attempts_needed", "nights")
 
 

@@ -8,13 +8,13 @@ from agentlens.operators import joins
 from agentlens.plans.registry import query
 
 D = "v_decisions"
-OUT = "o AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id, CASE WHEN c_custkey%2=0 THEN 1 ELSE 0 END AS s, CAST(c_custkey AS DOUBLE)/2000 AS r FROM customer WHERE c_custkey % 3 = 0)"
+OUT = "o AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id, CASE WHEN c_custkey%2=0 THEN 1 ELSE 0 END AS s, CAST(c_custkey AS DOUBLE)/2000 AS r FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))"
 
 
 @query("j01_attach_outcomes", D + " customer", f"WITH {OUT}, l AS (SELECT task_id, max(id) AS id FROM v_decisions WHERE user_id % 10<>0 GROUP BY task_id), d AS (SELECT v.id, v.success, v.reward, CASE WHEN user_id%10=0 THEN NULL ELSE v.task_id END AS t FROM v_decisions v) SELECT d.id, CASE WHEN l.id IS NOT NULL AND o.s IS NOT NULL THEN o.s ELSE d.success END AS success, round(CASE WHEN l.id IS NOT NULL AND o.s IS NOT NULL THEN o.r ELSE d.reward END,6) AS reward FROM d LEFT JOIN l ON l.id=d.id LEFT JOIN o ON o.task_id=l.task_id")
 def attach_outcomes(d, c):
     d = d.withColumn("task_id", F.when(F.col("user_id") % 10 != 0, F.col("task_id")))
-    o = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("task_id"), (1 - F.col("c_custkey") % 2).cast("int").alias("success"), (F.col("c_custkey") / 2000).alias("reward"))
+    o = c.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").cast("string").alias("task_id"), (1 - F.col("c_custkey") % 2).cast("int").alias("success"), (F.col("c_custkey") / 2000).alias("reward"))
     return joins.attach_outcomes(d, o).select("id", "success", "reward")
 
 
@@ -72,18 +72,18 @@ def served(c):
     return joins.served(c.withColumn("judge_cost", F.lit(0.001))).select("case_id", "escalated", "final_passed", "total_cost")
 
 
-BANK = "b AS (SELECT DISTINCT prompt, length(prompt) AS size FROM v_results WHERE conv_id%2=0)"
+BANK = "b AS (SELECT DISTINCT prompt, length(prompt) AS size FROM v_results WHERE bucket='research')"
 
 
 @query("j06_with_bank", "v_results", f"WITH {BANK} SELECT agent, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM v_results JOIN b USING (prompt) GROUP BY agent")
 def with_bank(r):
-    bank = r.filter("conv_id % 2 = 0").select("prompt", F.length("prompt").alias("size")).distinct()
+    bank = r.filter("bucket = 'research'").select("prompt", F.length("prompt").alias("size")).distinct()
     return joins.with_bank(r, bank).groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
 
 
 @query("j06_unmatched", "v_results", f"WITH {BANK} SELECT count(*) AS n FROM v_results WHERE prompt NOT IN (SELECT prompt FROM b)")
 def unmatched(r):
-    return joins.unmatched_results(r, r.filter("conv_id % 2 = 0").select("prompt").distinct()).agg(F.count(F.lit(1)).alias("n"))
+    return joins.unmatched_results(r, r.filter("bucket = 'research'").select("prompt").distinct()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j12_cloud_costs", "v_task_metrics orders", "SELECT task_id, round(avg(cost_usd),9) AS cost FROM v_task_metrics WHERE agent_name='cloud:a' AND task_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus='F') GROUP BY task_id", 9)
@@ -142,8 +142,8 @@ def grade(li):
     return joins.grade(expected, li.filter("l_suppkey % 4 <> 0").select(t, x, (F.col("l_discount") < 0.1).alias("passed"))).drop("first")
 
 
-@query("u04_live_only", "lineitem", "SELECT count(*) AS n, count(extra) AS extras FROM (SELECT l_suppkey AS task, NULL AS extra FROM lineitem UNION ALL SELECT l_suppkey, 1 FROM lineitem WHERE l_linenumber=1) WHERE task IN (SELECT l_suppkey FROM lineitem WHERE l_suppkey%3=0)")
+@query("u04_live_only", "lineitem", "SELECT count(*) AS n, count(extra) AS extras FROM (SELECT l_suppkey AS task, NULL AS extra FROM lineitem UNION ALL SELECT l_suppkey, 1 FROM lineitem WHERE l_linenumber=1) WHERE task IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag='R' AND l_quantity>=45)")
 def live_only(li):
     a = li.select(F.col("l_suppkey").alias("task"))
     b = li.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("task"), F.lit(1).alias("extra"))
-    return joins.live_only([a, b], a.filter("task % 3 = 0")).agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("extras"))
+    return joins.live_only([a, b], li.filter("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_suppkey").alias("task"))).agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("extras"))

@@ -118,10 +118,9 @@ def warm_start(d):
     return L.routing_spread(s.select("bucket", L.linucb_scores("a", "b", F.array(F.lit(1.0), F.lit(0.5), F.lit(0.5)), F.lit(1.0))["exploit"].alias("exploit")), least=0.01)
 
 
-@query("m15_counterfactual", D, "WITH g AS (SELECT bucket, selected_agent AS agent, avg(reward) AS e, count(*) AS n FROM v_decisions WHERE reward IS NOT NULL AND user_id%2=0 AND k%5=0 GROUP BY ALL HAVING count(*)>=5), c AS (SELECT DISTINCT bucket, selected_agent AS agent FROM v_decisions) SELECT bucket, agent, round(coalesce(e,0.5),6) AS estimate, n FROM c LEFT JOIN g USING (bucket, agent)")
+@query("m15_counterfactual", D, "WITH g AS (SELECT bucket, selected_agent AS agent, avg(reward) AS e, count(*) AS n FROM v_decisions WHERE reward IS NOT NULL GROUP BY ALL HAVING count(*)>=5), c AS (SELECT DISTINCT bucket, selected_agent AS agent FROM v_decisions) SELECT bucket, agent, round(coalesce(e,0.5),6) AS estimate, n FROM c LEFT JOIN g USING (bucket, agent)")
 def counterfactual(d):
-    log = _log(d)
-    return L.estimated(d.select("bucket", F.col("selected_agent").alias("agent")).distinct(), L.counterfactual(log.filter("user_id % 2 = 0 AND k % 5 = 0")))
+    return L.estimated(d.select("bucket", F.col("selected_agent").alias("agent")).distinct(), L.counterfactual(_log(d)))
 
 
 @query("m16_replay", D, None)

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,7 +195,6 @@ def test_logistic_separates(spark):
 
 
 def test_quarantine_life():
-    import pandas as pd
 
     rows = [("b", 0, "alert", "a", 2.5)] + [("b", i, "decision", "x", 0.9) for i in range(1, 151)]
     out = learning.quarantine_step({"ticks": 0, "agents": {}}, pd.DataFrame(rows, columns=["bucket", "id", "kind", "agent", "value"]))
@@ -224,10 +224,39 @@ def test_nearest_is_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 4)).round(3)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    got = {(r["query"], r["rank"]): r.vec_id for r in learning.nearest(df, df.filter("vec_id < 5"), 3).collect()}
-    for q in range(5):
-        d = ((v - v[q]) ** 2).sum(1)
-        assert [got[(q, k)] for k in (1, 2, 3)] == np.lexsort((np.arange(60), d.round(9)))[:3].tolist()
+    for how in ({}, {"block": 2, "tile": 1}):  # in one block and in several
+        got = {(r["query"], r["rank"]): r.vec_id for r in learning.nearest(df, df.filter("vec_id < 5"), 3, **how).collect()}
+        assert len(got) == 15
+        for q in range(5):
+            d = ((v - v[q]) ** 2).sum(1)
+            assert [got[(q, k)] for k in (1, 2, 3)] == np.lexsort((np.arange(60), d.round(9)))[:3].tolist()
+
+
+def test_quarantine_replay_skips_only_ticks(spark):
+    rng, rows = np.random.default_rng(2), []
+    for i in range(900):
+        alert = rng.random() < 0.03
+        rows.append((f"b{i % 3}", i, "alert" if alert else "decision", f"a{rng.integers(0, 4)}", float(rng.random() + 0.3)))
+    whole = pd.DataFrame(rows, columns=["bucket", "id", "kind", "agent", "value"])
+    want = [x for _, part in whole.groupby("bucket") for x in learning.quarantine_step({"ticks": 0, "agents": {}}, part, interval=7)]
+    got = learning.quarantine_replay(spark.createDataFrame(whole), interval=7).collect()
+    assert len(want) > 40 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tasks_needed_has_no_cap(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.01, 0.5, 0.93, 1.0)], "point double")
+    for half in (0.3, 0.05, 0.002):
+        for r in audit.tasks_needed(df, half).collect():
+            z, p = 1.959963984540054, r.point
+            n = np.arange(1, 400_000, dtype=float)
+            c, h = (p + z * z / (2 * n)) / (1 + z * z / n), z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+            assert r.tasks_needed == int(np.argmax((np.minimum(1, c + h) - np.maximum(0, c - h)) / 2 <= half + 1e-12)) + 1
+
+
+def test_counterfactual_of_sparse_cells(spark):
+    log = spark.createDataFrame([(i, "b", "many", 0.25) for i in range(6)] + [(9, "b", "few", 1.0)], "id long, bucket string, agent string, reward double")
+    cells = log.select("bucket", "agent").distinct()
+    assert {r.agent: r.estimate for r in learning.estimated(cells, learning.counterfactual(log)).collect()} == {"many": 0.25, "few": 0.5}
 
 
 def test_markdown_corpus(spark, tmp_path):
