@@ -18,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import bounded_batches, table
+from agentlens.llm.common import bounded_batches, new_path, table
 
 _GAPS = re.compile(r"[\W_]+")
+#: Scripts that do not set spaces between words.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 SCHEMA = "doc_id long, item_id long, distance int, budget int, start long, end long"
 
 
@@ -57,6 +59,16 @@ def myers(item: str, masks: dict[str, int], text: str) -> tuple[int, int]:
     return best, end
 
 
+def at_words(text: str, start: int, end: int) -> bool:
+    """Whether a stretch begins and ends between words (anywhere in scripts without spaces)."""
+
+    def inside(i: int) -> bool:
+        two = text[i - 1 : i + 1] if 0 < i < len(text) else " "
+        return " " not in two and not _SPACELESS.search(two)
+
+    return not inside(start) and not inside(end)
+
+
 def char_masks(item: str) -> dict[str, int]:
     out: dict[str, int] = defaultdict(int)
     for i, ch in enumerate(item):
@@ -67,10 +79,11 @@ def char_masks(item: str) -> dict[str, int]:
 class Matcher:
     """Automaton and masks of a part of the test set."""
 
-    def __init__(self, items: list[tuple[int, str]], error_share: float):
+    def __init__(self, items: list[tuple[int, str]], error_share: float, min_chars: int):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * error_share), char_masks(t)) for i, t in items]
+        self.min_chars = min_chars
+        self.items = [(i, t, int(len(t) * error_share) if len(t) >= min_chars else 0, char_masks(t)) for i, t in items]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, t, budget, _) in enumerate(self.items):
             for at, piece in pieces(t, budget):
@@ -93,6 +106,8 @@ class Matcher:
                 if begin in seen[k] or (k in best and best[k][0] == 0):
                     continue
                 seen[k].add(begin)
+                if len(item) < self.min_chars and not at_words(text, begin, begin + len(item)):
+                    continue
                 lo = max(0, begin - budget)
                 window = text[lo : begin + len(item) + budget]
                 if window[begin - lo : begin - lo + len(item)] == item:
@@ -105,37 +120,50 @@ class Matcher:
             yield self.items[k][0], found, self.items[k][2], start, end
 
 
+def parts(benchmark: DataFrame, max_chars: int) -> list[DataFrame]:
+    """The items (item_id, text; different rows once) in parts of at most ``max_chars`` characters of raw text, or of one
+    longer item. Several parts are dealt by hash and written to the shared folder, so that reading one reads no other."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = -(-total // max_chars)
+    if n <= 1:
+        return [items]
+    while True:
+        n *= 2
+        dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        if dealt.groupBy("part").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).filter((F.col("chars") > max_chars) & (F.col("n") > 1)).isEmpty():
+            break
+    spark, path = benchmark.sparkSession, new_path(benchmark.sparkSession, "items")
+    dealt.repartition("part").write.partitionBy("part").parquet(path)
+    made = spark.read.schema("item_id long, text string, part long").parquet(path)
+    return [made.filter(F.col("part") == i).select("item_id", "text") for i in range(n)]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.05, min_chars: int = 25, max_benchmark_chars: int = 8_000_000) -> DataFrame:
     """One row per document and test item that stands in it: doc_id, item_id, distance, budget, start, end.
 
     Both sides are normalised (lower case, runs of other characters than letters and digits as one space). The budget is
     ``error_share`` of the item's characters; distance is the least edit distance of the item to a stretch of the text,
     start and end its place in the normalised text (start as end less the item's length). Items shorter than
-    ``min_chars`` and null or empty items match nothing; null and empty documents hold nothing. Equal items are reported
-    each; rows that repeat an id are matched each by itself. Other columns are not read; an empty table gives none.
+    ``min_chars`` have no budget and match whole words only (anywhere in scripts without spaces). Null or empty items
+    match nothing; null and empty documents hold nothing. Items with equal texts are reported each, repeated rows of an
+    item once; rows that repeat a document's id are matched each by itself. Other columns are not read; an empty table
+    gives none.
     """
     bounded_batches(docs.sparkSession)
-    items = sorted((int(r["item_id"]), t) for r in benchmark.select("item_id", "text").toLocalIterator() if r["item_id"] is not None and len(t := normalised(r["text"])) >= min_chars)
-    parts: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for i, t in items:
-        if held + len(t) > max_benchmark_chars:
-            parts, held = [*parts, []], 0
-        parts[-1].append((i, t))
-        held += len(t)
-
-    def found(part: list[tuple[int, str]]) -> DataFrame:
-        shipped = docs.sparkSession.sparkContext.broadcast(part)
+
+    def found(part: DataFrame) -> DataFrame:
+        shipped = docs.sparkSession.sparkContext.broadcast(sorted({(r["item_id"], t) for r in part.collect() if (t := normalised(r["text"]))}))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(shipped.value, error_share)
+            matcher = Matcher(shipped.value, error_share, min_chars) if shipped.value else None
             for batch in batches:
-                out = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for m in (matcher.matches(t) if part else ())]
+                out = [(d, *m) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for m in (matcher.matches(t) if matcher else ())]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "distance", "budget", "start", "end"]).astype({"doc_id": "Int64"})
 
         return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
 
-    return reduce(DataFrame.unionByName, map(found, parts))
+    return reduce(DataFrame.unionByName, map(found, parts(benchmark, max_benchmark_chars)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -253,6 +253,14 @@ def test_decontaminate(spark):
     assert {(r.doc_id, r.item_id) for r in parts.collect()} == {(1, 7), (2, 7)}
 
 
+def test_short_items_match_whole_words(spark):
+    d = docs(spark, [(0, "Yes, a short item!"), (1, "a shorter item"), (2, "a short  ITEM"), (3, "前日本語後"), (4, "x a short itemx"), (5, None)])
+    bench = spark.createDataFrame([(1, "a short item"), (1, "a short item"), (2, "日本語"), (3, "?!")], "item_id long, text string")
+    want = [(0, 1), (2, 1), (3, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.decontaminate(d, bench).collect()) == want
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.decontaminate(d, bench, max_benchmark_chars=5).collect()) == want
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(6)
     for limit in (4, 6, 12):
