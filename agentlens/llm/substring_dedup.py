@@ -124,12 +124,13 @@ def sided(found: DataFrame) -> DataFrame:
     return found.select(bucket, F.shiftright("sides", 34).cast("int").alias("f"), "doc_id", "c").filter("bucket IS NOT NULL")
 
 
-def starred(rows: DataFrame) -> DataFrame:
-    """a, b, f, a_lo, a_hi, b_lo, b_hi (places): each bucket's documents with its smallest one, all their places in it."""
+def starred(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, f, a_lo, a_hi, b_lo, b_hi (places): each bucket's documents with its smallest one, all their places in it; and
+    these smallest ones: bucket, h (doc_id, lo, hi), of the buckets of several documents."""
     places = rows.groupBy("bucket", "f", "doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    heads = places.groupBy("bucket").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select("bucket", "h")
+    heads = written(places.groupBy("bucket").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select("bucket", "h"), "heads")
     hits = places.join(heads, "bucket").filter("doc_id <> h.doc_id")
-    return hits.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("h.lo").alias("a_lo"), F.col("h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct()
+    return hits.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("h.lo").alias("a_lo"), F.col("h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct(), heads
 
 
 def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
@@ -147,16 +148,15 @@ def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
     )
 
 
-def still_open(found: DataFrame, pairs: DataFrame) -> DataFrame:
+def still_open(found: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the buckets in which a place stands in no confirmed passage of its document, without the heads (they have
     met everyone) and without what has no smaller document left to meet: bucket, f, doc_id, c, open."""
     spans = pairs.select(F.col("b").alias("doc_id"), F.col("b_start").alias("lo"), (F.col("b_start") + F.col("b_words") - SIZE).alias("hi")).distinct()
     settled = found.select("doc_id", "c").distinct().join(spans, "doc_id").filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct()
-    free = written(sided(found.join(settled, ["doc_id", "c"], "left_anti")), "free")
-    last = free.groupBy("bucket").agg(F.max("doc_id").alias("last"))
-    rows = sided(found).join(last, "bucket").filter("doc_id <= last")
-    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").select("bucket", "head")
-    rest = rows.drop("last").join(heads, "bucket").filter("doc_id <> head").drop("head")
+    others = heads.select("bucket", F.col("h.doc_id").alias("head"))
+    free = written(sided(found.join(settled, ["doc_id", "c"], "left_anti")).join(others, "bucket").filter("doc_id <> head"), "free")
+    last = written(free.groupBy("bucket").agg(F.max("doc_id").alias("last"), F.first("head").alias("head")), "last")
+    rest = sided(found).join(last, "bucket").filter("doc_id <> head AND doc_id <= last").select("bucket", "f", "doc_id", "c")
     return rest.join(free.select("doc_id", "c", F.lit(True).alias("open")).distinct(), ["doc_id", "c"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
@@ -373,6 +373,17 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float, place:
     return out
 
 
+def packed(s: np.ndarray) -> bytes:
+    """40 bits of each shingle: two different ones of a pair of stretches of 1,000 agree once in a million pairs."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
 def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -> DataFrame:
     """a, b, n_hashes, a_start, a_words, b_start, b_words, similarity. The words of each stretch, and of a passage's
     length around it, are cut out beside the text, once for all the pairs that it stands in, and meet by the pair."""
@@ -386,25 +397,32 @@ def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -
                     last, seq = text, shingled(cache.of(text), SIZE)
                 start = max(0, lo - least)
                 at.append(start)
-                bits.append(seq[start : hi + least + 1].tobytes())
+                bits.append(packed(seq[start : hi + least + 1]))
             yield batch.drop(columns=["text"]).assign(at=np.array(at, np.int32), bits=bits)
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-
-    ends = found.select(F.col("a").alias("doc_id"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")).union(found.select("b", "b_lo", "b_hi")).distinct()
-    parts = written(ends.join(texts, "doc_id").mapInPandas(cut, "doc_id long, lo int, hi int, at int, bits binary"), "parts")
-    side = lambda x: parts.select(F.col("doc_id").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
+    side = lambda x: found.select(F.col(x).alias("doc_id"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi"), F.lit(x == "a").alias("as_a"), F.lit(x == "b").alias("as_b"))
+    # Written, so that Spark knows their size: few enough are broadcast, and no text is shuffled.
+    ends = written(side("a").union(side("b")).groupBy("doc_id", "lo", "hi").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b")), "ends")
+    parts_path = new_path(docs.sparkSession, "parts")
+    schema = "doc_id long, lo int, hi int, as_a boolean, as_b boolean, at int, bits binary"
+    ends.join(texts, "doc_id").mapInPandas(cut, schema).write.parquet(parts_path)
+    parts = docs.sparkSession.read.schema(schema).parquet(parts_path)
+    of = lambda x: parts.filter(f"as_{x}").select(F.col("doc_id").alias(x), F.col("lo").alias(f"{x}_lo"), F.col("hi").alias(f"{x}_hi"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                for p, q, i, j, score in passages(np.frombuffer(r.a_bits, np.uint64), np.frombuffer(r.b_bits, np.uint64), least, similarity):
+                for p, q, i, j, score in passages(unpacked(r.a_bits), unpacked(r.b_bits), least, similarity):
                     out.append((r.a, r.b, r.n_hashes, r.a_at + p, q - p + SIZE, r.b_at + i, j - i + SIZE, score))
             yield pd.DataFrame(out, columns=["a", "b", "n_hashes", "a_start", "a_words", "b_start", "b_words", "similarity"])
 
-    both = found.join(side("b"), ["b", "b_lo", "b_hi"]).join(side("a"), ["a", "a_lo", "a_hi"]).select("a", "b", "n_hashes", "a_at", "a_bits", "b_at", "b_bits")
-    return both.mapInPandas(compare, "a long, b long, n_hashes long, a_start long, a_words long, b_start long, b_words long, similarity double")
+    both = found.join(of("b"), ["b", "b_lo", "b_hi"]).join(of("a"), ["a", "a_lo", "a_hi"]).select("a", "b", "n_hashes", "a_at", "a_bits", "b_at", "b_bits")
+    schema = "a long, b long, n_hashes long, a_start long, a_words long, b_start long, b_words long, similarity double"
+    made = written(both.mapInPandas(compare, schema).distinct(), "passages")
+    drop_path(docs.sparkSession, parts_path)
+    return made
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 3, agree: int = 1) -> DataFrame:
@@ -430,11 +448,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     often = made.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
     repeated = written(made.join(often, "key", "left_semi"), "windows")
     drop_path(spark, made_path)
-    found = written(stretches(starred(sided(repeated)), agree, least), "stretches")
-    first = written(verified(found, docs, least, similarity).distinct(), "passages")
-    open_rows = written(still_open(repeated, first), "open")
+    hits, heads = starred(sided(repeated))
+    first = verified(written(stretches(hits, agree, least), "stretches"), docs, least, similarity)
+    open_rows = written(still_open(repeated, heads, first), "open")
     more = written(stretches(crossing(open_rows, docs, least, similarity), 1, least), "stretches")
-    pairs = first.unionByName(written(verified(more, docs, least, similarity).distinct(), "passages")).distinct()
+    pairs = first.unionByName(verified(more, docs, least, similarity)).distinct()
     members = pairs.groupBy(F.col("b").alias("doc_id"), F.col("b_start").alias("start_word"), F.col("b_words").alias("n_words")).agg(
         F.min(F.struct(F.col("a").alias("first_doc_id"), F.col("a_start").alias("first_start_word"), "similarity", "n_hashes")).alias("m")
     )
