@@ -232,7 +232,7 @@ def nearest(ids: np.ndarray, around: list[Around], lower: np.ndarray, upper: np.
         xs = lower[x : x + TILE]
         values = np.unique(np.concatenate([around[q].values for q in xs]))
         # Where each value stands in each text, from 1 on; 0: nowhere. The last column: values that none has.
-        where = np.zeros((len(xs), len(values) + 1), np.int16)
+        where = np.zeros((len(xs), len(values) + 1), np.int16 if max(len(around[q].values) for q in xs) < 1 << 15 else np.int32)
         for row, q in enumerate(xs):
             v = around[q].values
             where[row, np.searchsorted(values, v)] = np.arange(1, len(v) + 1)
