@@ -109,14 +109,16 @@ def license_scan(docs: DataFrame, templates: list[Template] = TEMPLATES, lookups
         F.size("look") > 0,
         F.filter(F.transform("ws", lambda w, i: F.when(F.array_contains("look", w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()),
     )
-    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["q"]).alias("s"))))))
-    placed = looked.select("doc_id", "ws", F.filter(starts, lambda c: c["s"] >= 0).alias("starts"))
+    # Template and start in one number: Spark finds distinct numbers by hashing, but distinct structs by comparing all.
+    start = lambda h, p: F.when(h["i"] >= p["q"], F.shiftleft(p["t"].cast("long"), 32) + h["i"] - p["q"])
+    starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda p: start(h, p)))))
+    placed = looked.select("doc_id", "ws", F.filter(starts, lambda c: c.isNotNull()).alias("starts"))
 
     def place(c: Column) -> Column:
-        t = F.get(library, c["t"])
-        keyed = F.slice("ws", c["s"] + t["key_at"] + 1, F.size(t["key"])) == t["key"]
-        share = F.size(F.filter(F.zip_with(t["words"], F.slice("ws", c["s"] + 1, F.size(t["words"])), lambda a, b: a == b), lambda x: x)) / F.size(t["words"])
-        return F.when(keyed, F.struct(t["label"].alias("label"), t["base"].alias("base"), c["s"].cast("long").alias("s"), share.alias("share")))
+        t, s = F.get(library, F.shiftright(c, 32).cast("int")), c.bitwiseAND((1 << 32) - 1).cast("int")
+        keyed = F.slice("ws", s + t["key_at"] + 1, F.size(t["key"])) == t["key"]
+        share = F.size(F.filter(F.zip_with(t["words"], F.slice("ws", s + 1, F.size(t["words"])), lambda a, b: a == b), lambda x: x)) / F.size(t["words"])
+        return F.when(keyed, F.struct(t["label"].alias("label"), t["base"].alias("base"), s.cast("long").alias("s"), share.alias("share")))
 
     kept = placed.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.filter(F.transform("starts", place), lambda p: p.isNotNull() & (p["share"] >= min_match)).alias("places"))
     base = F.filter("places", lambda p: p["base"])

@@ -78,6 +78,13 @@ def test_license_places(spark):
     assert (r[2].n_base, r[2].first_word, r[2].score) == (0, None, 0.0) and r[3].n_base == 0
 
 
+def test_license_word_over_and_over(spark):
+    """A word of many templates that fills a long text: places are told apart in linear time."""
+    rows = [(i, f"plain text {i}") for i in range(200)] + [(999, "license " * 20_000 + "under the mit license")]
+    r = license_scan.license_scan(docs(spark, rows)).filter("doc_id = 999").first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == (20_004, 1, 20_000, 20_000, "mit")
+
+
 def test_license_scan_is_native(spark):
     plan = license_scan.license_scan(docs(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -330,6 +337,26 @@ def test_mixture_meets_its_budgets(spark):
     assert flat["entropy"] == pytest.approx(1.0, abs=1e-4)
 
 
+def test_turns_over_ranges_are_those_over_all(spark, monkeypatch):
+    sizes = {(s, b): (b * 7 + e) % 11 for s, n, e in (("hot", 40, 1), (None, 9, 2), ("one", 1, 0)) for b in range(n)}
+    rows = [(s, b, epoch, size, 100, {"hot": 40, None: 9, "one": 1}[s]) for (s, b), size in sizes.items() for epoch in (0, 1)]
+    made = spark.createDataFrame(rows, "source string, b long, epoch long, size long, whole long, n_blocks long")
+
+    def found(n):
+        monkeypatch.setattr(mixing, "RANGE_BLOCKS", n)
+        return {(r.source, r.b, r.epoch): (r.block, r.before) for r in mixing.turns(made, 17).collect()}
+
+    order = {(r.b, r.epoch): r.h for r in made.select("b", "epoch", F.xxhash64("b", "epoch", F.lit(17)).alias("h")).collect()}
+    want = {}
+    for s in ("hot", None, "one"):
+        for epoch in (0, 1):
+            held = epoch * 100
+            for k, (_, b) in enumerate(sorted((order[b, epoch], b) for t, b in sizes if t == s)):
+                want[s, b, epoch] = (k, held)
+                held += sizes[s, b]
+    assert found(4096) == found(3) == want
+
+
 PAGES = "page_id long, url string, html string"
 
 
