@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from agentlens.llm.common import SPACE_CLASS, table, written
 
 CUTS, ROUNDS = 32, 5
+#: Blocks that one window takes, about.
+RANGE_BLOCKS = 4096
 
 
 def word_tokens(text: Column) -> Column:
@@ -81,6 +83,21 @@ def weights(totals: DataFrame, budget_tokens: float | None = None, **target) ->
     return totals.withColumn("weight", weight).withColumn("budget", F.col("weight") * F.lit(budget))
 
 
+def turns(rounds: DataFrame, seed: int) -> DataFrame:
+    """``block``: a block's place, from 0, in the order of hashes of its source's epoch; ``before``: the tokens before it,
+    those of earlier epochs too. A hot source has more blocks than one task should sort, so ranges of the hash are summed
+    first, and windows go over the ranges of an epoch and over the blocks of a range."""
+    n_ranges = F.ceil(F.col("n_blocks") / RANGE_BLOCKS)
+    by = rounds.withColumn("order", F.xxhash64("b", "epoch", F.lit(seed))).withColumn("range", F.floor((F.col("order") / F.lit(2.0**64) + 0.5) * n_ranges))
+    sums = by.groupBy("source", "epoch", "range").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    over = Window.partitionBy("source", "epoch").orderBy("range")
+    starts = sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("range").alias("r"), (F.sum("tokens").over(over) - F.col("tokens")).alias("sum_before"), (F.sum("n").over(over) - F.col("n")).alias("n_before"))
+    inside = Window.partitionBy("source", "epoch", "range").orderBy("order", "b")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("range") == F.col("r"))
+    before = F.sum("size").over(inside) - F.col("size") + F.col("sum_before") + F.col("epoch") * F.col("whole")
+    return by.join(starts, same).drop("s", "e", "r").withColumn("block", F.row_number().over(inside) - 1 + F.col("n_before")).withColumn("before", before)
+
+
 def schedule(docs: DataFrame, budget_tokens: float | None = None, block_tokens: int = 100_000, seed: int = 17, tokens: Column | None = None, **target) -> DataFrame:
     """One row per copy of a document in the mixture: doc_id, source, n_tokens, epoch, block (its turn in the epoch),
     turn (0 to 1, the copy's place in its source's budget: ordering all copies by it interleaves the sources).
@@ -101,11 +118,9 @@ def schedule(docs: DataFrame, budget_tokens: float | None = None, block_tokens:
     )
     # The number of sources is far below that of documents, but has no bound: Spark may broadcast it, nothing forces it.
     dealt = units.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_blocks")))
-    blocks = dealt.groupBy("source", "b").agg(F.sum("n_tokens").alias("size"), F.first("whole").alias("whole"), F.first("budget").alias("budget"), F.first("full").alias("full"))
+    blocks = dealt.groupBy("source", "b").agg(F.sum("n_tokens").alias("size"), F.first("whole").alias("whole"), F.first("budget").alias("budget"), F.first("full").alias("full"), F.first("n_blocks").alias("n_blocks"))
     rounds = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
-    turn = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("b", "epoch", F.lit(seed)), "b")
-    placed = rounds.withColumn("block", F.row_number().over(turn) - 1).withColumn("before", F.sum("size").over(turn) - F.col("size") + F.col("epoch") * F.col("whole"))
-    placed = written(placed.filter("before < budget OR size = 0 AND epoch < full").select(F.col("source").alias("s"), F.col("b").alias("pb"), "epoch", "block", "before", "size"), "blocks")
+    placed = written(turns(rounds, seed).filter("before < budget OR size = 0 AND epoch < full").select(F.col("source").alias("s"), F.col("b").alias("pb"), "epoch", "block", "before", "size"), "blocks")
     copies = dealt.join(placed, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("pb")))
     fits = F.col("before") + F.col("size") <= F.col("budget")
     columns = ["doc_id", "source", "n_tokens", "epoch", "block", "before", "budget"]
