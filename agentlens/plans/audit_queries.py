@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agentlens.functions.stats import half_up
+from agentlens.functions.stats import half_up, time_bound, wilson, wilson_ranking
 from agentlens.operators import audit
 from agentlens.plans.registry import query
 
@@ -28,6 +28,24 @@ ROUND_EV = "arm, cond, round(point,6) AS point, round(lo,6) AS lo, round(hi,6) A
 BY = ["arm", "cond"]
 
 
+_K = "SELECT repo, arm, CAST(count(*) FILTER (WHERE resolved) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM v_attempts GROUP BY repo, arm"
+
+
+@query("a01_wilson", "v_attempts", f"""WITH x AS ({_K}), y AS (SELECT repo, arm, k, n, {LO} AS lo, {HI} AS hi FROM x), z AS (SELECT repo, arm, {LO.replace("1.959964", "1.96")} AS low, {HI.replace("1.959964", "1.96")} AS high FROM x)
+SELECT repo, arm, round(lo,6) AS lo, round(hi,6) AS hi, round(low,6) AS low, round(high,6) AS high FROM y JOIN z USING (repo, arm)""")
+def intervals(rows):
+    counts = rows.groupBy("repo", "arm").agg(F.count_if("resolved").cast("double").alias("k"), F.count(F.lit(1)).cast("double").alias("n"))
+    both = counts.withColumns({"w": wilson(F.col("k"), F.col("n")), "r": wilson_ranking(F.col("k"), F.col("n"))})
+    return both.select("repo", "arm", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi"), F.col("r.lo").alias("low"), F.col("r.hi").alias("high"))
+
+
+@query("a07_time_bound", "v_attempts", """WITH x AS (SELECT repo, arm, cond, count(*) FILTER (WHERE timed_out) AS timed_out, count(*) FILTER (WHERE NOT resolved) AS failed FROM v_attempts GROUP BY ALL)
+SELECT *, timed_out >= 3 AND 2*timed_out >= failed AS time_bound FROM x""")
+def bound_by_time(rows):
+    counts = rows.groupBy("repo", *BY).agg(F.count_if("timed_out").alias("timed_out"), F.count_if(~F.col("resolved")).alias("failed"))
+    return counts.withColumn("time_bound", time_bound(F.col("timed_out"), F.col("failed")))
+
+
 @query("a02_task_rate", "v_attempts", f"WITH {rate('arm, cond')} SELECT arm, cond, round(point,6) AS point, round(lo,6) AS lo, round(hi,6) AS hi, tasks, attempts FROM r")
 def task_rate(rows):
     return audit.task_rate(rows, BY)
