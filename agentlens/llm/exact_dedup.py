@@ -3,7 +3,7 @@
 Each step keeps only the groups that still have two rows or more, so the whole text is hashed for grouping only where a
 length and a prefix are shared. The narrow columns of the first scan (length, prefix hash) are all that is shuffled for
 the first two steps; texts are never shuffled. All counts are aggregates with map-side combination, so one group that
-holds a third of the rows costs one partial row a task.
+holds a third of the rows costs one partial row a task; its rows meet its result by broadcast of the largest groups.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import SPACE_CLASS
+from agentlens.llm.common import SPACE_CLASS, met, written
 
 
 def normalised(text: Column) -> Column:
@@ -54,14 +54,14 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
     each in group_size and are all kept or all dropped. A null id is kept only if its whole group has null ids or its
     text has the most code points. Columns of ``docs`` besides doc_id and text are not read. An empty table gives none.
     """
-    groups = duplicate_groups(docs, prefix_chars)
+    groups = written(duplicate_groups(docs, prefix_chars), "groups")
     rows = _keyed(docs, prefix_chars).select("doc_id", "n_points", F.sha2("plain", 256).alias("text_sha256"))
-    found = F.col("group_size").isNotNull()
-    return rows.join(groups, "text_sha256", "left").select(
+    found = F.col("met").isNotNull()
+    return met(rows, groups, ["text_sha256"], "group_size", ["doc_id", "n_points"]).select(
         "doc_id",
-        F.when(found, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(found, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).otherwise(F.lit(True)).alias("kept"),
+        F.when(found, F.col("met.keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("met.group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.when(found, F.col("doc_id").eqNullSafe(F.col("met.keep_id")) & (F.col("n_points") == F.col("met.keep_points"))).otherwise(F.lit(True)).alias("kept"),
         "text_sha256",
     )
 
