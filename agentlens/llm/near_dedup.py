@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import bounded_batches, table, written
+from agentlens.llm.common import bounded_batches, met, table, written
 from agentlens.llm.components import connected_components
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
@@ -218,9 +218,9 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
     most = most_differing(per_100 / 100, bands * rows)
     made = written(sketches(docs, size, bands, rows), "sketches")
     with_set = made.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = with_set.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("head"))
+    classes = written(with_set.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")), "classes")
     # The id is part of the join's key: copies by the million, which share a set, do not meet in one task.
-    heads = with_set.join(classes.withColumnRenamed("head", "doc_id"), ["doc_id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["doc_id", "set_a", "set_b"])
+    heads = with_set.join(classes.drop("n").withColumnRenamed("head", "doc_id"), ["doc_id", "set_a", "set_b", "n_shingles"]).dropDuplicates(["doc_id", "set_a", "set_b"])
     heads = written(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
     keys = heads.select("doc_id", F.explode("bands").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -257,10 +257,10 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
     more = confirmed(crossing, sets_of(crossing, docs, size), per_100)
     # Components stand for their links.
     final = connected_components(as_links(second).union(more)).withColumnRenamed("id", "head")
-    # Classes meet their components first, so that rows move once.
-    named = classes.join(final, "head", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "head").alias("component"))
-    rows_out = made.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b", "n_shingles"], "left")
-    by_row = rows_out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Classes meet their components first, so that rows move once; the rows of the largest classes are not dealt by them.
+    named = written(classes.join(final, "head", "left").select("set_a", "set_b", "n_shingles", "n", F.coalesce("component", "head").alias("component")), "named")
+    rows_out = met(made.select("doc_id", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b", "n_shingles"], "n", ["doc_id"])
+    by_row = rows_out.select("doc_id", "n_shingles", F.coalesce("met.component", "doc_id").alias("component_id"))
     return by_row.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
