@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import bounded_batches, drop_path, new_path, table, written
+from agentlens.llm.common import bounded_batches, drop_path, met, new_path, table, written
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
 SIZE = 5
@@ -128,9 +128,9 @@ def starred(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b, f, a_lo, a_hi, b_lo, b_hi (places): each bucket's documents with its smallest one, all their places in it; and
     these smallest ones: bucket, h (doc_id, lo, hi), of the buckets of several documents."""
     places = rows.groupBy("bucket", "f", "doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    heads = written(places.groupBy("bucket").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last")).filter("h.doc_id < last").select("bucket", "h"), "heads")
-    hits = places.join(heads, "bucket").filter("doc_id <> h.doc_id")
-    return hits.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("h.lo").alias("a_lo"), F.col("h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct(), heads
+    heads = written(places.groupBy("bucket").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("h.doc_id < last").select("bucket", "h", "n"), "heads")
+    hits = met(places, heads, ["bucket"], "n", ["doc_id", "bucket"]).filter("doc_id <> met.h.doc_id")
+    return hits.select(F.col("met.h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("met.h.lo").alias("a_lo"), F.col("met.h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct(), heads
 
 
 def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
@@ -445,8 +445,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     windows(docs, hashes, least).write.option("compression", "zstd").parquet(made_path)
     made = spark.read.schema("key long, doc_id long, c int, sides long").parquet(made_path)
     # Most keys stand in one document: they are counted alone, without the windows.
-    often = made.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    repeated = written(made.join(often, "key", "left_semi"), "windows")
+    often = written(made.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n"), "keys")
+    repeated = written(met(made, often, ["key"], "n", ["doc_id", "c"]).filter("met IS NOT NULL").drop("met"), "windows")
     drop_path(spark, made_path)
     hits, heads = starred(sided(repeated))
     first = verified(written(stretches(hits, agree, least), "stretches"), docs, least, similarity)
