@@ -5,6 +5,7 @@ from __future__ import annotations
 from agentlens.llm.decontaminate import op10
 from agentlens.llm.exact_dedup import OP4_SQL, op4
 from agentlens.llm.filter_audit import OP13_SQL, op13
+from agentlens.llm.html_text import op11
 from agentlens.llm.license_scan import OP2_SQL, op2
 from agentlens.llm.mixing import op8
 from agentlens.llm.near_dedup import op6
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_mixing": op8,
     "op9_token_files": op9,
     "op10_decontaminate": op10,
+    "op11_html_text": op11,
     "op12_phrases": op12,
     "op13_filter_audit": op13,
 }
