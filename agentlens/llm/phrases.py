@@ -188,7 +188,7 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in blocks.toLocalIterator():
         at = (r["block"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["set"]), np.uint8)
+        out[at : at + 4096] = np.frombuffer(bytes(r["set"]), np.uint8)[: len(out)]
     return out
 
 
