@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from agentlens.llm.common import bounded_batches, met, table, written
+from agentlens.llm.common import batches_of, bounded_batches, drop_path, met, new_path, table, written
 from agentlens.llm.shingles import constants, mixed
 
 #: What ends a piece, and what parts words.
 PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: One of the piece ends, which therefore is in no word.
 END = "."
+#: Shards that a Python worker gets at once.
+SHARDS_A_BATCH = 2
 INDEX = "lang array<string>, word array<string>, hash array<long>, count array<long>, left binary, right binary"
 
 
@@ -146,14 +148,19 @@ def indexes(docs: DataFrame, depth: int, shard_words: int) -> DataFrame:
         pair = np.where(code == end, -1, lang * len(names) + code)
         if empty >= 0:
             pair = pair[code != empty]
-        # Ids by first use cost nothing to order: -1, the piece end, sorts first and becomes 0.
-        used, ids = np.unique(np.concatenate([[-1], pair]), return_inverse=True)
+        # -1, the piece end, is there at least once and becomes 0; common words get small ids, which pack well.
+        used, ids, times = np.unique(np.concatenate([[-1], pair]), return_inverse=True, return_counts=True)
+        order = np.concatenate([[0], 1 + np.argsort(-times[1:], kind="stable")])
+        place = np.empty(len(used), np.int32)
+        place[order] = np.arange(len(used), dtype=np.int32)
+        used, ids, times = used[order], place[ids], times[order]
         lang_of, word_of = np.divmod(used[1:], len(names))
         lang_of, word_of = langs.dictionary.take(pa.array(lang_of)), names.take(pa.array(word_of))
         hashes = word_hashes(lang_of.to_numpy(zero_copy_only=False), word_of.to_numpy(zero_copy_only=False)) if len(word_of) else np.empty(0, np.uint64)
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values.cast(kind))
-        binary = lambda x: pa.array([x.tobytes()], pa.binary())
-        columns = [one(lang_of, pa.string()), one(word_of, pa.string()), one(hashes.view(np.int64), pa.int64()), one(np.bincount(ids, minlength=len(used))[1:], pa.int64())]
+        # Byte by byte of the ids, as the upper bytes are nearly all alike.
+        binary = lambda x: pa.array([x.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
+        columns = [one(lang_of, pa.string()), one(word_of, pa.string()), one(hashes.view(np.int64), pa.int64()), one(times[1:], pa.int64())]
         columns += [binary(transform(ids, depth)), binary(transform(ids[::-1], depth))]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "hash", "count", "left", "right"])
 
@@ -176,7 +183,7 @@ def shards_of(b: pa.RecordBatch) -> Iterator[tuple[Shard, pa.Array, pa.Array]]:
     for i in range(b.num_rows):
         words, langs = (b.column(c)[i].values for c in ("word", "lang"))
         hashes = np.concatenate([[np.uint64(0)], b.column("hash")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)])
-        left, right = (np.frombuffer(b.column(c)[i].as_buffer(), np.int32) for c in ("left", "right"))
+        left, right = (np.ascontiguousarray(np.frombuffer(b.column(c)[i].as_buffer(), np.uint8).reshape(4, -1).T).view(np.int32)[:, 0] for c in ("left", "right"))
         yield Shard(left, right, hashes), langs, words
 
 
@@ -192,7 +199,7 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 3_000_000, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 1_000_000, bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) for all phrases of k <= ``longest`` words with f >= ``at_least``, and (lang, n) for all words.
 
     ``bits`` sets the size of the bitmaps (2 ** bits bits), which only save work: with fewer bits than there are frequent
@@ -200,7 +207,9 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    index = written(indexes(docs, longest, shard_words), "index")
+    path = new_path(spark, "index")
+    indexes(docs, longest, shard_words).write.option("compression", "zstd").parquet(path)
+    index = spark.read.schema(INDEX).parquet(path)
     words = index.select(F.explode(F.arrays_zip("lang", "word", "hash", "count")).alias("w")).select("w.*")
     words = written(words.groupBy("lang", "word", "hash").agg(F.sum("count").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -227,10 +236,12 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
 
         return index.select("lang", "word", "hash", "left", "right").mapInArrow(run, "hash long, n long" if emit == "hash" else "lang string, phrase string, k int, n long")
 
-    for k in range(2, longest):
-        sums = counted(k, "hash").groupBy("hash").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least)
-        bitmaps.append(bitmap(sums, bits))
-    longer = counted(longest, "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least)
+    with batches_of(spark, SHARDS_A_BATCH):
+        for k in range(2, longest):
+            sums = counted(k, "hash").groupBy("hash").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least)
+            bitmaps.append(bitmap(sums, bits))
+        longer = written(counted(longest, "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), "phrases")
+    drop_path(spark, path)
     return longer.union(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")), totals
 
 
