@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import drop_path, new_path
+from agentlens.llm.common import dealt_join, drop_path, new_path
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         before = state
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = dealt_join(both.filter("y > x"), least, "x", "y").select(F.col("y").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s")).select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).filter("u <> v").distinct()
         after = new_path(spark, "links")

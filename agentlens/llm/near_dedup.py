@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import bounded_batches, met, table, written
+from agentlens.llm.common import bounded_batches, dealt_join, maybe_among, met, table, written
 from agentlens.llm.components import connected_components
 from agentlens.llm.shingles import Words, constants, mixed, shingled
 
@@ -107,15 +107,17 @@ def _alike(a: str, b: str, per_100: int) -> Column:
 
 
 def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The sets of the documents in (a, b). Rows that repeat an id have a set each; a link of any is a link of the id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return written(_sets(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi"), size), "sets")
+    """The sets of the documents in (a, b). Rows that repeat an id have a set each; a link of any is a link of the id.
+
+    Sets are made where the texts are read; the few that the bitmap of ids lets through by chance meet no pair."""
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    return written(_sets(maybe_among(docs.select(F.col("doc_id").cast("long"), "text"), ids), size), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
     """Of (a, b), those whose full sets satisfy 100 * intersection >= per_100 * union."""
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("k"))
+    both = dealt_join(pairs.join(two, "b"), one, "a", "b").select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("k"))
     return both.filter(F.lit(100) * F.col("k") >= F.lit(per_100) * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b").distinct()
 
 
@@ -224,12 +226,14 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
     heads = written(heads.select("doc_id", "n_shingles", "bands", "sketch"), "heads")
     keys = heads.select("doc_id", F.explode("bands").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = written(keys.join(leaders, "key"), "buckets")
+    leaders = written(leaders, "leaders")
+    # Written as rows of a bucket: the rows of the largest buckets stay where they are.
+    buckets = written(met(keys, leaders, ["key"], "n", ["doc_id"]).filter("met IS NOT NULL").select("doc_id", "key", "met.leader"), "buckets")
 
     def close(pairs: DataFrame) -> DataFrame:
         one = heads.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
         two = heads.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t"))
-        return pairs.join(one, "a").join(two, "b").filter(_alike("n", "m", per_100) & (differing_bits("s", "t") <= most)).select("a", "b").distinct()
+        return dealt_join(pairs.join(two, "b"), one, "a", "b").filter(_alike("n", "m", per_100) & (differing_bits("s", "t") <= most)).select("a", "b").distinct()
 
     stars = buckets.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     near = written(close(stars), "pairs")
@@ -244,15 +248,18 @@ def near_dedup(docs: DataFrame, per_100: int = 80, size: int = 5, bands: int = B
     def open_groups(rows: DataFrame, key: str) -> DataFrame:
         """The groups of more than two (a star settles two) in several components: key, n."""
         by = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-        return by.filter("n > 2 AND lo <> hi").select(key, "n")
+        return written(by.filter("n > 2 AND lo <> hi").select(key, "n"), "groups")
+
+    def in_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+        return met(rows, groups, [key], "n", ["doc_id"]).filter("met IS NOT NULL").withColumn("n", F.col("met.n")).drop("met")
 
-    in_clusters = placed(clusters, first)
-    in_open = written(in_clusters.join(open_groups(in_clusters, "cluster"), "cluster").join(sets, "doc_id"), "open")
-    total = in_open.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("total"))
-    within = _within(in_open.join(total, "cluster"), per_100)
+    in_clusters = written(placed(clusters, first), "placed")
+    in_open = written(in_groups(in_clusters, open_groups(in_clusters, "cluster"), "cluster").join(sets, "doc_id"), "open")
+    total = written(in_open.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("total"), F.count(F.lit(1)).alias("rows")), "totals")
+    within = _within(met(in_open, total, ["cluster"], "rows", ["doc_id"]).withColumn("total", F.col("met.total")).drop("met"), per_100)
     second = written(connected_components(as_links(first).union(within)), "components")
-    in_buckets = placed(buckets.select("key", "doc_id"), second)
-    open_rows = in_buckets.join(open_groups(in_buckets, "key"), "key").join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id")).join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    in_buckets = written(placed(buckets.select("key", "doc_id"), second), "placed")
+    open_rows = in_groups(in_buckets, open_groups(in_buckets, "key"), "key").join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id")).join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
     crossing = written(_crossing(open_rows, most, per_100), "pairs")
     more = confirmed(crossing, sets_of(crossing, docs, size), per_100)
     # Components stand for their links.
