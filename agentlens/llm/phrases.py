@@ -6,9 +6,10 @@
 2. A phrase is an interval of both transforms. The ids that the first transform has in the interval extend the phrase to
    the left, those of the second to the right; rank and an offset give the new pair of intervals. All phrases of a length
    are extended at once, alternately to the right and to the left.
-3. Round by round (words, pairs, ...) the shards' counts are summed. What is frequent over all shards is set in a bitmap
-   of a fixed number of bits, which goes back to the shards: a longer phrase is counted only if both parts that are a word
-   shorter have their bits. The bitmap can pass too much, never too little; at the end the exact sums decide.
+3. Round by round (words, pairs, ...) the shards' counts are summed by a hash of the phrase, which is a place in a bitmap
+   of a fixed number of bits. The bits of frequent places go back to the shards: a longer phrase is counted only if both
+   parts that are a word shorter have their bits. The bitmap can pass too much, never too little; at the end the exact
+   sums of the phrases themselves decide.
 4. The counts give each phrase's cuts (what its parts are without each other) and its extensions by one word.
 """
 
@@ -31,9 +32,7 @@ from agentlens.llm.shingles import constants, mixed
 PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: One of the piece ends, which therefore is in no word.
 END = "."
-#: Shards that a Python worker gets at once.
-SHARDS_A_BATCH = 2
-INDEX = "lang array<string>, word array<string>, hash array<long>, count array<long>, left binary, right binary"
+INDEX = "lang array<string>, word array<string>, hash array<long>, langs array<string>, words array<long>, left binary, right binary"
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -115,7 +114,8 @@ def kept(found: dict, where: np.ndarray) -> dict:
 
 
 def enumerated(shard: Shard, bitmaps: list[np.ndarray], longest: int) -> Iterator[dict]:
-    """The phrases of 1, 2, ... ``longest`` words. bitmaps[k]: bits of the frequent phrases of k + 1 words."""
+    """The phrases of 1, 2, ... ``longest`` words. bitmaps[k]: bits of the frequent phrases of k + 1 words; a phrase is
+    counted if the bits of its parts that are a word shorter are set, and its own, as far as there are bitmaps."""
 
     def known(ids: np.ndarray) -> np.ndarray:
         bits = bitmaps[ids.shape[1] - 1]
@@ -123,13 +123,13 @@ def enumerated(shard: Shard, bitmaps: list[np.ndarray], longest: int) -> Iterato
         return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
     found = shard.words()
-    yield found
-    for k in range(2, longest + 1):
-        found = kept(found, known(found["ids"]))
-        side = k % 2  # pairs grow to the right, threes to the left, ...
-        found = shard.extended(found, side)
-        other = found["ids"][:, 1:] if side == 1 else found["ids"][:, :-1]
-        found = kept(found, known(other))
+    for k in range(1, longest + 1):
+        if k > 1:
+            side = k % 2  # pairs grow to the left, threes to the right, ...
+            found = shard.extended(found, side)
+            found = kept(found, known(found["ids"][:, 1:] if side else found["ids"][:, :-1]))
+        if k <= len(bitmaps):
+            found = kept(found, known(found["ids"]))
         yield found
 
 
@@ -160,9 +160,10 @@ def indexes(docs: DataFrame, depth: int, shard_words: int) -> DataFrame:
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values.cast(kind))
         # Byte by byte of the ids, as the upper bytes are nearly all alike.
         binary = lambda x: pa.array([x.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
-        columns = [one(lang_of, pa.string()), one(word_of, pa.string()), one(hashes.view(np.int64), pa.int64()), one(times[1:], pa.int64())]
+        columns = [one(lang_of, pa.string()), one(word_of, pa.string()), one(hashes.view(np.int64), pa.int64()), one(langs.dictionary, pa.string())]
+        columns.append(one(np.bincount(lang[(code != end) & (code != empty)], minlength=len(langs.dictionary)).astype(np.int64), pa.int64()))
         columns += [binary(transform(ids, depth)), binary(transform(ids[::-1], depth))]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "hash", "count", "left", "right"])
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "hash", "langs", "words", "left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -187,11 +188,11 @@ def shards_of(b: pa.RecordBatch) -> Iterator[tuple[Shard, pa.Array, pa.Array]]:
         yield Shard(left, right, hashes), langs, words
 
 
-def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits bits with those of the ``hash`` values set; put together from blocks of 4 KB, which is all
-    that the driver gets."""
-    at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # the functions count bits from 1
-    blocks = hashes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("set"))
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits bits with those at the ``at`` values set; put together from blocks of 4 KB, which is all that
+    the driver gets."""
+    at = F.col("at") + 1  # the functions count bits from 1
+    blocks = places.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in blocks.toLocalIterator():
         at = (r["block"] - 1) * 4096
@@ -202,19 +203,17 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 1_000_000, bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) for all phrases of k <= ``longest`` words with f >= ``at_least``, and (lang, n) for all words.
 
-    ``bits`` sets the size of the bitmaps (2 ** bits bits), which only save work: with fewer bits than there are frequent
-    phrases more rows are summed, the result stays. A null lang is 'und'; null and empty texts have no words.
+    ``bits`` sets the size of the bitmaps (2 ** bits bits), which only save work: phrases that share a bit are counted
+    together for it, so that with too few bits more rows are summed at the end; the result stays. A null lang is 'und'; null and empty texts have no words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     path = new_path(spark, "index")
-    indexes(docs, longest, shard_words).write.option("compression", "zstd").parquet(path)
+    # A file for each shard, so that no reader holds several.
+    indexes(docs, longest, shard_words).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
     index = spark.read.schema(INDEX).parquet(path)
-    words = index.select(F.explode(F.arrays_zip("lang", "word", "hash", "count")).alias("w")).select("w.*")
-    words = written(words.groupBy("lang", "word", "hash").agg(F.sum("count").alias("f")), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = words.filter(F.col("f") >= at_least)
-    bitmaps = [bitmap(_hashed(frequent), bits)]
+    totals = written(index.select(F.explode(F.arrays_zip("langs", "words")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.words").alias("n")).filter("n > 0"), "totals")
+    bitmaps: list[np.ndarray] = []
 
     def counted(k: int, emit: str):
         shipped = spark.sparkContext.broadcast(list(bitmaps))
@@ -223,9 +222,11 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
             for b in batches:
                 for shard, langs, words in shards_of(b):
                     for size, found in enumerate(enumerated(shard, shipped.value, k), 1):
-                        if emit == "hash" and size == k:
-                            yield from pieces({"hash": lambda s, f=found: pa.array(shard.phrase_hashes(f["ids"][s]).view(np.int64)), "n": lambda s, f=found: pa.array(f["size"][s].astype(np.int64))}, len(found["size"]))
-                        elif emit == "phrase" and size > 1:
+                        if emit == "bit" and size == k:
+                            at, place = np.unique(shard.phrase_hashes(found["ids"]) % np.uint64(1 << bits), return_inverse=True)
+                            n = np.bincount(place, found["size"], len(at))
+                            yield from pieces({"at": lambda s, a=at: pa.array(a[s].view(np.int64)), "n": lambda s, n=n: pa.array(n[s].astype(np.int64))}, len(at))
+                        elif emit == "phrase":
                             part = lambda s, j, f=found: words.take(pa.array(f["ids"][s, j] - 1))  # noqa: B023, E731
                             yield from pieces({
                                 "lang": lambda s, f=found: langs.take(pa.array(f["ids"][s, 0] - 1)),  # noqa: B023
@@ -234,31 +235,14 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
                                 "n": lambda s, f=found: pa.array(f["size"][s].astype(np.int64)),
                             }, len(found["size"]))
 
-        return index.select("lang", "word", "hash", "left", "right").mapInArrow(run, "hash long, n long" if emit == "hash" else "lang string, phrase string, k int, n long")
+        return index.select("lang", "word", "hash", "left", "right").mapInArrow(run, "at long, n long" if emit == "bit" else "lang string, phrase string, k int, n long")
 
-    with batches_of(spark, SHARDS_A_BATCH):
-        for k in range(2, longest):
-            sums = counted(k, "hash").groupBy("hash").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least)
-            bitmaps.append(bitmap(sums, bits))
-        longer = written(counted(longest, "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), "phrases")
+    with batches_of(spark, 1):
+        for k in range(1, longest):
+            bitmaps.append(bitmap(counted(k, "bit").groupBy("at").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), bits))
+        counts = written(counted(longest, "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), "counts")
     drop_path(spark, path)
-    return longer.union(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")), totals
-
-
-def _hashed(words: DataFrame) -> DataFrame:
-    """The hash of each word as a phrase of one word, as shards compute it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = b.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(Shard.phrase_hashes(_Hashes(h), np.arange(len(h))[:, None]).view(np.int64))], names=["hash"])
-
-    return words.select("hash").mapInArrow(run, "hash long")
-
-
-class _Hashes:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+    return counts, totals
 
 
 def pieces(columns: dict, n: int, rows: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -279,7 +263,6 @@ def collocations(docs: DataFrame, at_least: int = 30, longest: int = 4, per_lang
     read. An empty table gives none.
     """
     counts, totals = phrase_counts(docs, at_least, longest, **how)
-    counts = written(counts, "counts")
     phrases = counts.filter("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"))
     words = F.split("phrase", " ")
     cut = F.explode(F.sequence(F.lit(1), F.col("k") - 1))
