@@ -124,11 +124,14 @@ def schedule(prompts: DataFrame, agents: list[str], repeats: int, seed: int, who
 
 
 def candidate_commits(numstat: DataFrame, most_lines: int = 250, newest: int | None = None) -> DataFrame:
-    """numstat: sha, parents, committed, path, lines. Commits with one parent that touch a test module and 1 to most_lines
-    lines of other sources, the newest first."""
-    test = F.col("path").rlike(r"(^|/)(tests?/.*|test_[^/]*\.py|[^/]*_test\.py)$")
-    module = F.col("path").rlike(r"(^|/)(test_[^/]*\.py|[^/]*_test\.py)$")
-    by = numstat.groupBy("sha", "committed").agg(F.max("parents").alias("parents"), F.bool_or(module).alias("tests"), F.sum(F.when(~test & F.endswith("path", F.lit(".py")), F.col("lines")).otherwise(0)).alias("src_lines"))
+    """numstat: sha, parents, committed, path, lines (null for a binary file, which does not count). Commits with one parent
+    that touch a test module and 1 to most_lines lines of Python sources that are no tests, the newest first. A test is what
+    lies in a top folder test or tests, conftest.py, test_* and *_test.py; a module of it is a .py named test_*, tests_* or
+    *_test."""
+    name = F.substring_index("path", "/", -1)
+    test = F.substring_index("path", "/", 1).isin("tests", "test") | (name == "conftest.py") | name.rlike(r"^test_|_test\.py$")
+    module = test & name.rlike(r"^tests?_.*\.py$|_test\.py$")
+    by = numstat.filter("lines IS NOT NULL AND path <> ''").groupBy("sha", "committed").agg(F.max("parents").alias("parents"), F.bool_or(module).alias("tests"), F.sum(F.when(~test & F.endswith("path", F.lit(".py")), F.col("lines")).otherwise(0)).alias("src_lines"))
     out = by.filter((F.col("parents") == 1) & F.col("tests") & (F.col("src_lines") > 0) & (F.col("src_lines") <= most_lines))
     return out.orderBy(F.desc("committed"), "sha").limit(newest) if newest else out
 

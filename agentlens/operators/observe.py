@@ -124,18 +124,23 @@ def usage_by_agent(decisions: DataFrame) -> DataFrame:
     return decisions.filter("success IS NOT NULL").groupBy("selected_agent").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_usd").alias("cost"), F.avg(as_double("success")).alias("success_rate"))
 
 
-CODE_EXTENSIONS = ("py", "js", "ts", "tsx", "jsx", "go", "rs", "java", "rb", "c", "h", "cpp", "cs", "php", "swift", "kt", "sh", "sql")
+# Suffixes of files whose writing may be delegated, and why an inline edit is no candidate.
+CODE_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".java", ".kt", ".rb", ".php", ".c", ".h", ".cpp", ".hpp", ".cs", ".swift", ".scala", ".sh", ".bash", ".zsh", ".sql", ".lua", ".r", ".jl")
+IN_PLACE, NO_CODE, SMALL, LARGE = "edit-in-place", "non-code-file", "below-round-trip-threshold", "oversized-for-local-arm"
 
 
-def funnel_class(tool: Column, path: Column, text: Column, delegating: str, least: int = 5, most: int = 300) -> Column:
-    """Struct (event, candidate, reason) of an edit event: delegated by the named tool; otherwise inline, and a candidate
-    iff it writes a code file of least to most lines."""
-    ext = F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
-    lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n"))
-    reason = F.when(~ext.isin(*CODE_EXTENSIONS), "not code").when(lines < least, "too small").when(lines > most, "too large")
-    return F.struct(
-        F.when(tool == delegating, "delegated").otherwise("inline").alias("event"), ((tool != delegating) & reason.isNull()).alias("candidate"), F.when(tool != delegating, reason).alias("reason")
-    )
+def funnel_class(tool: Column, path: Column, text: Column, delegating: list[str], least: int = 5, most: int = 300) -> Column:
+    """Struct (event, ext, lines, chars, candidate, reason) of a tool's use; null for tools that are no funnel traffic.
+
+    ``text`` is the prompt of a delegating tool (delegated, a candidate without lines), what Write puts into a file
+    (inline, a candidate iff it is a code file of least to most lines) or what Edit puts in place (inline, never one)."""
+    delegated, edit = tool.isin(*delegating), tool == "Edit"
+    name, body = F.substring_index(F.coalesce(path, F.lit("")), "/", -1), F.coalesce(text, F.lit(""))
+    ext = F.when(delegated, "").otherwise(F.lower(F.regexp_extract(name, r"[^.].*?(\.[^.]+)$", 1)))
+    lines = F.when(delegated | (body == ""), 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)
+    reason = F.when(delegated, "").when(edit, IN_PLACE).when(~ext.isin(*CODE_EXTENSIONS), NO_CODE).when(lines < least, SMALL).when(lines > most, LARGE).otherwise("")
+    record = F.struct(F.when(delegated, "delegated").otherwise("inline").alias("event"), ext.alias("ext"), lines.alias("lines"), F.length(body).alias("chars"), (reason == "").alias("candidate"), reason.alias("reason"))
+    return F.when(delegated | edit | (tool == "Write"), record)
 
 
 def funnel(events: DataFrame) -> DataFrame:
@@ -154,11 +159,15 @@ def excluded_reasons(events: DataFrame) -> DataFrame:
 
 
 def resources(samples: DataFrame) -> DataFrame:
-    """One row of samples (cpu_percent, thermal_level): samples, mean and largest cpu, share of 80 and over, elevated
-    heat; fine, strained (a fifth of the samples hot) or critical (any elevated heat)."""
-    hot = F.avg((F.col("cpu_percent") >= 80).cast("double"))
-    r = samples.agg(F.count("cpu_percent").alias("samples"), F.avg("cpu_percent").alias("cpu_avg"), F.max("cpu_percent").alias("cpu_max"), hot.alias("hot_share"), F.count_if(F.col("thermal_level") > 0).alias("elevated"))
-    return r.withColumn("level", F.when(F.col("elevated") > 0, "critical").when(F.col("hot_share") >= 0.2, "strained").otherwise("fine"))
+    """One row of samples (cpu_percent, thermal_level): samples, mean cpu and share of 80 and over (a sample without a
+    figure counts as 0; null without samples), largest cpu (0 at least), samples of elevated heat; unknown without samples,
+    critical (any elevated heat), strained (a fifth of the samples hot) or fine."""
+    n, cpu = F.count(F.lit(1)), F.col("cpu_percent")
+    r = samples.agg(
+        n.alias("samples"), F.try_divide(F.coalesce(F.sum(cpu), F.lit(0.0)), n).alias("cpu_avg"), F.greatest(F.lit(0.0), F.coalesce(F.max(cpu), F.lit(0.0))).alias("cpu_max"),
+        F.try_divide(F.count_if(cpu >= 80).cast("double"), n).alias("hot_share"), F.count_if(F.col("thermal_level") == "elevated").alias("elevated"),
+    )
+    return r.withColumn("level", F.when(F.col("samples") == 0, "unknown").when(F.col("elevated") > 0, "critical").when(F.col("hot_share") >= 0.2, "strained").otherwise("fine"))
 
 
 def warm_models(samples: DataFrame) -> DataFrame:

@@ -106,13 +106,13 @@ def usage_by_agent(d):
 
 
 def _funnel_events(d):
-    path = F.concat(F.lit("f."), F.when(F.col("k") % 3 == 0, "py").when(F.col("k") % 3 == 1, "MD").otherwise("ts"))
-    tool = F.when(F.col("event_type") == "purchase", "delegate").otherwise("edit")
-    c = observe.funnel_class(tool, path, F.repeat(F.lit("x\n"), (F.col("id") % 12).cast("int")), "delegate")
-    return d.withColumn("c", c).select("c.*", F.col("task_id").alias("session"), "ts", "id")
+    path = F.element_at(F.array(*map(F.lit, ["d.x/f.py", "f.MD", "a/.py", "f.R", "f.py.hpp"])), (F.col("k") % 5 + 1).cast("int"))
+    tool = F.when(F.col("event_type") == "purchase", "run_task").when(F.col("event_type") == "view", "Edit").when(F.col("event_type") != "error", "Write").otherwise("Bash")
+    c = observe.funnel_class(tool, path, F.repeat(F.lit("x\n"), (F.col("id") % 320).cast("int")), ["run_task", "run_batch"])
+    return d.withColumn("c", c).filter("c IS NOT NULL").select("c.*", F.col("task_id").alias("session"), "ts", "id")
 
 
-FUNNEL = "WITH c AS (SELECT *, CASE WHEN event_type='purchase' THEN 'delegated' ELSE 'inline' END AS event, CASE WHEN event_type='purchase' THEN NULL WHEN k%3=1 THEN 'not code' WHEN id%12+1 < 5 THEN 'too small' END AS reason FROM v_decisions)"
+FUNNEL = "WITH c AS (SELECT *, CASE WHEN event_type='purchase' THEN 'delegated' ELSE 'inline' END AS event, CASE WHEN event_type='purchase' THEN '' WHEN event_type='view' THEN 'edit-in-place' WHEN k%5 IN (1,2) THEN 'non-code-file' WHEN id%320<4 THEN 'below-round-trip-threshold' WHEN id%320>=300 THEN 'oversized-for-local-arm' ELSE '' END AS reason FROM v_decisions WHERE event_type<>'error')"
 
 
 @query("p08_funnel_class", D, FUNNEL + " SELECT event, reason, count(*) AS n FROM c GROUP BY ALL")
@@ -120,14 +120,15 @@ def funnel_class(d):
     return _funnel_events(d).groupBy("event", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a27_funnel", D, FUNNEL + ", f AS (SELECT count(*) FILTER (WHERE event='delegated') AS delegated, count(*) FILTER (WHERE event='inline' AND reason IS NULL) AS candidates, count(*) FILTER (WHERE event='inline' AND reason IS NOT NULL) AS excluded, count(DISTINCT task_id) AS sessions, min(ts) AS first_ts, max(ts) AS last_ts FROM c) SELECT *, round(delegated/(delegated+candidates),6) AS rate, CASE WHEN delegated/(delegated+candidates)<0.1 THEN 'rarely delegated' WHEN delegated/(delegated+candidates)<0.5 THEN 'sometimes delegated' ELSE 'mostly delegated' END AS reading FROM f")
+@query("a27_funnel", D, FUNNEL + ", f AS (SELECT count(*) FILTER (WHERE event='delegated') AS delegated, count(*) FILTER (WHERE event='inline' AND reason='') AS candidates, count(*) FILTER (WHERE event='inline' AND reason<>'') AS excluded, count(DISTINCT task_id) AS sessions, min(ts) AS first_ts, max(ts) AS last_ts FROM c) SELECT *, round(delegated/(delegated+candidates),6) AS rate, CASE WHEN delegated/(delegated+candidates)<0.1 THEN 'rarely delegated' WHEN delegated/(delegated+candidates)<0.5 THEN 'sometimes delegated' ELSE 'mostly delegated' END AS reading FROM f")
 def funnel(d):
     return observe.funnel(_funnel_events(d))
 
 
-@query("a28_resources", D, "SELECT count(*) AS samples, round(avg(latency_s*10),6) AS cpu_avg, round(max(latency_s*10),6) AS cpu_max, round(avg(CASE WHEN latency_s*10>=80 THEN 1.0::DOUBLE ELSE 0 END),6) AS hot_share, count(*) FILTER (WHERE k>90) AS elevated, CASE WHEN count(*) FILTER (WHERE k>90)>0 THEN 'critical' WHEN avg(CASE WHEN latency_s*10>=80 THEN 1.0::DOUBLE ELSE 0 END)>=0.2 THEN 'strained' ELSE 'fine' END AS level FROM v_decisions")
+@query("a28_resources", D, "WITH s AS (SELECT CASE WHEN event_type<>'view' THEN latency_s*10 END AS cpu, k FROM v_decisions) SELECT count(*) AS samples, round(sum(cpu)/count(*),6) AS cpu_avg, round(max(cpu),6) AS cpu_max, round(count(*) FILTER (WHERE cpu>=80)/count(*)::DOUBLE,6) AS hot_share, count(*) FILTER (WHERE k>90) AS elevated, CASE WHEN count(*) FILTER (WHERE k>90)>0 THEN 'critical' WHEN count(*) FILTER (WHERE cpu>=80)>=0.2*count(*) THEN 'strained' ELSE 'fine' END AS level FROM s")
 def resources(d):
-    return observe.resources(d.select((F.col("latency_s") * 10).alias("cpu_percent"), F.when(F.col("k") > 90, 1).otherwise(0).alias("thermal_level")))
+    cpu = F.when(F.col("event_type") != "view", F.col("latency_s") * 10)
+    return observe.resources(d.select(cpu.alias("cpu_percent"), F.when(F.col("k") > 90, "elevated").otherwise("none").alias("thermal_level")))
 
 
 @query("a28_warm_models", D, "SELECT model, count(*) AS n FROM (SELECT unnest([selected_agent, bandit_pick]) AS model FROM v_decisions) GROUP BY model")

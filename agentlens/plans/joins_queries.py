@@ -105,14 +105,14 @@ def schedule(r):
     return joins.schedule(r.select("prompt").distinct(), ["x", "y"], 3, 7).groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"))
 
 
-NUMSTAT = "n AS (SELECT l_orderkey AS sha, 1+(l_orderkey%5=0)::INTEGER AS parents, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS committed, CASE WHEN l_linenumber=2 THEN 'tests/test_a.py' WHEN l_linenumber=3 THEN 'doc/x.md' ELSE 'src/a' || l_linenumber || '.py' END AS path, CAST(l_quantity AS BIGINT) AS lines FROM lineitem)"
+NUMSTAT = "n AS (SELECT l_orderkey AS sha, 1+(l_orderkey%5=0)::INTEGER AS parents, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS committed, CASE l_linenumber WHEN 2 THEN 'test_module' WHEN 6 THEN 'test_module' WHEN 5 THEN 'test_file' WHEN 3 THEN 'text' ELSE 'source' END AS kind, CAST(l_quantity AS BIGINT) AS lines FROM lineitem WHERE l_quantity<>13)"
 
 
-@query("p17_candidate_commits", "lineitem", f"WITH {NUMSTAT}, g AS (SELECT sha, committed, max(parents) AS parents, bool_or(path='tests/test_a.py') AS t, CAST(sum(CASE WHEN path LIKE 'src/%' THEN lines ELSE 0 END) AS BIGINT) AS src_lines FROM n GROUP BY sha, committed) SELECT sha, src_lines FROM g WHERE parents=1 AND t AND src_lines BETWEEN 1 AND 60 ORDER BY committed DESC, sha LIMIT 500")
+@query("p17_candidate_commits", "lineitem", f"WITH {NUMSTAT}, g AS (SELECT sha, committed, max(parents) AS parents, bool_or(kind='test_module') AS t, CAST(sum(CASE WHEN kind='source' THEN lines ELSE 0 END) AS BIGINT) AS src_lines FROM n GROUP BY sha, committed) SELECT sha, src_lines FROM g WHERE parents=1 AND t AND src_lines BETWEEN 1 AND 60 ORDER BY committed DESC, sha LIMIT 500")
 def candidate_commits(li):
     first = li.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("committed"))
-    path = F.when(F.col("l_linenumber") == 2, "tests/test_a.py").when(F.col("l_linenumber") == 3, "doc/x.md").otherwise(F.concat(F.lit("src/a"), F.col("l_linenumber").cast("string"), F.lit(".py")))
-    rows = li.join(first, "l_orderkey").select(F.col("l_orderkey").alias("sha"), (1 + (F.col("l_orderkey") % 5 == 0).cast("int")).alias("parents"), "committed", path.alias("path"), F.col("l_quantity").cast("long").alias("lines"))
+    path = F.element_at(F.array(*map(F.lit, ["src/a.py", "tests/test_a.py", "doc/x.md", "pkg/tests/helper.py", "pkg/conftest.py", "test/tests_b.py", "tests_c.py"])), F.col("l_linenumber").cast("int"))
+    rows = li.join(first, "l_orderkey").select(F.col("l_orderkey").alias("sha"), (1 + (F.col("l_orderkey") % 5 == 0).cast("int")).alias("parents"), "committed", path.alias("path"), F.when(F.col("l_quantity") != 13, F.col("l_quantity")).cast("long").alias("lines"))
     return joins.candidate_commits(rows, 60, 500).select("sha", "src_lines")
 
 
@@ -135,11 +135,11 @@ def gate_sets(li):
     return joins.gate_sets(_runs(li)).drop("f2p_tests")
 
 
-@query("u03_grade", "lineitem", "WITH e AS (SELECT l_suppkey AS task, l_partkey%40 AS test, CASE WHEN l_partkey%40<10 THEN 'f2p' ELSE 'p2p' END AS kind FROM lineitem GROUP BY ALL), o AS (SELECT l_suppkey AS task, l_partkey%40 AS test, bool_and(l_discount<0.1) AS ok FROM lineitem WHERE l_suppkey%4<>0 GROUP BY ALL), j AS (SELECT e.*, coalesce(ok,false) AS ok FROM e LEFT JOIN o USING (task,test)) SELECT task, count(*) FILTER (WHERE kind='f2p') AS f2p_total, count(*) FILTER (WHERE kind='f2p' AND ok) AS f2p_pass, count(*) FILTER (WHERE kind='p2p' AND NOT ok) AS regressions, count(*) FILTER (WHERE kind='f2p')=count(*) FILTER (WHERE kind='f2p' AND ok) AND count(*) FILTER (WHERE kind='p2p' AND NOT ok)=0 AND task%4<>0 AS resolved FROM j GROUP BY task")
+@query("u03_grade", "lineitem", "WITH e AS (SELECT l_suppkey AS task, l_partkey%40 AS test, CASE WHEN l_partkey%40<10 THEN 'f2p' ELSE 'p2p' END AS kind FROM lineitem GROUP BY ALL), o AS (SELECT l_suppkey AS task, l_partkey%40 AS test, bool_and(l_discount<0.1) AS ok FROM lineitem WHERE l_returnflag='R' AND l_quantity>=25 GROUP BY ALL), j AS (SELECT e.*, coalesce(ok,false) AS ok FROM e LEFT JOIN o USING (task,test)) SELECT task, count(*) FILTER (WHERE kind='f2p') AS f2p_total, count(*) FILTER (WHERE kind='f2p' AND ok) AS f2p_pass, count(*) FILTER (WHERE kind='p2p' AND NOT ok) AS regressions, count(*) FILTER (WHERE kind='f2p')=count(*) FILTER (WHERE kind='f2p' AND ok) AND count(*) FILTER (WHERE kind='p2p' AND NOT ok)=0 AND task IN (SELECT task FROM o) AS resolved FROM j GROUP BY task")
 def grade(li):
     t, x = F.col("l_suppkey").alias("task"), (F.col("l_partkey") % 40).alias("test")
     expected = li.select(t, x).distinct().withColumn("kind", F.when(F.col("test") < 10, "f2p").otherwise("p2p"))
-    return joins.grade(expected, li.filter("l_suppkey % 4 <> 0").select(t, x, (F.col("l_discount") < 0.1).alias("passed"))).drop("first")
+    return joins.grade(expected, li.filter("l_returnflag = 'R' AND l_quantity >= 25").select(t, x, (F.col("l_discount") < 0.1).alias("passed"))).drop("first")
 
 
 @query("u04_live_only", "lineitem", "SELECT count(*) AS n, count(extra) AS extras FROM (SELECT l_suppkey AS task, NULL AS extra FROM lineitem UNION ALL SELECT l_suppkey, 1 FROM lineitem WHERE l_linenumber=1) WHERE task IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag='R' AND l_quantity>=45)")

@@ -129,16 +129,16 @@ def judge_bank(c):
 
 def _matrix(c):
     key = F.col("case_id").cast("string").alias("prompt")
-    cell = lambda a, p: c.select(key, F.lit(a).alias("agent"), p.alias("passed"))
-    return cell("cloud", F.col("cloud_passed")).unionByName(cell("l1", F.col("local_passed"))).unionByName(cell("l2", F.col("case_id") % 5 == 0).filter("CAST(prompt AS BIGINT) % 7 <> 0"))
+    cell = lambda a, p, of=c: of.select(key, F.lit(a).alias("agent"), p.alias("passed"))
+    return cell("cloud", F.col("cloud_passed")).unionByName(cell("l1", F.col("local_passed"))).unionByName(cell("l2", F.col("case_id") % 5 == 0, c.filter("cloud_cost >= 0.05")))
 
 
-MAT = "m AS (SELECT case_id AS prompt, 'cloud' AS agent, cloud_passed AS passed FROM v_cases UNION ALL SELECT case_id, 'l1', local_passed FROM v_cases UNION ALL SELECT case_id, 'l2', case_id%5=0 FROM v_cases WHERE case_id%7<>0), p AS (SELECT prompt, bool_or(passed) FILTER (WHERE agent='cloud') AS cloud, bool_or(passed) FILTER (WHERE agent<>'cloud') AS local FROM m GROUP BY prompt), c AS (SELECT case_id AS prompt, cloud_cost AS cost FROM v_cases WHERE case_id%4<>0), q AS (SELECT p.*, coalesce(cost,(SELECT avg(cost) FROM c)) AS cost, p.prompt%3=0 AS accept FROM p LEFT JOIN c USING (prompt))"
+MAT = "m AS (SELECT case_id AS prompt, 'cloud' AS agent, cloud_passed AS passed FROM v_cases UNION ALL SELECT case_id, 'l1', local_passed FROM v_cases UNION ALL SELECT case_id, 'l2', case_id%5=0 FROM v_cases WHERE cloud_cost>=0.05), p AS (SELECT prompt, bool_or(passed) FILTER (WHERE agent='cloud') AS cloud, bool_or(passed) FILTER (WHERE agent<>'cloud') AS local FROM m GROUP BY prompt), c AS (SELECT case_id AS prompt, cloud_cost AS cost FROM v_cases WHERE cloud_passed), q AS (SELECT p.*, coalesce(cost,(SELECT avg(cost) FROM c)) AS cost, p.prompt%3=0 AS accept FROM p LEFT JOIN c USING (prompt))"
 
 
 @query("a44_policies", C, f"WITH {MAT} SELECT 'always cloud' AS policy, count(*) AS n, round(avg(cloud::INT::DOUBLE),6) AS pass_rate, round(avg(cost),6) AS cost FROM q UNION ALL SELECT 'always ' || agent, count(*), round(avg(passed::INT::DOUBLE),6), 0.0 FROM m WHERE agent<>'cloud' GROUP BY agent UNION ALL SELECT 'best of local', count(*), round(avg(local::INT::DOUBLE),6), 0.0 FROM q UNION ALL SELECT 'routed', count(*), round(avg(CASE WHEN accept THEN local ELSE cloud END::INT::DOUBLE),6), round(avg(CASE WHEN accept THEN 0.0 ELSE cost END + 0.002),6) FROM q")
 def policies(c):
-    costs = c.filter("case_id % 4 <> 0").select(F.col("case_id").cast("string").alias("prompt"), F.col("cloud_cost").alias("cost"))
+    costs = c.filter("cloud_passed").select(F.col("case_id").cast("string").alias("prompt"), F.col("cloud_cost").alias("cost"))
     return reports.policies(_matrix(c), costs, "cloud", F.col("prompt").cast("long") % 3 == 0, 0.002)
 
 
@@ -157,12 +157,12 @@ def correlation(m):
     return m.groupBy("capability_bucket").agg(pearson(F.col("quality_score"), F.col("reward_score")).alias("r"))
 
 
-SEEDS = "v AS (SELECT bucket AS condition, k%12 AS seed, avg(reward) AS value FROM v_decisions WHERE k%12 < 10 GROUP BY ALL), g AS (SELECT condition, count(*)::INTEGER AS n, avg(value) AS mean, stddev_samp(value) AS std FROM v GROUP BY condition), b AS (SELECT n AS bn, mean AS bm, std AS bs FROM g WHERE condition='b0')"
+SEEDS = "v AS (SELECT bucket AS condition, k%12 AS seed, avg(reward) AS value FROM v_decisions GROUP BY ALL), g AS (SELECT condition, count(*)::INTEGER AS n, avg(value) AS mean, stddev_samp(value) AS std FROM v GROUP BY condition), b AS (SELECT n AS bn, mean AS bm, std AS bs FROM g WHERE condition='b0')"
 
 
-@query("a47_seed_summary", D, f"WITH {SEEDS} SELECT condition, n, round(mean,6) AS mean, round(std,6) AS std, round(2.262*std/sqrt(n),6) AS ci95, round(mean-bm,6) AS delta, CASE WHEN condition<>'b0' THEN round((mean-bm)/sqrt(std*std/n+bs*bs/bn),6) END AS t FROM g, b")
+@query("a47_seed_summary", D, f"WITH {SEEDS} SELECT condition, n, round(mean,6) AS mean, round(std,6) AS std, round(2.201*std/sqrt(n),6) AS ci95, round(mean-bm,6) AS delta, CASE WHEN condition<>'b0' THEN round((mean-bm)/sqrt(std*std/n+bs*bs/bn),6) END AS t FROM g, b")
 def seed_summary(d):
-    return reports.seed_summary(d.withColumn("seed", F.col("k") % 12).filter("seed < 10").groupBy(F.col("bucket").alias("condition"), "seed").agg(F.avg("reward").alias("value")), "b0")
+    return reports.seed_summary(d.withColumn("seed", F.col("k") % 12).groupBy(F.col("bucket").alias("condition"), "seed").agg(F.avg("reward").alias("value")), "b0")
 
 
 @query("a49_strategy_summary", D, "WITH t AS (SELECT strategy, selected_agent, count(*) AS n FROM v_decisions GROUP BY ALL), u AS (SELECT strategy, max(n) AS top, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY ALL) SELECT strategy, round(avg(CAST(success AS DOUBLE)),6) AS success_rate, round(avg(reward),6) AS mean_reward, round(avg((cost_usd=0)::INT::DOUBLE),6) AS free_share, round(sum((SELECT max(cost_usd) FROM v_decisions)-cost_usd),6) AS saved, any_value(u.n) AS n, round(any_value(top)/any_value(u.n),6) AS top_share FROM v_decisions JOIN u USING (strategy) GROUP BY strategy")
@@ -175,9 +175,9 @@ def best_settings(d):
     return reports.best_settings(d.select(F.col("bucket").alias("parameter"), F.col("selected_agent").alias("value"), "reward"))
 
 
-@query("a55_run_list", "orders", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderpriority AS machine, o_custkey AS timeout_s, ['m' || (o_orderkey%3)] AS models FROM orders WHERE o_orderkey<=500")
+@query("a55_run_list", "orders", "SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderpriority AS machine, o_custkey AS timeout_s, ['m' || (o_orderkey%3)] AS models FROM orders")
 def run_list(o):
-    m = o.filter("o_orderkey <= 500").select(
+    m = o.select(
         F.col("o_orderkey").cast("string").alias("run_id"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("started"), F.struct(F.col("o_orderpriority").alias("name")).alias("machine"),
         F.struct(F.col("o_custkey").alias("timeout_s")).alias("settings"), F.struct(F.create_map(F.concat(F.lit("m"), (F.col("o_orderkey") % 3).cast("string")), F.lit("x")).alias("digests")).alias("models"),
     )

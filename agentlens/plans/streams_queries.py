@@ -99,10 +99,10 @@ def attempts(a):
     return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rep") == 2).alias("second"), F.sum("cost_usd").alias("cost"))
 
 
-@query("s04_export_rows", "v_attempts", "SELECT arm, cond, sha, rep, repo, 'm' || (run_key%3) AS host FROM v_attempts WHERE repo='Brand#11' AND sha < '00000900'")
+@query("s04_export_rows", "v_attempts", "SELECT arm, cond, sha, rep, repo, 'm' || (run_key%3) AS host FROM v_attempts WHERE (repo, sha) IN (SELECT (repo, sha) FROM v_attempts WHERE resolved)")
 def export_rows(a):
     rows = a.withColumn("run_id", F.col("run_key") % 3).drop("committed")
-    tasks = a.filter("repo = 'Brand#11' AND sha < '00000900'").groupBy("repo", "sha").agg(F.min("committed").alias("committed"))
+    tasks = a.filter("resolved").groupBy("repo", "sha").agg(F.min("committed").alias("committed"))
     runs = rows.select("run_id").distinct().withColumn("host", F.concat(F.lit("m"), F.col("run_id").cast("string")))
     return logs.export_rows(rows, tasks, runs).select("arm", "cond", "sha", "rep", "repo", "host")
 

@@ -11,6 +11,9 @@ R = "v_results"
 KEY = ["conv_id", "turn"]
 
 
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def _alts(words: list[str]) -> str:
     return "(" + "|".join(words) + ")"
 
@@ -62,15 +65,17 @@ def numbers(r):
     return r.select(*KEY, F.size(X.ordered_numbers(text)).alias("n"), F.aggregate(X.ordered_numbers(text, 3), F.lit(0.0), lambda a, b: a + b).alias("last_sum"))
 
 
-@query("p14_extract_code", R, "SELECT conv_id, turn, CASE WHEN conv_id % 3=0 THEN 'x=' || turn WHEN conv_id % 3=1 THEN 'y' || chr(10) || 'z' ELSE trim(output) END AS code FROM v_results")
+@query("p14_extract_code", R, "SELECT conv_id, turn, CASE WHEN conv_id % 4=0 THEN 'x=' || turn WHEN conv_id % 4=1 THEN 'y' || chr(10) || 'z' WHEN conv_id % 4=2 THEN 'int x' || turn || ';' ELSE trim(output) END AS code FROM v_results")
 def code(r):
     fenced = F.concat(F.lit("Sure\n```py\nx="), F.col("turn"), F.lit("\n```\nmore\n```\nno\n```"))
-    return r.select(*KEY, X.extract_code(F.when(F.col("conv_id") % 3 == 0, fenced).when(F.col("conv_id") % 3 == 1, F.lit("```js\ny\nz")).otherwise(F.col("output"))).alias("code"))
+    kind, tagged = F.col("conv_id") % 4, F.concat(F.lit("```c++\nint x"), F.col("turn"), F.lit(";\n```\n"))
+    return r.select(*KEY, X.extract_code(F.when(kind == 0, fenced).when(kind == 1, F.lit("```js\ny\nz")).when(kind == 2, tagged).otherwise(F.col("output"))).alias("code"))
 
 
-@query("p14_strip_chatter", R, "SELECT conv_id, turn, trim(prompt) AS body FROM v_results WHERE prompt NOT LIKE '%' || chr(10) || '%'")
+@query("p14_strip_chatter", R, f"WITH l AS (SELECT conv_id, turn, regexp_split_to_array(trim(prompt, {BLANK}), '\r\n|[\n\r\v\f\x1c-\x1e]') AS ls FROM v_results), m AS (SELECT conv_id, turn, ls, [regexp_matches(trim(x, {BLANK}), '(?i){X.PREAMBLES.replace(chr(39), chr(39) * 2)}') FOR x IN ls] AS p, [regexp_matches(trim(x, {BLANK}), '(?i){X.SIGN_OFFS}') FOR x IN ls] AS s FROM l), n AS (SELECT *, coalesce(nullif(list_position(p, false), 0), len(ls)+1) AS a, len(ls) - coalesce(nullif(list_position(list_reverse(s), false), 0), len(ls)+1) + 1 AS b FROM m) SELECT conv_id, turn, trim(array_to_string(ls[a:b], chr(10)), {BLANK}) AS body FROM n")
 def chatter(r):
-    return r.filter(~F.contains(F.col("prompt"), F.lit("\n"))).select(*KEY, X.strip_chatter(F.concat(F.lit("Sure, here you go\nCertainly!\n"), F.col("prompt"), F.lit("\nLet me know if\nHope this helps"))).alias("body"))
+    around = F.concat(F.lit("Sure, here you go\nBELOW is\nI'll show\n"), F.col("prompt"), F.lit("\nLet me know if\nHope this works\n"))
+    return r.select(*KEY, X.strip_chatter(around).alias("body"))
 
 
 @query("p15_text_hash", R, "SELECT conv_id, turn, CASE WHEN conv_id % 7=0 THEN NULL ELSE sha256(lower(trim(prompt))) END AS h FROM v_results")
@@ -78,9 +83,10 @@ def text_hash(r):
     return r.select(*KEY, X.text_hash(F.when(F.col("conv_id") % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("prompt"), F.lit(" ")))).alias("h"))
 
 
-@query("p16_without_trailers", R, "SELECT conv_id, turn, trim(prompt) AS body FROM v_results WHERE prompt NOT LIKE '%' || chr(10) || '%'")
+@query("p16_without_trailers", R, f"SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(trim(prompt, {BLANK}), '\r?\n[ \t]*\r?\n'), lambda p: trim(p, {BLANK}) <> ''), chr(10) || chr(10)) || CASE WHEN conv_id % 2=0 THEN '' ELSE chr(10) || chr(10) || 'Fixes: #12' END AS body FROM v_results")
 def trailers(r):
-    return r.filter(~F.contains(F.col("prompt"), F.lit("\n"))).select(*KEY, X.without_trailers(F.concat(F.trim(F.col("prompt")), F.lit("\n\nSigned-off-by: A <a@b>\n folded\nCc: x y\n"))).alias("body"))
+    who = F.lit("Signed-off-by: A <a@b>\n folded\nCc: x y\n \n* Generated with [Some Tool](https://t.example)\n")
+    return r.select(*KEY, X.without_trailers(F.concat(F.col("prompt"), F.lit("\n\n"), F.when(F.col("conv_id") % 2 == 1, "Fixes: #12\n").otherwise(""), who)).alias("body"))
 
 
 @query("p18_agent_and_model", "v_attempts", "SELECT DISTINCT arm, 'tool' AS agent, 'm:' || arm AS model FROM v_attempts")
@@ -112,6 +118,18 @@ def quality(r):
     return r.select(*KEY, X.quality_score(F.col("prompt"), F.col("output"), F.col("bucket")).alias("score"))
 
 
+SECURE = ["", " See CWE-79, cwe 79 and CWE-89.", "\n  #### Risk\nxCWE-12 CVE-2021-44228 cve 2021 1", " Sanitise and ESCAPE input; least privilege, TLS, rbac, a salt.", "\n##### Threat\nThe attacker has malicious, untrusted input; the impact is a breach.", "\n## Countermeasures\nCVE2020-1, CWE99999 and the attack surface"]
+SECURED = "output || CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(SECURE)) + " END"
+COUNT_OF = lambda ws: " + ".join(f"contains(low, '{w}')::INTEGER" for w in ws)
+IDS = lambda p: f"len(list_distinct([upper(x) FOR x IN regexp_extract_all(t, '(?i){p}')]))"
+
+
+@query("m03_security_score", R, f"WITH r AS (SELECT conv_id, turn, {SECURED} AS t FROM v_results), s AS (SELECT *, lower(t) AS low, len({WORDS('t')}) AS n FROM r) SELECT conv_id, turn, round(CASE WHEN n=0 THEN 0.0 WHEN n<5 THEN 0.1 ELSE least((CASE WHEN n<30 THEN 0.3 ELSE 0.4 END)::DOUBLE + least(0.1, 0.05::DOUBLE*{IDS(r'\bCWE[-\s]?\d{1,4}\b')}) + least(0.1, 0.05::DOUBLE*{IDS(r'\bCVE[-\s]?\d{4}[-\s]?\d{1,7}\b')}) + least(0.2, 0.04::DOUBLE*({COUNT_OF(X.MITIGATION_WORDS)})) + least(0.1, 0.025::DOUBLE*({COUNT_OF(X.THREAT_WORDS)})) + CASE WHEN regexp_matches(t, '(?im)^\\s*#{{1,4}}\\s*({'|'.join(X.SECURITY_HEADERS)})') THEN 0.1 ELSE 0 END, 1.0) END, 3) AS score FROM s", 3)
+def security(r):
+    kind = F.element_at(F.array(*map(F.lit, SECURE)), (F.col("conv_id") % 6 + 1).cast("int"))
+    return r.select(*KEY, X.security_score(F.concat("output", kind)).alias("score"))
+
+
 @query("m03_code_debug_security", R, None)
 def other_scores(r):
     return r.select(*KEY, X.quality_score(F.col("prompt"), F.col("output"), F.lit("code")).alias("code"), X.quality_score(F.col("prompt"), F.col("output"), F.lit("debug")).alias("debug"), X.quality_score(F.col("prompt"), F.col("output"), F.lit("security")).alias("security"))
@@ -123,6 +141,8 @@ def band(r):
     return r.select(*KEY, embed.alias("embed"), F.round(X.prose_score(X.prose_components(F.col("prompt"), F.col("output"), F.col("bucket")), embed), 3).alias("score"))
 
 
-@query("m26_keyword_summary", R, f"WITH t AS (SELECT conv_id, turn, prompt, list_filter(regexp_extract_all(output, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda w: lower(w) NOT IN ({','.join(repr(w) for w in X.STOPWORDS)})) AS ts FROM v_results), u AS (SELECT conv_id, turn, prompt, list_filter(ts, lambda w, i: list_position([lower(x) FOR x IN ts], lower(w))=i) AS f FROM t) SELECT conv_id, turn, CASE WHEN len(f)=0 THEN prompt ELSE prompt || ' [' || array_to_string(f[1:50], ', ') || ']' END AS text FROM u")
+@query("m26_keyword_summary", R, f"WITH t AS (SELECT conv_id, turn, prompt, list_filter(regexp_extract_all(bucket || '-x ' || output || ' ' || agent || ' ' || prompt || ' Which one', '[A-Za-z][A-Za-z0-9_-]{{2,}}'), lambda w: lower(w) NOT IN ({','.join(repr(w) for w in X.SUMMARY_STOPWORDS)})) AS ts FROM v_results), u AS (SELECT conv_id, turn, prompt, list_filter(ts, lambda w, i: list_position([lower(x) FOR x IN ts], lower(w))=i) AS f FROM t) SELECT conv_id, turn, CASE WHEN len(f)=0 THEN prompt ELSE prompt || ' [' || array_to_string(f[1:50], ', ') || ']' END AS text FROM u")
 def keyword_summary(r):
-    return r.select(*KEY, X.augmented(F.col("prompt"), X.keyword_summary(F.col("output"))).alias("text"))
+    hit = lambda s, title, body: F.struct(F.lit(s).alias("similarity"), title.alias("title"), body.alias("body"))
+    hits = F.array(hit(0.5, F.col("agent"), F.col("prompt")), hit(0.2, F.lit("left"), F.lit("out")), hit(0.9, F.concat("bucket", F.lit("-x")), F.col("output")), hit(0.5, F.lit("Which"), F.lit("one")))
+    return r.select(*KEY, X.augmented(F.col("prompt"), X.keyword_summary(X.hits_text(hits))).alias("text"))

@@ -94,8 +94,11 @@ def test_funnel_rate_is_null_without_work(spark):
 
 
 def test_resources_levels(spark):
-    level = lambda hot, heat: one(observe.resources(spark.createDataFrame([(90.0 if i < hot else 10.0, heat) for i in range(10)], "cpu_percent double, thermal_level int"))).level
-    assert (level(3, 0), level(1, 0), level(0, 1)) == ("strained", "fine", "critical")
+    level = lambda hot, heat: one(observe.resources(spark.createDataFrame([(90.0 if i < hot else None, heat) for i in range(10)], "cpu_percent double, thermal_level string")))
+    assert [level(*x).level for x in ((3, "nominal"), (1, None), (0, "elevated"))] == ["strained", "fine", "critical"]
+    assert level(3, None).cpu_avg == 27 and level(0, None).cpu_max == 0
+    none = one(observe.resources(spark.createDataFrame([], "cpu_percent double, thermal_level string")))
+    assert (none.samples, none.cpu_avg, none.hot_share, none.level) == (0, None, None, "unknown")
 
 
 def test_pacer_is_the_recursion(spark):
@@ -147,12 +150,6 @@ def test_code_blocks(spark):
     assert [r.c for r in spark.createDataFrame([(r,) for r in rows], "t string").select(X.extract_code(F.col("t")).alias("c")).collect()] == ["x = 1", "x = 2", "plain"]
 
 
-def test_trailers():
-    assert X._without_trailers("Fix\n\nWhy: x\n\nSigned-off-by: A <a@b>\n  folded\nCc: b c") == "Fix\n\nWhy: x"
-    assert X._without_trailers("Fix\n\nFixes: #12\nSigned-off-by: A <a@b>") == "Fix\n\nFixes: #12"
-    assert X._without_trailers("Fix it") == "Fix it" and X._without_trailers(None) is None
-
-
 def test_code_score(spark):
     r = one(spark.createDataFrame([("def f():\n    return 1\n", "x = ")], "a string, b string").select(X.code_score(F.col("a")).alias("a"), X.code_score(F.col("b")).alias("b")))
     assert r.a == pytest.approx(0.9) and r.b == pytest.approx(0.55)
