@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions.stats import Z95, mcnemar_exact, paired_difference, share, standing, time_bound, wilson
+from agentlens.operators.selection import medians
 
 SLICE_KEYS = {"arm", "cond", "repos", "machine", "since", "until", "limit_s"}
 
@@ -68,15 +69,17 @@ def attempt_outcome() -> Column:
     return F.when(F.col("resolved"), "resolved").when(F.col("timed_out"), "timed-out").otherwise("failed")
 
 
-def arm_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Per arm: attempts, resolved, timed out, exact median minutes, tasks, tasks solved ever and always, most repeats."""
+def median_minutes(rows: DataFrame, by: list[str], approximate: bool) -> DataFrame:
+    return medians(rows, by, "secs", "_secs", approximate).select(*by, (F.col("_secs") / 60).alias("median_minutes"))
+
+
+def arm_summary(rows: DataFrame, by: list[str], approximate: bool = False) -> DataFrame:
+    """Per arm: attempts, resolved, timed out, median minutes (exact, or ``approximate``), tasks, tasks solved ever and
+    always, most repeats."""
     tasks = rows.groupBy(*by, "repo", "sha").agg(F.count(F.lit(1)).alias("r"), F.bool_or("resolved").alias("ever"), F.bool_and("resolved").alias("always"))
     across = tasks.groupBy(*by).agg(F.count(F.lit(1)).alias("tasks"), F.count_if("ever").alias("solved_ever"), F.count_if("always").alias("solved_always"), F.max("r").alias("repeats"))
-    plain = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.count_if("timed_out").alias("timed_out"),
-        (F.percentile("secs", 0.5) / 60).alias("median_minutes"),
-    )
-    return plain.join(across, by)
+    plain = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("resolved").alias("resolved"), F.count_if("timed_out").alias("timed_out"))
+    return plain.join(median_minutes(rows, by, approximate), by, "left").join(across, by)
 
 
 def outcome_counts(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -100,14 +103,11 @@ def ledger(attempts: DataFrame, reason: Column) -> DataFrame:
     return attempts.groupBy("arm", normal.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def evidence(rows: DataFrame, by: list[str]) -> DataFrame:
+def evidence(rows: DataFrame, by: list[str], approximate: bool = False) -> DataFrame:
     """A slice's pooled rate, median minutes, failed, timed out, time-bound flag, and how many machines it mixes (more
     than one is refused by ``require_single``)."""
-    more = rows.groupBy(*by).agg(
-        (F.percentile("secs", 0.5) / 60).alias("median_minutes"), F.count_if(~F.col("resolved")).alias("failed"), F.count_if("timed_out").alias("timed_out"),
-        F.count_distinct("machine").alias("machines"),
-    )
-    return task_rate(rows, by).join(more, by).withColumn("time_bound", time_bound(F.col("timed_out"), F.col("failed")))
+    more = rows.groupBy(*by).agg(F.count_if(~F.col("resolved")).alias("failed"), F.count_if("timed_out").alias("timed_out"), F.count_distinct("machine").alias("machines"))
+    return task_rate(rows, by).join(median_minutes(rows, by, approximate), by, "left").join(more, by).withColumn("time_bound", time_bound(F.col("timed_out"), F.col("failed")))
 
 
 def require_single(found: DataFrame, column: str) -> DataFrame:
@@ -121,13 +121,21 @@ def one_per_task(rows: DataFrame) -> DataFrame:
 
 
 def pair_by_prefix(this: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs of two slices, task by task: same repo, and either sha is a prefix of the other. The join is on the repo and
-    the shortest length seen in it; the residual looks at the rest. Columns of both sides come with a_ and b_."""
+    """Pairs of two slices, task by task: same repo, and either sha is a prefix of the other. Columns of both sides come with
+    a_ and b_.
+
+    The longer sha is cut to every length that shas of the other side have (few, as a sha has few lengths), and the cuts
+    meet the other side's whole shas: a join of equal values, in which a short sha meets only what begins with it."""
     one, two = (df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns]) for df, p in ((this, "a_"), (other, "b_")))
-    lengths = one.select(F.col("a_repo").alias("r"), F.length("a_sha").alias("k")).unionByName(two.select(F.col("b_repo").alias("r"), F.length("b_sha").alias("k"))).groupBy("r").agg(F.min("k").alias("k"))
-    cut = lambda df, p: df.join(lengths, F.col(f"{p}repo") == F.col("r")).withColumn(f"{p}cut", F.expr(f"substring({p}sha, 1, k)")).drop("r", "k")
-    same = (F.col("a_repo") == F.col("b_repo")) & (F.col("a_cut") == F.col("b_cut"))
-    return cut(one, "a_").join(cut(two, "b_"), same & (F.startswith("a_sha", "b_sha") | F.startswith("b_sha", "a_sha"))).drop("a_cut", "b_cut")
+
+    def cut(longer: DataFrame, p: str, shorter: DataFrame, q: str, equal: bool) -> DataFrame:
+        lengths = F.array(*[F.lit(r["k"]) for r in shorter.select(F.length(f"{q}sha").alias("k")).filter("k IS NOT NULL").distinct().collect()]).cast("array<int>")
+        n = F.length(f"{p}sha")
+        cuts = longer.withColumn("_k", F.explode(F.filter(lengths, lambda k: (k <= n) if equal else (k < n)))).withColumn("_cut", F.expr(f"substring({p}sha, 1, _k)"))
+        same = (F.col(f"{p}repo") == F.col(f"{q}repo")) & (F.col("_cut") == F.col(f"{q}sha"))
+        return cuts.join(shorter, same).select(*one.columns, *two.columns)
+
+    return cut(one, "a_", two, "b_", True).unionByName(cut(two, "b_", one, "a_", False))
 
 
 def paired_counts(pairs: DataFrame) -> DataFrame:
@@ -218,11 +226,11 @@ def plan_nights(needed: DataFrame, cells: int, minutes: Column, night_hours: flo
 
 
 def open_cells(attempts: DataFrame, reps: int) -> DataFrame:
-    """Cells rep x arm x cond x task without a recorded attempt. Arms and conditions are a short list each (their distinct
-    pairs are joined to the tasks by hint-free equality on a constant, which Spark broadcasts by its own size check)."""
-    tasks = attempts.select("repo", "sha").distinct().withColumn("one", F.lit(1))
-    arms = attempts.select("arm", "cond").distinct().withColumn("one", F.lit(1))
-    cells = tasks.join(arms, "one").drop("one").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    """Cells rep x arm x cond x task without a recorded attempt. The pairs of arm and condition are a short list by nature: one
+    row, which comes to each task as an array."""
+    pairs = attempts.agg(F.collect_set(F.struct("arm", "cond")).alias("_pairs"))
+    tasks = attempts.select("repo", "sha").distinct().join(F.broadcast(pairs), how="cross")
+    cells = tasks.withColumn("_pair", F.explode("_pairs")).select("repo", "sha", "_pair.arm", "_pair.cond").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     return cells.join(attempts.select("repo", "sha", "arm", "cond", F.col("rep").cast("int").alias("rep")).distinct(), ["repo", "sha", "arm", "cond", "rep"], "left_anti")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agentlens.functions.stats import share
+from agentlens.operators.scans import ALL, attached, blocked, placed, running_sums
+from agentlens.operators.selection import ranked_values
 from agentlens.sources.paths import shared_path
 
 # Weights of success, quality, speed and cost by bucket.
@@ -110,11 +112,16 @@ def linucb_state(log: DataFrame, key: list[str], x: list[str], weight: Column, d
     rank, as observations before all others."""
     d = len(x)
     w = Window.partitionBy(*key).orderBy(F.desc("id"))
-    own = log.select(*key, *x, "reward", weight.alias("w"), (F.row_number().over(w) - 1).alias("age"))
+    own = log.select(*key, *x, "reward", "id", weight.alias("w"))
     if 0 < decay < 1:
-        own = own.filter(F.col("age") <= -746 / float(np.log(decay)))
+        # What is older than the horizon leaves where it is read; the horizon's id is found by counting, not by sorting.
+        horizon = int(-746 / float(np.log(decay))) + 1
+        oldest = ranked_values(log, key, "id", lambda n: F.greatest(n - (horizon - 1), F.lit(1))).select(*key, F.col("low").alias("_oldest"))
+        own = attached(own, oldest, key).filter("id >= _oldest").withColumn("age", F.row_number().over(w) - 1).filter(F.col("age") < horizon)
+    else:
+        own = own.withColumn("age", F.lit(0))
     counts = log.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    f = F.col("w") * F.pow(F.lit(decay), F.col("age"))
+    f = F.col("w") * (F.pow(F.lit(decay), F.col("age")) if 0 < decay < 1 else F.lit(1.0))
     sums = own.groupBy(*key).agg(*[F.sum(f * F.col(x[i]) * F.col(x[j])).alias(f"a{i}_{j}") for i in range(d) for j in range(i, d)], *[F.sum(f * F.col("reward") * F.col(c)).alias(f"b{i}") for i, c in enumerate(x)])
     state = sums.join(counts, key)
     if pseudo is not None:
@@ -330,16 +337,43 @@ def training_rows(log: DataFrame, agents: list[str], x: str = "x", d: int = 9) -
     return log.withColumn("label", label).filter(F.col("label").isNotNull() & (F.size(x) == d)).select("id", "agent", F.concat(x, flags).alias("features"), "label")
 
 
-def logistic(train: DataFrame, d: int, rounds: int = 60, rate: float = 1.0, ridge: float = 0.5) -> list[float]:
-    """Weights (bias last) by gradient descent; each round is one aggregate over the rows, d + 1 sums."""
-    n = train.count()
+def logistic(train: DataFrame, d: int, ridge: float = 0.5, passes: int = 25, tolerance: float = 1e-9) -> list[float]:
+    """Weights (bias last) of the logistic regression with a ridge on all but the bias, at its optimum.
+
+    Newton's method: a pass over the rows sums the gradient and the curvature (d + 2 choose 2 products), and the loss, by
+    which a step that goes too far is halved. It ends when a step moves no weight by ``tolerance`` (7 passes or so). Features
+    are written once. Without rows, or with one label only, there is nothing to learn: an error."""
+    path = shared_path(train.sparkSession, "features")
+    made = train.select(F.transform("features", lambda x: x.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
+    made.write.parquet(path)
+    rows = train.sparkSession.read.schema("x array<double>, y double").parquet(path)
+    f = [F.col("x")[i] for i in range(d)] + [F.lit(1.0)]
+    pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    penalty = ridge * np.append(np.ones(d), 0.0)
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), reduce(lambda a, b: a + b, [F.lit(float(a)) * b for a, b in zip(w, f, strict=True)])))
+        at = rows.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("loss", F.greatest(z, F.lit(0.0)) - z * F.col("y") + F.log1p(F.exp(-F.abs(z))))
+        e, c = F.col("p") - F.col("y"), F.col("p") * (1 - F.col("p"))
+        r = at.agg(F.count_distinct("y").alias("labels"), F.sum("loss").alias("loss"), *[F.sum(e * x).alias(f"g{i}") for i, x in enumerate(f)], *[F.sum(c * f[i] * f[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        if r["labels"] < 2:
+            raise ValueError("a fit needs rows of both labels")
+        h = np.zeros((d + 1, d + 1))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+        return r["loss"] + float(penalty @ (w * w)) / 2, np.array([r[f"g{i}"] for i in range(d + 1)]) + penalty * w, h + np.diag(penalty)
+
     w = np.zeros(d + 1)
-    rows = train.select(F.concat("features", F.array(F.lit(1.0))).alias("f"), "label")
-    for _ in range(rounds):
-        z = F.aggregate(F.zip_with("f", F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        err = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))) - F.col("label")
-        g = rows.select(err.alias("e"), "f").agg(*[F.sum(F.col("e") * F.col("f")[i]).alias(str(i)) for i in range(d + 1)]).first()
-        w = w - rate * (np.array(list(g)) + ridge * np.append(w[:d], 0.0)) / max(n, 1)
+    loss, gradient, curvature = sums(w)
+    for _ in range(passes):
+        step = np.linalg.lstsq(curvature, gradient, rcond=None)[0]
+        if np.abs(step).max() < tolerance:
+            break
+        new = sums(w - step)
+        while new[0] > loss + 1e-12 * abs(loss) and np.abs(step).max() >= tolerance:
+            step = step / 2
+            new = sums(w - step)
+        w, (loss, gradient, curvature) = w - step, new
     return w.tolist()
 
 
@@ -350,7 +384,7 @@ def predicted(rows: DataFrame, weights: list[float], column: str = "p") -> DataF
 
 
 def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None, bins: int = 1024) -> DataFrame:
-    """Area under the curve by rank sums. Scores are counted by value, values are ranked inside a bin of the score's range,
+    """Area under the curve by rank sums (0.5 with one label only). Scores are counted by value, values are ranked inside a bin of the score's range,
     and a bin starts after the rows of all bins before it (a window over the bins only)."""
     by = by or ["_all"]
     rows = rows.withColumn("_all", F.lit(0))
@@ -361,7 +395,7 @@ def auc(rows: DataFrame, score: str, label: str, by: list[str] | None = None, bi
     w = Window.partitionBy(*by, "_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     r = v.join(start, [*by, "_bin"]).withColumn("rank", F.col("_before") + F.sum("c").over(w) - (F.col("c") - 1) / 2)
     n1, n = F.sum("pos"), F.sum("c")
-    return r.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - n1 * (n1 + 1) / 2, (n1 * (n - n1)).cast("double")).alias("auc")).drop("_all")
+    return r.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("rank")) - n1 * (n1 + 1) / 2, (n1 * (n - n1)).cast("double")).alias("auc")).withColumn("auc", F.coalesce("auc", F.lit(0.5))).drop("_all")
 
 
 def evaluation(rows: DataFrame, score: str = "p", label: str = "label") -> DataFrame:
@@ -456,11 +490,23 @@ def memory_inventory(episodes: DataFrame, vector: str = "embedding") -> DataFram
 
 def consensus(values: DataFrame, key: str, rtol: float = 0.02) -> DataFrame:
     """values (key, i, v): the mean of the largest cluster (values near one anchor; the first anchor on ties) of at least
-    two and a strict majority, else null. The self-join is inside a key, whose values are a few runs."""
-    a, b = values.select(key, F.col("i").alias("ai"), F.col("v").alias("av")), values.select(key, F.col("v").alias("bv"))
-    near = F.abs(F.col("av") - F.col("bv")) / F.greatest(F.abs("av"), F.abs("bv"), F.lit(1e-9)) <= rtol
-    c = a.join(b, key).groupBy(key, "ai").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("size"), F.avg(F.when(near, F.col("bv"))).alias("mean"))
-    best = c.groupBy(key).agg(F.min_by(F.struct("n", "size", "mean"), F.struct(-F.col("size"), F.col("ai"))).alias("s"))
+    two and a strict majority, else null. Two values are near if they differ by rtol of the larger one (of 1e-9 at least).
+
+    A sorted sweep: what is near a value lies between two bounds that follow from it, so every different value stands in its
+    key's order three times, as itself and as its bounds, and running counts and sums are read off at the bounds."""
+    tiny, wide = rtol * 1e-9, 1 + 1e-12
+    toward = lambda x: F.when(x >= 1e-9, x * (1 - rtol) / wide).otherwise(x - tiny)
+    away = lambda x: F.when(x <= 1e-9 * (1 - rtol), x + tiny).otherwise(x / (1 - rtol) * wide)
+    v = F.col("v")
+    each = values.groupBy(key, v.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.min("i").alias("first"))
+    lower, upper = F.when(v >= 0, toward(v)).otherwise(-away(-v)), F.when(v >= 0, away(v)).otherwise(-toward(-v))
+    point = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    points = each.withColumn("p", F.explode(F.array(point(lower, 0), point(v, 1), point(upper, 2)))).select(key, "v", "first", "p.at", "p.kind", F.when(F.col("p.kind") == 1, F.col("c")).otherwise(0).alias("c"))
+    seen = running_sums(blocked(placed(points, [key], ["at", "kind", "v"]).drop("n")), [key], {"count": F.col("c").cast("double"), "total": F.col("c") * v})
+    at = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    by = seen.groupBy(key, "v", "first").agg((at("count", 2) - at("count", 0)).alias("size"), (at("total", 2) - at("total", 0)).alias("sum"))
+    whole = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    best = by.groupBy(key).agg(F.min_by(F.struct("size", (F.col("sum") / F.col("size")).alias("mean")), F.struct(-F.col("size"), "first")).alias("s")).join(whole.select(key, F.struct("n").alias("w")), key).select(key, F.struct("w.n", "s.size", "s.mean").alias("s"))
     return best.select(key, F.when((F.col("s.size") >= 2) & (2 * F.col("s.size") > F.col("s.n")), F.col("s.mean")).alias("value"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions.stats import as_double, share, wilson, wilson_ranking
+from agentlens.operators.scans import attached
+from agentlens.operators.selection import medians
 
 #: Two-sided 95 % quantiles of Student's t by degrees of freedom; beyond, the normal's.
 T_TABLE = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 11: 2.201, 12: 2.179, 13: 2.160, 14: 2.145, 15: 2.131, 16: 2.120, 17: 2.110, 18: 2.101, 19: 2.093, 20: 2.086, 25: 2.060, 29: 2.045}
@@ -22,7 +24,8 @@ def rankings(sources: list[DataFrame], harness: DataFrame | None, key: list[str]
     read newest first up to a bound, harness rows are (agent, n, success_rate). Without a side the other counts alone.
     Order: blended rate, lower end of the interval, samples, name."""
     live = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [newest(s, newest_rows) for s in sources]).filter("success IS NOT NULL")
-    by = live.groupBy(*key, "agent").agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("k"), F.avg("reward").alias("mean_reward"), F.percentile("latency_s", 0.5).alias("median_latency"))
+    by = live.groupBy(*key, "agent").agg(F.count(F.lit(1)).alias("n"), F.sum("success").alias("k"), F.avg("reward").alias("mean_reward"))
+    by = attached(by, medians(live, [*key, "agent"], "latency_s", "median_latency"), [*key, "agent"])
     by = by.withColumn("rate", share(F.col("k"), F.col("n"))).withColumn("lo", wilson_ranking(F.col("k"), F.col("n"))["lo"])
     if harness is not None:
         by = by.join(harness.select("agent", F.col("success_rate").alias("h")), "agent", "full").withColumn("rate", F.coalesce(live_weight * F.col("rate") + (1 - live_weight) * F.col("h"), "rate", "h")).drop("h")

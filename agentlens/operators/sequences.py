@@ -5,42 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentlens.operators.scans import BLOCK, blocked, last_rows, own, placed, running_min, running_moments, running_sums
+
 ALL = Window.unboundedPreceding
 
 
-def rolling_reward(decisions: DataFrame, n: int = 20, least: int = 3) -> DataFrame:
+def rolling_reward(decisions: DataFrame, n: int = 20, least: int = 3, block: int = BLOCK) -> DataFrame:
     """Mean of an agent's last n rewards after each decision; null rewards count as 0, agents with few rows are left out."""
-    w = Window.partitionBy("selected_agent").orderBy("id")
-    rows = decisions.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("selected_agent"))).filter(F.col("total") >= least)
-    return rows.select("id", "selected_agent", F.avg(F.coalesce("reward", F.lit(0.0))).over(w.rowsBetween(1 - n, 0)).alias("rolling"))
+    rows = placed(decisions.select("id", "selected_agent", "reward"), ["selected_agent"], ["id"]).filter(F.col("n") >= least)
+    mean = F.avg(F.coalesce("reward", F.lit(0.0))).over(last_rows(["selected_agent"], n))
+    return own(blocked(rows, block, n - 1).withColumn("rolling", mean)).select("id", "selected_agent", "rolling")
 
 
-def drift_alerts(decisions: DataFrame, sigma: float = 2.0, window: int = 50, least: int = 20, every: int = 10) -> DataFrame:
+def drift_alerts(decisions: DataFrame, sigma: float = 2.0, window: int = 50, least: int = 20, every: int = 10, block: int = BLOCK) -> DataFrame:
     """Alerts per (bucket, agent) at every ``every``-th outcome from the ``least``-th on: the mean of the last ``window``
     rewards is more than sigma sample deviations under the mean of all so far (the row included)."""
-    w = Window.partitionBy("bucket", "selected_agent").orderBy("id")
-    so_far, recent = w.rowsBetween(ALL, 0), w.rowsBetween(1 - window, 0)
-    rows = decisions.filter("reward IS NOT NULL").select(
-        "id", "bucket", "selected_agent", F.count("reward").over(so_far).alias("n"), F.avg("reward").over(so_far).alias("mean"), F.stddev_samp("reward").over(so_far).alias("std"), F.avg("reward").over(recent).alias("recent")
-    )
-    return rows.filter((F.col("n") >= least) & (F.col("n") % every == 0) & (F.col("std") > 0) & (F.col("recent") < F.col("mean") - sigma * F.col("std"))).withColumn("sigmas", (F.col("mean") - F.col("recent")) / F.col("std"))
+    key = ["bucket", "selected_agent"]
+    rows = placed(decisions.filter("reward IS NOT NULL").select("id", *key, "reward"), key, ["id"]).drop("n")
+    rows = running_moments(blocked(rows, block, window - 1).withColumn("recent", F.avg("reward").over(last_rows(key, window))), key, "reward")
+    rows = own(rows).select("id", *key, F.col("t").alias("n"), "mean", "std", "recent")
+    # A deviation of nothing but rounding is none.
+    return rows.filter((F.col("n") >= least) & (F.col("n") % every == 0) & (F.col("std") > 1e-12) & (F.col("recent") < F.col("mean") - sigma * F.col("std"))).withColumn("sigmas", (F.col("mean") - F.col("recent")) / F.col("std"))
 
 
-def budget_pacer(decisions: DataFrame, ceiling: float, key: str, eta: float = 0.5, window: int = 100) -> DataFrame:
+def budget_pacer(decisions: DataFrame, ceiling: float, key: str, eta: float = 0.5, window: int = 100, block: int = BLOCK) -> DataFrame:
     """The pacer's multiplier after each decision. The recursion max(0, last + step) is a reflected walk: the running sum
-    of the steps less its running minimum (0 at most), so two windows give it. ``key`` is the tenant; tenants are paced apart."""
-    w = Window.partitionBy(key).orderBy("id")
-    mean = F.avg("cost_usd").over(w.rowsBetween(1 - window, 0))
-    rows = decisions.withColumn("mean_cost", mean).withColumn("s", F.sum(eta * (F.col("mean_cost") - ceiling)).over(w.rowsBetween(ALL, 0)))
-    lam = F.col("s") - F.least(F.lit(0.0), F.min("s").over(w.rowsBetween(ALL, 0)))
+    of the steps less its running minimum (0 at most), so two scans give it. ``key`` is the tenant; tenants are paced apart."""
+    rows = placed(decisions.select(key, "id", "cost_usd"), [key], ["id"]).drop("n")
+    rows = own(blocked(rows, block, window - 1).withColumn("mean_cost", F.avg("cost_usd").over(last_rows([key], window))))
+    rows = running_min(running_sums(rows, [key], {"s": eta * (F.col("mean_cost") - ceiling)}), [key], "s", "low")
+    lam = F.col("s") - F.least(F.lit(0.0), F.col("low"))
     return rows.select(key, "id", "mean_cost", lam.alias("multiplier"), (F.lit(ceiling) - F.col("mean_cost")).alias("headroom"), (F.col("mean_cost") > ceiling).alias("over"))
 
 
-def regret(rows: DataFrame, key: str, order: str, oracle: Column, actual: Column, n: int = 20) -> DataFrame:
+def regret(rows: DataFrame, key: str, order: str, oracle: Column, actual: Column, n: int = 20, block: int = BLOCK) -> DataFrame:
     """Per step of a sequence: regret, its running sum and its rolling mean."""
-    w = Window.partitionBy(key).orderBy(order)
-    r = rows.select(key, order, F.greatest(F.lit(0.0), oracle - actual).alias("regret"))
-    return r.select("*", F.row_number().over(w).alias("t"), F.sum("regret").over(w.rowsBetween(ALL, 0)).alias("cumulative"), F.avg("regret").over(w.rowsBetween(1 - n, 0)).alias("rolling"))
+    r = placed(rows.select(key, order, F.greatest(F.lit(0.0), oracle - actual).alias("regret")), [key], [order])
+    r = own(blocked(r, block, n - 1).withColumn("rolling", F.avg("regret").over(last_rows([key], n))))
+    return running_sums(r, [key], {"cumulative": F.col("regret")}).select(key, order, "regret", F.col("t").cast("int").alias("t"), "cumulative", "rolling")
 
 
 def regret_growth(steps: DataFrame, key: str, least: int = 20, sublinear: float = 0.8) -> DataFrame:
@@ -57,25 +59,24 @@ def regret_growth(steps: DataFrame, key: str, least: int = 20, sublinear: float
     return out.withColumn("growth", F.when(F.col("n") >= least, F.col("slope"))).drop("slope").withColumn("sublinear", F.col("growth") < sublinear)
 
 
-def drift_response(steps: DataFrame, key: str, change: int, target: Column, recover: float = 0.8) -> DataFrame:
+def drift_response(steps: DataFrame, key: str, change: int, target: Column, recover: float = 0.8, block: int = BLOCK) -> DataFrame:
     """Of sequences with a change at a step: steps until the target is first picked after it, until its rolling share is
     back, and its share before and after."""
-    w = Window.partitionBy(key).orderBy("t").rowsBetween(-19, 0)
-    hit = target.cast("double")
-    rows = steps.withColumn("hit", hit).withColumn("share", F.avg("hit").over(w)).withColumn("after", F.col("t") > change)
+    hits = blocked(steps.select(key, "t", target.cast("double").alias("hit")), block, 19)
+    rows = own(hits.withColumn("share", F.avg("hit").over(last_rows([key], 20)))).withColumn("after", F.col("t") > change)
     return rows.groupBy(key).agg(
         (F.min(F.when(F.col("after") & (F.col("hit") > 0), F.col("t"))) - change).alias("detected"), (F.min(F.when(F.col("after") & (F.col("share") >= recover), F.col("t"))) - change).alias("recovered"),
         F.avg(F.when(~F.col("after"), F.col("hit"))).alias("share_before"), F.avg(F.when(F.col("after"), F.col("hit"))).alias("share_after"),
     )
 
 
-def swap_waste(decisions: DataFrame, key: str, explored: Column, n: int = 20, settled: float = 0.15) -> DataFrame:
+def swap_waste(decisions: DataFrame, key: str, explored: Column, n: int = 20, settled: float = 0.15, block: int = BLOCK) -> DataFrame:
     """Per sequence: changes of agent from one decision to the next, and the first step with a full window of n in which
     fewer than ``settled`` are explored."""
-    w = Window.partitionBy(key).orderBy("id")
-    recent = w.rowsBetween(1 - n, 0)
-    rows = decisions.select(key, "id", F.row_number().over(w).alias("t"), (F.lag("selected_agent").over(w) != F.col("selected_agent")).alias("swap"), F.avg(explored.cast("double")).over(recent).alias("e"), F.count(F.lit(1)).over(recent).alias("c"))
-    return rows.groupBy(key).agg(F.count_if("swap").alias("swaps"), F.min(F.when((F.col("c") == n) & (F.col("e") < settled), F.col("t"))).alias("settled_at"))
+    rows = placed(decisions.select(key, "id", "selected_agent", explored.cast("double").alias("x")), [key], ["id"])
+    w, recent = Window.partitionBy(key, "block").orderBy("t"), last_rows([key], n)
+    rows = blocked(rows.withColumn("t", F.col("t").cast("int")), block, max(n - 1, 1)).withColumns({"swap": F.lag("selected_agent").over(w) != F.col("selected_agent"), "e": F.avg("x").over(recent), "c": F.count(F.lit(1)).over(recent)})
+    return own(rows).groupBy(key).agg(F.count_if("swap").alias("swaps"), F.min(F.when((F.col("c") == n) & (F.col("e") < settled), F.col("t"))).alias("settled_at"))
 
 
 def retry_signal(events: DataFrame, retry_s: float = 300, accept_s: float = 600) -> DataFrame:

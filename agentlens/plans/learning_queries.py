@@ -167,11 +167,11 @@ def training_rows(d):
 def predictor(d):
     rows = _training(d)
     test = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    w = L.logistic(rows.filter(~test), 5, rounds=15)
+    w = L.logistic(rows.filter(~test), 5)
     return L.evaluation(L.predicted(rows.filter(test), w))
 
 
-@query("m20_auc", M, "WITH r AS (SELECT capability_bucket, success, rank() OVER (PARTITION BY capability_bucket ORDER BY quality_score)+(count(*) OVER (PARTITION BY capability_bucket, quality_score)-1)/2.0::DOUBLE AS k FROM v_task_metrics WHERE success IS NOT NULL) SELECT capability_bucket, round((sum(k) FILTER (WHERE success=1)-count(*) FILTER (WHERE success=1)*(count(*) FILTER (WHERE success=1)+1)/2.0)/(count(*) FILTER (WHERE success=1)*count(*) FILTER (WHERE success=0))::DOUBLE,6) AS auc FROM r GROUP BY capability_bucket")
+@query("m20_auc", M, "WITH r AS (SELECT capability_bucket, success, rank() OVER (PARTITION BY capability_bucket ORDER BY quality_score)+(count(*) OVER (PARTITION BY capability_bucket, quality_score)-1)/2.0::DOUBLE AS k FROM v_task_metrics WHERE success IS NOT NULL) SELECT capability_bucket, round((sum(k) FILTER (WHERE success=1)-count(*) FILTER (WHERE success=1)*(count(*) FILTER (WHERE success=1)+1)/2.0)/(count(*) FILTER (WHERE success=1)*nullif(count(*) FILTER (WHERE success=0),0))::DOUBLE,6) AS auc FROM r GROUP BY capability_bucket")
 def auc(m):
     return L.auc(m.filter("success IS NOT NULL"), "quality_score", "success", ["capability_bucket"])
 
@@ -212,8 +212,8 @@ def memory_bias(e):
 
 @query("m23_blended_pick", E, f"WITH {BIAS}, s AS (SELECT query, agent, ((query+length(agent)+ascii(right(agent,1)))%10)/10.0::DOUBLE AS ucb FROM q, (SELECT DISTINCT agent FROM v_episodes)), v AS (SELECT s.query, s.agent, CASE WHEN bias IS NULL THEN ucb ELSE (1-0.5*least(n/5,1.0))*ucb+0.5*least(n/5,1.0)*bias END AS v FROM s LEFT JOIN b ON b.query=s.query AND b.agent=s.agent) SELECT query, agent, round(v,6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY v DESC, agent) AS k FROM v) WHERE k=1")
 def blended_pick(e):
-    arms = e.select("agent").distinct().withColumn("one", F.lit(1))
-    s = _queries(e).select(F.col("vec_id").alias("query"), F.lit(1).alias("one")).join(arms, "one")
+    arms = e.agg(F.collect_set("agent").alias("arms"))
+    s = _queries(e).select(F.col("vec_id").alias("query")).join(F.broadcast(arms), how="cross").withColumn("agent", F.explode("arms"))
     s = s.select("query", "agent", ((F.col("query") + F.length("agent") + F.ascii(F.substring("agent", -1, 1))) % 10 / F.lit(10.0)).alias("ucb"))
     return L.blended_pick(s, L.memory_bias(L.nearest(e, _queries(e), 10), e), 0.5)
 
