@@ -88,8 +88,9 @@ def dealt_join(left: DataFrame, right: DataFrame, on: str, by: str) -> DataFrame
 BITS_AN_ID, MOST_BITS = 16, 30
 
 
-def _with_bit(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``rows`` and a column _bit: false only if the row's id is not in ``ids`` (a written table of one column)."""
+def with_bit(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` and a column _bit: false only if the row's id is not in ``ids`` (a written table of one column), and nearly
+    always then. A bitmap of bounded size is broadcast; nothing is shuffled."""
     bits = min(MOST_BITS, max(15, (ids.count() * BITS_AN_ID).bit_length()))
     at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits)) + 1
     found = ids.select(at(ids.columns[0]).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_set"))
@@ -102,14 +103,14 @@ def _with_bit(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def maybe_among(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """The rows whose id is in ``ids`` (a written table of one column), and perhaps a few others, found where they are read:
     a bitmap of bounded size is broadcast, nothing is shuffled."""
-    return _with_bit(rows, ids, column).filter("_bit").drop("_bit")
+    return with_bit(rows, ids, column).filter("_bit").drop("_bit")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone`` (one column); null ids stay. Only rows that the bitmap of the
     gone ids does not clear meet the ids themselves; all other rows stay where they are read."""
     ids = written(gone.select(F.col(gone.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "gone")
-    marked = _with_bit(docs, ids, "doc_id")
+    marked = with_bit(docs, ids, "doc_id")
     unsure = marked.filter("_bit").drop("_bit")
     return marked.filter("NOT _bit").drop("_bit").unionByName(unsure.join(ids, unsure["doc_id"].cast("long") == F.col("_id"), "left_anti"))
 

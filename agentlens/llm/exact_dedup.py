@@ -1,9 +1,10 @@
 """Exact deduplication by progressive refinement: length, then a hash of the prefix, then a hash of the whole text.
 
-Each step keeps only the groups that still have two rows or more, so the whole text is hashed for grouping only where a
-length and a prefix are shared. The narrow columns of the first scan (length, prefix hash) are all that is shuffled for
-the first two steps; texts are never shuffled. All counts are aggregates with map-side combination, so one group that
-holds a third of the rows costs one partial row a task; its rows meet its result by broadcast of the largest groups.
+The first pass over the texts counts lengths and prefix hashes where they are read; a length, then a prefix of it, that no
+other row has ends there. What is left is a bitmap of bounded size, which is broadcast: the second pass hashes whole texts
+for grouping only where it is set. Texts are never shuffled. All counts are aggregates with map-side combination, so one
+group that holds a third of the rows costs one partial row a task; its rows meet its result by broadcast of the largest
+groups.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import SPACE_CLASS, met, written
+from agentlens.llm.common import SPACE_CLASS, met, with_bit, written
 
 
 def normalised(text: Column) -> Column:
@@ -26,38 +27,39 @@ def _keyed(docs: DataFrame, prefix_chars: int) -> DataFrame:
     return plain.select("doc_id", "n_points", "plain", F.length("plain").alias("n_plain"), F.xxhash64(F.substring("plain", 1, prefix_chars)).alias("prefix_hash"))
 
 
-def duplicate_groups(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
-    """Groups of two rows or more with equal normalised text: text_sha256, keep_id, keep_points, group_size.
-
-    Of a group, the row with the most code points in the original text stays, then the smallest doc_id (null ids last).
-    """
-    keyed = _keyed(docs, prefix_chars)
+def shared_prefixes(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
+    """pair (a hash of length and prefix hash) of each length and prefix that two rows or more share, written."""
     # Rows are counted by length and prefix before they move, so a hot length is a few rows a task.
-    counted = keyed.groupBy("n_plain", "prefix_hash").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(_keyed(docs, prefix_chars).groupBy("n_plain", "prefix_hash").agg(F.count(F.lit(1)).alias("n")), "counted")
     lengths = counted.groupBy("n_plain").agg(F.sum("n").alias("rows")).filter("rows > 1").select("n_plain")
-    prefixes = counted.join(lengths, "n_plain", "left_semi").filter("n > 1").select("n_plain", "prefix_hash")
-    survivors = keyed.select("doc_id", "n_points", "n_plain", "prefix_hash", F.sha2("plain", 256).alias("text_sha256")).join(prefixes, ["n_plain", "prefix_hash"], "left_semi")
-    # Smaller ids win among equal code points: the least struct of (negated points, null flag, id).
-    return (
-        survivors.groupBy("text_sha256")
-        .agg(F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("no"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
-        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), (-F.col("best.p")).alias("keep_points"), "group_size")
-    )
+    return written(counted.filter("n > 1").join(lengths, "n_plain", "left_semi").select(F.xxhash64("n_plain", "prefix_hash").alias("pair")), "shared")
 
 
-def exact_dedup(docs: DataFrame, prefix_chars: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, prefix_chars: int = 64, all_hashes: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when they are identical after deleting white space; null and empty texts form one group. A row
-    without an equal is its own group of one. Rows that repeat an id together with a text of as many code points count
-    each in group_size and are all kept or all dropped. A null id is kept only if its whole group has null ids or its
-    text has the most code points. Columns of ``docs`` besides doc_id and text are not read. An empty table gives none.
+    Texts are equal when they are identical after deleting white space; null and empty texts form one group. Of a group,
+    the row with the most code points in the original text stays, then the smallest doc_id (null ids last). A row without
+    an equal is its own group of one. Rows that repeat an id together with a text of as many code points count each in
+    group_size and are all kept or all dropped. A null id is kept only if its whole group has null ids or its text has
+    the most code points. Columns of ``docs`` besides doc_id and text are not read. An empty table gives none.
+
+    Grouping hashes a whole text only where its length and prefix are shared. ``all_hashes``: text_sha256 is wanted of the
+    other rows too, as a column and not for grouping; without it theirs is null and their texts are not hashed.
     """
-    groups = written(duplicate_groups(docs, prefix_chars), "groups")
-    rows = _keyed(docs, prefix_chars).select("doc_id", "n_points", F.sha2("plain", 256).alias("text_sha256"))
+    pairs = shared_prefixes(docs, prefix_chars)
+    rows = with_bit(_keyed(docs, prefix_chars).withColumn("pair", F.xxhash64("n_plain", "prefix_hash")), pairs, "pair")
+    sha = F.sha2("plain", 256)
+    hashed = written(rows.select("doc_id", "n_points", F.col("_bit").alias("shared"), (sha if all_hashes else F.when(F.col("_bit"), sha)).alias("text_sha256")), "hashed")
+    # Smaller ids win among equal code points: the least struct of (negated points, null flag, id).
+    groups = (
+        hashed.filter("shared").groupBy("text_sha256")
+        .agg(F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("no"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .filter("group_size > 1")
+        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), (-F.col("best.p")).alias("keep_points"), "group_size")
+    )
     found = F.col("met").isNotNull()
-    return met(rows, groups, ["text_sha256"], "group_size", ["doc_id", "n_points"]).select(
+    return met(hashed.drop("shared"), written(groups, "groups"), ["text_sha256"], "group_size", ["doc_id", "n_points"]).select(
         "doc_id",
         F.when(found, F.col("met.keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("met.group_size", F.lit(1)).cast("long").alias("group_size"),
