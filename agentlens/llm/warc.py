@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from agentlens.llm.common import new_path, table
+from agentlens.llm.common import met, new_path, table, with_bit, written
 
 READ_SCHEMA = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 WRITE_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload string"
@@ -295,12 +295,23 @@ def page_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     without any id are all responses. A null html is an empty payload."""
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("payload"))
     own = own.select("*", F.sha1(F.col("payload").cast("binary")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    heads = own.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND head IS NOT NULL").select("payload_digest", "head")
+    of = ["page_id", "url", "payload_digest", "payload_bytes"]
+    narrow = written(own.select(*of), "digests")
+    heads = written(narrow.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND head IS NOT NULL"), "heads")
+    shared = written(heads.select(F.xxhash64("payload_digest").alias("h")), "shared")
+    marked = lambda rows: with_bit(rows.withColumn("_h", F.xxhash64("payload_digest")), shared, "_h")
+    # What each row with a shared digest is, found without its payload.
+    kinds = written(met(marked(narrow).filter("_bit").select(*of), heads, ["payload_digest"], "n", ["page_id"]).select(*of, F.col("met.head").alias("head")), "kinds")
     revisit = F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head"))
-    return own.join(heads, "payload_digest", "left").select(
-        "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("head")).alias("refers_to"),
-        "payload_digest", "payload_bytes", F.when(revisit, "").otherwise(F.col("payload")).alias("payload"),
-    )
+    key = F.xxhash64("payload_digest", "page_id")
+    full = written(kinds.filter(~revisit).select(F.col("payload_digest").alias("_d"), F.col("page_id").alias("_p"), key.alias("_k")).distinct(), "responses")
+    # The payloads of revisits stay where they are read, those of responses that share none too.
+    both = marked(own).drop("_h")
+    few = with_bit(both.filter("_bit").drop("_bit").withColumn("_k", key), full.select("_k"), "_k").filter("_bit").drop("_bit", "_k")
+    few = few.join(full, (F.col("payload_digest") == F.col("_d")) & F.col("page_id").eqNullSafe(F.col("_p")), "left_semi")
+    response = lambda rows: rows.select("page_id", "url", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_digest", "payload_bytes", "payload")
+    again = kinds.filter(revisit).select("page_id", "url", F.lit("revisit").alias("record_type"), F.col("head").alias("refers_to"), "payload_digest", "payload_bytes", F.lit("").alias("payload"))
+    return response(both.filter("NOT _bit")).unionByName(response(few)).unionByName(again)
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
