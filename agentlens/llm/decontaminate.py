@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,10 +167,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.
     return reduce(DataFrame.unionByName, map(found, parts(benchmark, max_benchmark_chars)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents in which no test item stands, with all their columns; null ids are kept."""
-    hit = decontaminate(docs, benchmark, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("_hit"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, error_share: float = 0.05, min_chars: int = 25, max_benchmark_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` in which no test item stands, with all their columns: each row is judged where it is read, by its
+    text alone, and nothing is shuffled. Null and empty texts stay; repeated rows and null ids are rows like others. Items
+    are those of ``decontaminate``; where they come in parts, each part sees what the parts before it left."""
+    bounded_batches(docs.sparkSession)
+    for part in parts(benchmark, max_benchmark_chars):
+        items = sorted({(r["item_id"], t) for r in part.collect() if (t := normalised(r["text"]))})
+        if items:
+            docs = docs.mapInArrow(_without_hits(docs.sparkSession.sparkContext.broadcast(items), error_share, min_chars), docs.schema)
+    return docs
+
+
+def _without_hits(shipped, error_share: float, min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shipped.value, error_share, min_chars)
+        for b in batches:
+            yield b.filter(pa.array([next(iter(matcher.matches(t)), None) is None for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return run
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,16 +149,20 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
     return dict(np.load(io.BytesIO(made[0]["model"]))) if made else empty_model()
 
 
+def scores(texts: list[str | None], model: dict[str, np.ndarray]) -> np.ndarray:
+    """The network's probability for each text; 0 for null and empty ones."""
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    features = np.array([pooled(t, model["tables"]) for t in data]).reshape(len(data), -1)
+    return np.where([len(t) > 0 for t in data], head(model, features), 0.0)
+
+
 def scored(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.5) -> DataFrame:
     """``docs`` with doc_id and text's score and predicted. Null and empty texts score 0."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shipped.value
         for b in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
-            features = np.array([pooled(t, model["tables"]) for t in texts]).reshape(len(texts), -1)
-            yield b.drop(columns="text").assign(score=np.where([len(t) > 0 for t in texts], head(model, features), 0.0))
+            yield b.drop(columns="text").assign(score=scores(b["text"].tolist(), shipped.value))
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -174,5 +179,18 @@ def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFr
     return scored(docs, fitted(docs, labels, per_class=per_class))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns: each is judged where it is read, by its
+    text alone (null and empty ones go), and nothing is shuffled. Repeated rows and null ids are rows like others."""
+    bounded_batches(docs.sparkSession)
+    shipped = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, per_class=per_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column("text").to_pylist(), shipped.value) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
