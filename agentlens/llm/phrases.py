@@ -7,9 +7,9 @@
    the left, those of the second to the right; rank and an offset give the new pair of intervals. All phrases of a length
    are extended at once, alternately to the right and to the left.
 3. Round by round (words, pairs, ...) the shards' counts are summed by a hash of the phrase, which is a place in a bitmap
-   of a fixed number of bits. The bits of frequent places go back to the shards: a longer phrase is counted only if both
-   parts that are a word shorter have their bits. The bitmap can pass too much, never too little; at the end the exact
-   sums of the phrases themselves decide.
+   of a fixed number of bits; a task adds up its shards before it sends their counts. The bits of frequent places go back
+   to the shards: a longer phrase is counted only if both parts that are a word shorter have their bits. The bitmap can
+   pass too much, never too little; at the end the phrases that pass are summed by themselves, which decides.
 4. The counts give each phrase's cuts (what its parts are without each other) and its extensions by one word.
 """
 
@@ -32,6 +32,8 @@ from agentlens.llm.shingles import constants, mixed
 PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: One of the piece ends, which therefore is in no word.
 END = "."
+#: Places of a block of a bitmap, and blocks that travel together.
+PLACES, SPAN = 1 << 16, 16
 INDEX = "lang array<string>, word array<string>, hash array<long>, langs array<string>, words array<long>, left binary, right binary"
 
 
@@ -188,23 +190,54 @@ def shards_of(b: pa.RecordBatch) -> Iterator[tuple[Shard, pa.Array, pa.Array]]:
         yield Shard(left, right, hashes), langs, words
 
 
-def bitmap(places: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits bits with those at the ``at`` values set; put together from blocks of 4 KB, which is all that
-    the driver gets."""
-    at = F.col("at") + 1  # the functions count bits from 1
-    blocks = places.groupBy(F.bitmap_bucket_number(at).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in blocks.toLocalIterator():
-        at = (r["block"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(bytes(r["set"]), np.uint8)[: len(out)]
-    return out
+def bitmap(sums: DataFrame, at_least: int, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits bits: those whose counts add up to ``at_least``. sums: what ``sparse`` gives. The rows of a span
+    stream through one task, which holds one span; the driver gets the bits."""
+    size = SPAN * PLACES
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts = None, np.zeros(size, np.int64)
 
-def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 1_000_000, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(counts >= at_least, bitorder="little").tobytes()], pa.binary())], names=["span", "set"])
+
+        for b in batches:
+            for span, per, places, n in zip(b.column("span").to_pylist(), b.column("per"), b.column("places"), b.column("n"), strict=True):
+                if span != at:
+                    if at is not None:
+                        yield done()
+                    at = span
+                    counts[:] = 0
+                base = np.repeat(np.arange(0, size, PLACES), np.frombuffer(per.as_buffer(), np.uint32))
+                counts[base + np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint8)
+        if at is not None:
+            yield done()
+
+    out = np.zeros(max(1 << bits, size) // 8, np.uint8)
+    for r in sums.repartition("span").sortWithinPartitions("span").mapInArrow(merge, "span int, set binary").toLocalIterator():
+        out[r["span"] * size // 8 : (r["span"] + 1) * size // 8] = np.frombuffer(bytes(r["set"]), np.uint8)
+    return out[: (1 << bits) // 8]
+
+
+def sparse(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The counts (up to 255) that are not 0: span (of SPAN blocks), how many in each of its blocks, places in the block,
+    counts."""
+    found = np.flatnonzero(counts)
+    cuts = np.searchsorted(found, np.arange(0, max(len(counts), SPAN * PLACES) + 1, PLACES))
+    for span in range((len(cuts) - 1) // SPAN):
+        ends = cuts[span * SPAN : (span + 1) * SPAN + 1]
+        at = found[ends[0] : ends[-1]]
+        if len(at):
+            parts = (np.diff(ends).astype(np.uint32), (at % PLACES).astype(np.uint16), counts[at])
+            yield pa.RecordBatch.from_arrays([pa.array([span], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["span", "per", "places", "n"])
+
+
+def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 2_000_000, bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) for all phrases of k <= ``longest`` words with f >= ``at_least``, and (lang, n) for all words.
 
     ``bits`` sets the size of the bitmaps (2 ** bits bits), which only save work: phrases that share a bit are counted
-    together for it, so that with too few bits more rows are summed at the end; the result stays. A null lang is 'und'; null and empty texts have no words.
+    together for it, so that with too few bits more rows are summed at the end; the result stays. A null lang is 'und';
+    null and empty texts have no words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -215,32 +248,43 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
     totals = written(index.select(F.explode(F.arrays_zip("langs", "words")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.words").alias("n")).filter("n > 0"), "totals")
     bitmaps: list[np.ndarray] = []
 
-    def counted(k: int, emit: str):
+    def counted() -> DataFrame:
         shipped = spark.sparkContext.broadcast(list(bitmaps))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for shard, langs, words in shards_of(b):
-                    for size, found in enumerate(enumerated(shard, shipped.value, k), 1):
-                        if emit == "bit" and size == k:
-                            at, place = np.unique(shard.phrase_hashes(found["ids"]) % np.uint64(1 << bits), return_inverse=True)
-                            n = np.bincount(place, found["size"], len(at))
-                            yield from pieces({"at": lambda s, a=at: pa.array(a[s].view(np.int64)), "n": lambda s, n=n: pa.array(n[s].astype(np.int64))}, len(at))
-                        elif emit == "phrase":
-                            part = lambda s, j, f=found: words.take(pa.array(f["ids"][s, j] - 1))  # noqa: B023, E731
-                            yield from pieces({
-                                "lang": lambda s, f=found: langs.take(pa.array(f["ids"][s, 0] - 1)),  # noqa: B023
-                                "phrase": lambda s, z=size, p=part: pc.binary_join_element_wise(*(p(s, j) for j in range(z)), " "),
-                                "k": lambda s, f=found, z=size: pa.array(np.full(len(f["size"][s]), z, np.int32)),
-                                "n": lambda s, f=found: pa.array(f["size"][s].astype(np.int64)),
-                            }, len(found["size"]))
-
-        return index.select("lang", "word", "hash", "left", "right").mapInArrow(run, "at long, n long" if emit == "bit" else "lang string, phrase string, k int, n long")
+                    for size, found in enumerate(enumerated(shard, shipped.value, longest), 1):
+                        part = lambda s, j, f=found: words.take(pa.array(f["ids"][s, j] - 1))  # noqa: B023, E731
+                        yield from pieces({
+                            "lang": lambda s, f=found: langs.take(pa.array(f["ids"][s, 0] - 1)),  # noqa: B023
+                            "phrase": lambda s, z=size, p=part: pc.binary_join_element_wise(*(p(s, j) for j in range(z)), " "),
+                            "k": lambda s, f=found, z=size: pa.array(np.full(len(f["size"][s]), z, np.int32)),
+                            "n": lambda s, f=found: pa.array(f["size"][s].astype(np.int64)),
+                        }, len(found["size"]))
+
+        return shards.mapInArrow(run, "lang string, phrase string, k int, n long")
+
+    def summed(k: int) -> DataFrame:
+        """What a task's shards count in each place, up to what it takes to be frequent."""
+        shipped = spark.sparkContext.broadcast(list(bitmaps))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 << bits, np.uint8)
+            for b in batches:
+                for shard, _, _ in shards_of(b):
+                    *_, found = enumerated(shard, shipped.value, k)
+                    at, place = np.unique(shard.phrase_hashes(found["ids"]) % np.uint64(1 << bits), return_inverse=True)
+                    total[at] = np.minimum(total[at] + np.bincount(place, found["size"], len(at)), enough)
+            yield from sparse(total)
+
+        return shards.mapInArrow(run, "span int, per binary, places binary, n binary")
 
+    shards, enough = index.select("lang", "word", "hash", "left", "right"), min(at_least, 255)
     with batches_of(spark, 1):
-        for k in range(1, longest):
-            bitmaps.append(bitmap(counted(k, "bit").groupBy("at").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), bits))
-        counts = written(counted(longest, "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), "counts")
+        for k in range(1, longest + 1):
+            bitmaps.append(bitmap(summed(k), enough, bits))
+        counts = written(counted().groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= at_least), "counts")
     drop_path(spark, path)
     return counts, totals
 
