@@ -7,30 +7,23 @@ the next. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from agentlens.llm.common import table, written
+from agentlens.llm.common import table, without, written
 from agentlens.llm.decontaminate import clean
 from agentlens.llm.mixing import mixed
 from agentlens.llm.near_dedup import near_dedup
-from agentlens.llm.quality import quality
+from agentlens.llm.quality import accepted
 from agentlens.llm.token_files import token_files
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``; null ids are matched too."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return _kept(docs, quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    """Documents that the quality classifier accepts, judged where they are read."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8)."""
-    return _kept(docs, near_dedup(docs, per_100=80).filter("kept"))
+    """One document of each group of near duplicates (five words, similarity 0.8); null ids stay."""
+    return without(docs, near_dedup(docs, per_100=80).filter("NOT kept").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
