@@ -154,6 +154,20 @@ def funnel(events: DataFrame) -> DataFrame:
     return r.withColumn("rate", rate).withColumn("reading", F.when(rate.isNull(), "no delegable work").when(rate < 0.1, "rarely delegated").when(rate < 0.5, "sometimes delegated").otherwise("mostly delegated"))
 
 
+#: Relative standard error of the sketches below (2 ** 12 registers).
+SKETCH_ERROR = 1.04 / 2**6
+
+
+def daily_sketches(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """A sketch of the different values for each key (a day among them): small, and mergeable with any other."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(F.col(value).cast("string"), F.lit(12)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """How many different values the sketches of a group have seen together, about."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(name))
+
+
 def excluded_reasons(events: DataFrame) -> DataFrame:
     return events.filter("event = 'inline' AND NOT candidate").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from agentlens.operators import observe
 from agentlens.plans import bindings, decisions_queries, learning_queries  # noqa: F401  the oracles of their batch twins
 from agentlens.plans.registry import ORACLES, QUERIES, query
 from agentlens.sources import logs
@@ -30,7 +33,7 @@ def stream_query(name: str, oracle_of: str | None, sql: str | None = None, digit
 
         QUERIES[name] = run
         if oracle_of or sql:
-            ORACLES[name] = ORACLES[oracle_of].replace(",6) AS", f",{digits}) AS") if oracle_of else bindings.oracle(sql, D)
+            ORACLES[name] = re.sub(r",\d+\) AS", f",{digits}) AS", ORACLES[oracle_of]) if oracle_of else bindings.oracle(sql, D)
         return f
 
     return wrap
@@ -65,7 +68,7 @@ def quarantine_tracker(d):
     return trackers.run_to_table(trackers.quarantine_tracker(learning_queries.quarantine_events(d)))
 
 
-@stream_query("t06_budget_tracker", None, digits=5)
+@stream_query("t06_budget_tracker", "w04_budget_pacer", digits=5)
 def budget_tracker(d):
     return trackers.run_to_table(trackers.budget_tracker(d, 0.012, "bucket"))
 
@@ -75,6 +78,54 @@ def cap_tracker(d):
     return trackers.run_to_table(trackers.cap_tracker(d.filter("escalated_to IS NOT NULL").select("id", "ts"))).groupBy("passes").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
+LAST = "(SELECT max(ts) FROM v_decisions WHERE event_type='purchase') - INTERVAL 2 DAY"
+
+
+@stream_query("j01_outcome_stream", None, f"WITH o AS (SELECT id AS outcome_id, task_id, ts FROM v_decisions WHERE event_type='purchase' AND ts < {LAST}), d AS (SELECT id, task_id, ts FROM v_decisions WHERE event_type<>'purchase') SELECT outcome_id, max_by(d.id, (d.ts, d.id)) AS decision_id FROM o JOIN d ON d.task_id=o.task_id AND d.ts<=o.ts AND d.ts>=o.ts - INTERVAL 6 HOUR GROUP BY outcome_id")
+def outcome_stream(d):
+    bought = F.col("event_type") == "purchase"
+    found = trackers.run_to_table(trackers.outcomes_attached(d.filter(~bought).select("id", "task_id", "ts"), d.filter(bought).select(F.col("id").alias("outcome_id"), "task_id", "ts"), "6 hours"))
+    # What the watermark has not closed yet is still to come; the last two days are left to it.
+    last = found.agg(F.max("ts")).first()[0]
+    return found.filter(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS")).select("outcome_id", "decision_id")
+
+
+@stream_query("t08_ingest_once", None, "SELECT id, event_type FROM v_decisions")
+def ingest_once(d):
+    again = d.filter("k % 5 = 0")
+    events = d.unionByName(again).select(F.col("id").alias("event_id"), "ts", "event_type")
+    return trackers.run_to_table(trackers.once(events)).select(F.col("event_id").alias("id"), "event_type")
+
+
+@query("a27_session_sketches", D, "SELECT bucket, count(DISTINCT task_id) AS sessions, count(DISTINCT CAST(ts AS DATE)) AS days, true AS near FROM v_decisions GROUP BY bucket")
+def session_sketches(d):
+    days = observe.daily_sketches(d.withColumn("day", F.to_date("ts")), ["bucket", "day"], "task_id")
+    exact = d.groupBy("bucket").agg(F.count_distinct("task_id").alias("sessions"))
+    merged = observe.merged_distinct(days, ["bucket"], "sketched").join(days.groupBy("bucket").agg(F.count(F.lit(1)).alias("days")), "bucket")
+    return exact.join(merged, "bucket").select("bucket", "sessions", "days", (F.abs(F.col("sketched") - F.col("sessions")) <= F.greatest(F.lit(1.0), 4 * observe.SKETCH_ERROR * F.col("sessions"))).alias("near"))
+
+
+@query("s06_markdown", "documents", "SELECT CASE WHEN doc_id%4=0 THEN 'Head ' || doc_id ELSE (CASE WHEN doc_id%2=0 THEN '2024-05-0' || (1+doc_id%9) || '-' ELSE '' END) || 'd' || doc_id END AS title, CASE WHEN doc_id%2=0 THEN '2024-05-0' || (1+doc_id%9) ELSE '' END AS date, CASE WHEN doc_id%3=0 THEN '' ELSE coalesce(lang,'und') END AS kind, length(text) + CASE WHEN doc_id%4=0 THEN length('# Head ' || doc_id) + 3 ELSE 0 END AS n_chars FROM documents WHERE (doc_id%4=0 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') AND NOT regexp_matches(text, '(^|\\n)#\\s')")
+def markdown(docs):
+    path = shared_path(docs.sparkSession, "notes")
+    n = F.col("doc_id").cast("string")
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.coalesce("lang", F.lit("und")), F.lit("/"))), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2024-05-0"), (1 + F.col("doc_id") % 9).cast("string"), F.lit("-"))).otherwise(""), F.lit("d"), n, F.lit(".md"))
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("# Head "), n, F.lit(" \n\n"), "text")).otherwise(F.col("text"))
+    logs.write_files(docs.filter(~F.col("text").rlike(r"(^|\n)#\s")).select(name.alias("name"), body.alias("body")), path)
+    return logs.markdown_corpus(docs.sparkSession, path).select("title", "date", "kind", F.length("body").cast("long").alias("n_chars"))
+
+
+@query("s03_attempt_files", "customer", "SELECT c_mktsegment AS arm, count(*) FILTER (WHERE c_acctbal>=0) AS n, round(sum(CASE WHEN c_nationkey>=5 THEN c_acctbal/100 ELSE 0 END) FILTER (WHERE c_acctbal>=0),3) AS cost, count(*) FILTER (WHERE c_acctbal<0) AS torn FROM customer GROUP BY 1", 3)
+def attempt_files(c):
+    path = shared_path(c.sparkSession, "attempt-files")
+    whole = F.to_json(F.struct(F.lit("r").alias("repo"), F.col("c_mktsegment").alias("arm"), F.when(F.col("c_nationkey") >= 5, F.col("c_acctbal") / 100).alias("cost_usd"), F.lit("x").alias("unknown")))
+    # A negative balance stands for an attempt whose file was cut off.
+    logs.write_files(c.withColumn("whole", whole).select(F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("name"), F.when(F.col("c_acctbal") < 0, F.expr("substring(whole, 1, length(whole) - 7)")).otherwise(F.col("whole")).alias("body")), path)
+    rows = logs.attempt_files(c.sparkSession, path, "arm string, cost_usd double, tier string", {"cost_usd": 0.0})
+    arm = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    return rows.groupBy(arm.alias("arm")).agg(F.count_if(~F.col("torn")).alias("n"), F.sum(F.when(~F.col("torn"), F.col("cost_usd"))).alias("cost"), F.count_if("torn").alias("torn"))
+
+
 @query("s01_decision_log", "events", "SELECT event_id AS id, 1.0::DOUBLE AS importance_weight, CAST(json_extract_string(props,'$.k') AS DOUBLE) AS k FROM events")
 def decision_log(e):
     rows = e.select(F.col("event_id").alias("id"), "ts", F.col("props").alias("predictions"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,37 @@ def attempts(spark: SparkSession, path: str, schema: str, defaults: dict, multi_
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def attempt_files(spark: SparkSession, path: str, schema: str, defaults: dict, files_per_task: int = 2000) -> DataFrame:
+    """One JSON file an attempt, each read whole: the schema's columns, path and torn (the file holds no JSON object).
+
+    Small files are read ``files_per_task`` to a task. Unknown fields are dropped, a null becomes its field's default; a
+    torn file has nulls, so that it can be set apart instead of lost. A file without any byte is no attempt."""
+    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    tasks = -(-len(found.inputFiles()) // files_per_task)
+    rows = found.select("value", F.col("_metadata.file_path").alias("path")).coalesce(max(1, tasks))
+    parsed = rows.select("path", F.from_json("value", f"{schema}, _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("r")).select("path", "r.*")
+    torn = F.col("_torn").isNotNull()
+    return parsed.withColumns({c: F.when(~torn, F.coalesce(F.col(c), F.lit(v))) for c, v in defaults.items()}).withColumn("torn", torn).drop("_torn")
+
+
+def write_files(rows: DataFrame, path: str) -> int:
+    """A file of its own for each row (name, body); names may have folders. A task that runs again writes the same files.
+    Returns how many."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for name, body in zip(b["name"], b["body"], strict=True):
+                store.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{name}") as f:
+                    f.write((body or "").encode())
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("name", "body").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def export_rows(attempts: DataFrame, tasks: DataFrame, manifests: DataFrame) -> DataFrame:
     """Counted attempts of live tasks with their run's machine and digest, sorted by arm, cond, sha and rep. Sizes decide
     whether Spark broadcasts the two dimensions."""

@@ -16,16 +16,23 @@ from agentlens.sources.paths import shared_path
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns what its sink holds."""
+    """Runs a stream over all that is there and returns what its sink holds. A complete result goes to a new folder with each
+    batch, so that a failure on the way leaves the one before whole."""
     spark = stream.sparkSession
     path, check = shared_path(spark, "stream"), shared_path(spark, "stream-state")
     writer = stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", path)
     else:
-        writer = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+        batches: list[int] = []
+
+        def keep(df: DataFrame, batch: int) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+            batches.append(batch)
+
+        writer = writer.outputMode(mode).foreachBatch(keep)
     writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return spark.read.schema(stream.schema).parquet(path if mode == "append" else f"{path}/batch-{batches[-1]}") if mode == "append" or batches else spark.createDataFrame([], stream.schema)
 
 
 def funnel_by_day(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -45,10 +52,14 @@ def _sorted(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(by)
 
 
-def retry_tracker(events: DataFrame, retry_s: float = 300, accept_s: float = 600) -> DataFrame:
+def retry_tracker(events: DataFrame, retry_s: float = 300, accept_s: float = 600, late: str = "1 hour") -> DataFrame:
     """events (user_id, id, ts, kind, task_id, hash) -> user_id, task_id, by_id, signal. The state is the user's pending
-    completion; it ends when a submission has used it up or none can."""
+    completion; it ends when a submission has used it up or none can: with the first event too late for it, or when the
+    watermark has passed the last instant at which one could come. Events later than ``late`` are left out."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pending = state.get if state.exists else None
         out = []
         for r in _sorted(batches, ["ts", "id"]).itertuples():
@@ -60,13 +71,29 @@ def retry_tracker(events: DataFrame, retry_s: float = 300, accept_s: float = 600
                 if gap <= (retry_s if same else accept_s):
                     out.append((key[0], pending[2], r.id, 0.0 if same else 0.6))
                     pending = None
-        if pending is not None:
+                elif gap > accept_s:
+                    pending = None
+        ends = int((pending[0] + max(retry_s, accept_s)) * 1000) + 1 if pending is not None else 0
+        if ends > state.getCurrentWatermarkMs():
             state.update(pending)
+            state.setTimeoutTimestamp(ends)
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["user_id", "task_id", "by_id", "signal"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, task_id string, by_id long, signal double", "at double, hash int, task string", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, task_id string, by_id long, signal double", "at double, hash int, task string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def outcomes_attached(decisions: DataFrame, outcomes: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """decisions (id, task_id, ts), outcomes (outcome_id, task_id, ts, ...) as streams -> every outcome once, with decision_id:
+    its task's latest decision of the time ``within`` before it. A join of two streams over an interval of time: decisions
+    leave the state when no outcome can reach back to them, outcomes when the watermark says that no earlier decision is
+    still to come. Outcomes without a decision are left out."""
+    d = decisions.select(F.col("task_id").alias("_task"), F.col("ts").alias("_at"), F.col("id").alias("_id")).withWatermark("_at", late)
+    o = outcomes.withWatermark("ts", late)
+    near = (F.col("task_id") == F.col("_task")) & (F.col("_at") <= F.col("ts")) & (F.col("_at") >= F.col("ts") - F.expr(f"INTERVAL {within}"))
+    return o.join(d, near).groupBy(*outcomes.columns).agg(F.max_by("_id", F.struct("_at", "_id")).alias("decision_id"))
 
 
 def drift_tracker(decisions: DataFrame, sigma: float = 2.0, window: int = 50, least: int = 20, every: int = 10) -> DataFrame:
