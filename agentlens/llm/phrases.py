@@ -47,17 +47,19 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def transform(ids: np.ndarray, depth: int) -> np.ndarray:
     """The id before each place, places in the order of the ``depth`` ids from there on (round the end)."""
-    rank, seen = ids.astype(np.int64), 1
+    rank, seen, order = ids.astype(np.int64), 1, None
     while seen < depth:
-        rank = rank * (int(rank.max()) + 1) + np.roll(rank, -seen)
-        rank = np.unique(rank, return_inverse=True)[1]
+        key = rank * (int(rank.max()) + 1) + np.roll(rank, -seen)
+        order = np.argsort(key)
+        key = key[order]
+        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         seen *= 2
-    return ids[np.argsort(rank, kind="stable") - 1].astype(np.int32)
+    # Places with equal ids from there on may come in any order: what stands before them is counted, not followed.
+    return ids[(np.argsort(rank) if order is None else order) - 1].astype(np.int32)
 
 
-def word_hashes(langs: np.ndarray, words: np.ndarray) -> np.ndarray:
-    hashed = lambda x: pd.util.hash_array(np.asarray(x, dtype=object), categorize=False)
-    return mixed(hashed(words) * constants(1, 3)[0] + hashed(langs))
+def hashed(x: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(x.to_numpy(zero_copy_only=False), dtype=object), categorize=False)
 
 
 class Shard:
@@ -66,13 +68,15 @@ class Shard:
     def __init__(self, left: np.ndarray, right: np.ndarray, hashes: np.ndarray):
         self.transforms, self.hashes = (left, right), hashes
         self.counts = np.bincount(left, minlength=len(hashes))
-        n = len(left)
-        # Where the row of an id goes when the phrase is extended by it: the row's rank among all rows, sorted by id.
-        self.leads = []
-        for t in self.transforms:
-            lead = np.empty(n, np.int32)
-            lead[np.sort(t.astype(np.int64) * n + np.arange(n)) % n] = np.arange(n, dtype=np.int32)
-            self.leads.append(lead)
+        self.leads: dict[int, np.ndarray] = {}
+
+    def lead(self, side: int) -> np.ndarray:
+        """Where the row of an id goes when the phrase is extended by it: the row's rank among all rows, sorted by id."""
+        if side not in self.leads:
+            n = len(self.transforms[side])
+            self.leads[side] = lead = np.empty(n, np.int32)
+            lead[np.sort(self.transforms[side].astype(np.int64) * n + np.arange(n)) % n] = np.arange(n, dtype=np.int32)
+        return self.leads[side]
 
     def words(self) -> dict:
         """Intervals of all ids but 0: begin (in both transforms), size, and the ids of the phrase."""
@@ -81,8 +85,9 @@ class Shard:
         begin = np.cumsum(self.counts)[ids] - self.counts[ids]
         return {"begin": (begin, begin), "size": self.counts[ids], "ids": ids[:, None].astype(np.int32)}
 
-    def extended(self, found: dict, side: int) -> dict:
-        """The phrases of ``found`` with one word more, on the left (side 0) or the right (1), with their intervals in both."""
+    def extended(self, found: dict, side: int, last: bool = False) -> dict:
+        """The phrases of ``found`` with one word more, on the left (side 0) or the right (1), with their intervals in both
+        transforms; ``last``: counts only, without intervals."""
         size, (here, there) = found["size"], (found["begin"][side], found["begin"][1 - side])
         owner = np.repeat(np.arange(len(size)), size)
         row = np.arange(len(owner)) + np.repeat(here - (np.cumsum(size) - size), size)
@@ -94,11 +99,13 @@ class Shard:
             return {"begin": (here[:0], here[:0]), "size": size[:0], "ids": np.empty((0, found["ids"].shape[1] + 1), np.int32)}
         n = np.diff(first, append=len(key))
         owner, word = np.divmod(key[first], len(self.hashes))
-        new_here = np.minimum.reduceat(self.leads[side][row[order]], first).astype(np.int64)
-        # In the other transform the interval is split by the new word, in the order of ids.
-        before = np.cumsum(n) - n
-        starts = np.flatnonzero(np.diff(owner, prepend=-1))
-        new_there = there[owner] + before - np.repeat(before[starts], np.diff(starts, append=len(owner)))
+        new_here = new_there = n
+        if not last:
+            new_here = np.minimum.reduceat(self.lead(side)[row[order]], first).astype(np.int64)
+            # In the other transform the interval is split by the new word, in the order of ids.
+            before = np.cumsum(n) - n
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            new_there = there[owner] + before - np.repeat(before[starts], np.diff(starts, append=len(owner)))
         ids = found["ids"][owner]
         word = word.astype(np.int32)[:, None]
         made = {"begin": (new_here, new_there) if side == 0 else (new_there, new_here), "size": n, "ids": np.hstack([word, ids] if side == 0 else [ids, word])}
@@ -128,7 +135,7 @@ def enumerated(shard: Shard, bitmaps: list[np.ndarray], longest: int) -> Iterato
     for k in range(1, longest + 1):
         if k > 1:
             side = k % 2  # pairs grow to the left, threes to the right, ...
-            found = shard.extended(found, side)
+            found = shard.extended(found, side, k == longest)
             found = kept(found, known(found["ids"][:, 1:] if side else found["ids"][:, :-1]))
         if k <= len(bitmaps):
             found = kept(found, known(found["ids"]))
@@ -157,8 +164,8 @@ def indexes(docs: DataFrame, depth: int, shard_words: int) -> DataFrame:
         place[order] = np.arange(len(used), dtype=np.int32)
         used, ids, times = used[order], place[ids], times[order]
         lang_of, word_of = np.divmod(used[1:], len(names))
+        hashes = mixed(hashed(names)[word_of] * constants(1, 3)[0] + hashed(langs.dictionary)[lang_of])
         lang_of, word_of = langs.dictionary.take(pa.array(lang_of)), names.take(pa.array(word_of))
-        hashes = word_hashes(lang_of.to_numpy(zero_copy_only=False), word_of.to_numpy(zero_copy_only=False)) if len(word_of) else np.empty(0, np.uint64)
         one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if isinstance(values, np.ndarray) else values.cast(kind))
         # Byte by byte of the ids, as the upper bytes are nearly all alike.
         binary = lambda x: pa.array([x.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary())
@@ -232,10 +239,11 @@ def sparse(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([span], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["span", "per", "places", "n"])
 
 
-def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 2_000_000, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_words: int = 1_000_000, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) for all phrases of k <= ``longest`` words with f >= ``at_least``, and (lang, n) for all words.
 
-    ``bits`` sets the size of the bitmaps (2 ** bits bits), which only save work: phrases that share a bit are counted
+    ``bits`` sets the size of the bitmaps (2 ** bits bits; by default a quarter of the number of words, at least 2 ** 16 and at
+    most 2 ** 27, which is 16 MB), which only save work: phrases that share a bit are counted
     together for it, so that with too few bits more rows are summed at the end; the result stays. A null lang is 'und';
     null and empty texts have no words.
     """
@@ -246,6 +254,8 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
     indexes(docs, longest, shard_words).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
     index = spark.read.schema(INDEX).parquet(path)
     totals = written(index.select(F.explode(F.arrays_zip("langs", "words")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.words").alias("n")).filter("n > 0"), "totals")
+    if bits is None:
+        bits = max(16, min(27, int((totals.agg(F.sum("n")).first()[0] or 0) // 4).bit_length()))
     bitmaps: list[np.ndarray] = []
 
     def counted() -> DataFrame:
@@ -273,7 +283,8 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
             total = np.zeros(1 << bits, np.uint8)
             for b in batches:
                 for shard, _, _ in shards_of(b):
-                    *_, found = enumerated(shard, shipped.value, k)
+                    for found in enumerated(shard, shipped.value, k):
+                        pass
                     at, place = np.unique(shard.phrase_hashes(found["ids"]) % np.uint64(1 << bits), return_inverse=True)
                     total[at] = np.minimum(total[at] + np.bincount(place, found["size"], len(at)), enough)
             yield from sparse(total)

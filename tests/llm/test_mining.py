@@ -134,6 +134,8 @@ def test_shard_intervals_are_occurrences():
     for k, found in enumerate(phrases.enumerated(shard, every, 4), 1):
         want = Counter(tuple(ids[i : i + k]) for i in range(len(ids) - k + 1) if all(ids[i : i + k]))
         assert dict(zip(map(tuple, found["ids"].tolist()), found["size"].tolist(), strict=True)) == want
+        if k == 4:
+            continue  # the last extension only counts
         # Each interval holds the rows of the phrase in both transforms: what stands before and after it.
         for p, lo, hi, n in zip(map(tuple, found["ids"].tolist()), *found["begin"], found["size"], strict=True):
             at = [i for i in range(len(ids) - k + 1) if tuple(ids[i : i + k]) == p]
