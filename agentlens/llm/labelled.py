@@ -21,6 +21,8 @@ def sample(labels: DataFrame, label: str, per_class: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id, text, y of the sample; its 2 * per_class ids at most are shipped to the documents, which are not shuffled."""
+    """doc_id, text, y of the sample, a row for each id: its 2 * per_class ids at most are shipped to the documents, and of rows
+    that repeat an id one text counts, the first by hash."""
     ids = sample(labels, label, per_class)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -4,11 +4,15 @@ A sentence's logit is the sum of the weights of its distinct words, a word's wei
 ``PREFIXES`` letters (inflected forms share a stem); a document's is that of its worst sentence. Fitting
 minimises the cross entropy of labelled documents (the gradient goes to each document's worst sentence), plus ``penalty``
 times the mean squared change of the logit when an identity term in a labelled sentence is swapped: for each other term of
-its group, and for a neutral word. A group's mention then moves the score no more than the neutral word does, so neutral
-mentions stay below the threshold, while words that are toxic beside any group keep their weight.
+its kind, a neutral word among them, and for a word that says nothing. A group's mention then moves the score no more than
+any such word does, so neutral mentions stay below the threshold, while words that are toxic beside any group keep their
+weight.
+
+Terms are listed for each language of the documents; their inflected forms count as the term itself.
 
 Fitting takes a bounded sample in one task: at most ``per_class`` labelled documents of each class, of each its first
-``fit_sentences`` distinct sentences by hash order over the whole text. Scoring reads every sentence of every text, map-only.
+``fit_sentences`` distinct sentences by hash order over the whole text, of ``fit_words`` words together, cut where the text
+is read. Scoring reads every sentence of every text, map-only.
 """
 
 from __future__ import annotations
@@ -27,17 +31,55 @@ from pyspark.sql import functions as F
 from agentlens.llm.common import bounded_batches, held_out, table
 from agentlens.llm.labelled import labelled
 
-# Terms for groups of people, by kind; the first of each kind is the neutral word.
+# Terms for groups of people, by language and kind; the first of each kind is the neutral word.
 IDENTITY = {
-    "gender": ["person", "woman", "man", "girl", "boy", "female", "male", "transgender"],
-    "orientation": ["someone", "gay", "lesbian", "bisexual", "straight", "queer"],
-    "religion": ["believer", "muslim", "christian", "jew", "jewish", "hindu", "buddhist", "atheist"],
-    "origin": ["resident", "black", "white", "asian", "african", "european", "american", "mexican", "immigrant"],
-    "age and ability": ["adult", "old", "young", "elderly", "disabled", "deaf", "blind"],
-}
+    "en gender": "person woman man girl boy female male transgender",
+    "en orientation": "someone gay lesbian bisexual straight queer",
+    "en religion": "believer muslim christian jew jewish hindu buddhist atheist",
+    "en origin": "resident black white asian african european american mexican immigrant refugee foreigner",
+    "en age and ability": "adult old young elderly disabled deaf blind",
+    "de gender": "mensch frau mann mädchen junge weiblich männlich",
+    "de orientation": "jemand schwul lesbisch schwule lesbe bisexuell",
+    "de religion": "gläubige muslim muslima christ jude jüdisch hindu buddhist atheist",
+    "de origin": "einwohner schwarz weiß asiatisch afrikanisch europäisch amerikanisch türke türkisch ausländer einwanderer flüchtling",
+    "de age and ability": "erwachsene alt jung behindert taub blind",
+    "fr gender": "personne femme homme fille garçon féminin masculin",
+    "fr orientation": "quelqu gai homosexuel lesbienne bisexuel",
+    "fr religion": "croyant musulman chrétien juif juive hindou bouddhiste athée",
+    "fr origin": "habitant noir blanc asiatique africain européen américain arabe immigré réfugié étranger",
+    "fr age and ability": "adulte vieux jeune handicapé sourd aveugle",
+    "es gender": "persona mujer hombre chica chico femenino masculino",
+    "es orientation": "alguien gay homosexual lesbiana bisexual",
+    "es religion": "creyente musulmán musulman cristiano judío judía hindú budista ateo",
+    "es origin": "habitante negro blanco asiático africano europeo americano mexicano árabe inmigrante refugiado extranjero",
+    "es age and ability": "adulto viejo joven discapacitado sordo ciego",
+}
+IDENTITY = {kind: terms.split() for kind, terms in IDENTITY.items()}
+# Endings of inflected forms by language, and forms that no ending makes.
+ENDINGS = {"en": "s es", "de": "e en er es em n s in innen nen", "fr": "s e es x ne nes le les", "es": "s es a as o os"}
+FORMS = {"woman": "women", "man": "men", "mann": "männer", "frau": "frauen", "jude": "juden", "türke": "türken", "blanc": "blanche", "vieux": "vieille", "étranger": "étrangère", "croyant": "croyante", "viejo": "vieja", "chica": "chicas", "musulmán": "musulmana"}
 SENTENCE, WORD = re.compile(r"[.!?\n]+"), re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6, 7)
-GROUP = {w: kind for kind, terms in IDENTITY.items() for w in terms}
+GROUP: dict[str, str] = {}
+for _kind, _terms in IDENTITY.items():
+    for _term in _terms:
+        GROUP.setdefault(_term, _kind)
+
+
+def inflections(term: str, language: str) -> list[str]:
+    """Forms of a term: itself with an ending; Spanish and French ones with the last vowel changed, too."""
+    stems = [term, term[:-1]] if language in ("es", "fr") and term[-1] in "oae" else [term]
+    made = [stem + end for stem in stems for end in ENDINGS[language].split()]
+    irregular = FORMS.get(term)
+    return [*made, *([irregular, irregular + "s"] if irregular else [])]
+
+
+#: The term of each form of an identity term; a form of several is that of the first.
+TERM_OF = {t: t for t in GROUP}
+for _kind, _terms in IDENTITY.items():
+    for _term in _terms:
+        for _form in inflections(_term, _kind[:2]):
+            TERM_OF.setdefault(_form, _term)
 
 
 def sentences(text: str | None) -> list[set[str]]:
@@ -46,19 +88,32 @@ def sentences(text: str | None) -> list[set[str]]:
 
 
 def features(word: str) -> list[str]:
-    """The word, and its prefixes marked with a hyphen; identity terms stand for themselves alone."""
-    return [word] if word in GROUP else [word, *[word[:k] + "-" for k in PREFIXES if len(word) > k]]
+    """The word, and its prefixes marked with a hyphen; a form of an identity term stands for the term, alone."""
+    term = TERM_OF.get(word)
+    return [term] if term else [word, *[word[:k] + "-" for k in PREFIXES if len(word) > k]]
+
 
+def sample_of(text: str | None, fit_sentences: int = 400, fit_words: int = 4000) -> list[list[str]]:
+    """Sentences of a text to fit on, each as its sorted words: by hash order over the whole text, at most ``fit_sentences``
+    different ones of ``fit_words`` words together (the first is cut to that)."""
+    found = sorted(map(sorted, {frozenset(s) for s in sentences(text)}), key=lambda s: (zlib.crc32(" ".join(s).encode()), s))
+    out, left = [], fit_words
+    for s in found[:fit_sentences]:
+        if out and len(s) > left:
+            break
+        out.append(s[:left])
+        left -= len(out[-1])
+    return out
 
-def fit(texts: list[str], y: np.ndarray, penalty: float = 1.0, min_docs: int = 3, least: float = 20.0, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3, neutral_weight: float = 0.7, fit_sentences: int = 400) -> dict:
-    """{"bias": b, "words": {word: weight}}; bias 0 and no words without both classes."""
+
+def fit(texts: list[str], y: np.ndarray, **how) -> dict:
+    return fit_samples([sample_of(t) for t in texts], y, **how)
+
+
+def fit_samples(docs: list[list[list[str]]], y: np.ndarray, penalty: float = 1.0, min_docs: int = 3, least: float = 20.0, rounds: int = 150, rate: float = 0.1, ridge: float = 1e-3, neutral_weight: float = 0.7) -> dict:
+    """{"bias": b, "words": {word: weight}} from each document's sentences; bias 0 and no words without both classes."""
     if len(set(y.tolist())) < 2:
         return {"bias": 0.0, "words": {}}
-    docs = []
-    for t in texts:
-        found = list({frozenset(s) for s in sentences(t)})
-        found.sort(key=lambda s: (zlib.crc32(" ".join(sorted(s)).encode()), sorted(s)))
-        docs.append(found[:fit_sentences])
     seen = [Counter(), Counter()]
     for d, label in zip(docs, y, strict=True):
         seen[int(label)].update({f for s in d for x in s for f in features(x)})
@@ -87,9 +142,9 @@ def fit(texts: list[str], y: np.ndarray, penalty: float = 1.0, min_docs: int = 3
     first = np.concatenate([[0], np.cumsum([len(d) for d in kept])])[:-1]
     owner = np.repeat(np.arange(len(kept)), [len(d) for d in kept])
     # Swaps in labelled sentences: each identity term for each other one of its kind, the neutral word first.
-    swaps = Counter((x, o) for d in docs for s in d for x in s if x in GROUP for o in IDENTITY[GROUP[x]] if o != x)
+    swaps = Counter((t, o) for d in docs for s in d for x in s if (t := TERM_OF.get(x)) for o in IDENTITY[GROUP[t]] if o != t)
     for kind in IDENTITY.values():  # every term counts once at least, seen or not
-        swaps.update((x, kind[0]) for x in kind[1:])
+        swaps.update([(x, kind[0]) for x in kind[1:]] + [(kind[0], x) for x in kind[1:]])
     one, two = (np.array([at[p[i]] for p in swaps]) for i in (0, 1))
     share = np.array(list(swaps.values()), float) / sum(swaps.values())
     weight = np.where(y == 1, (1 - neutral_weight) / y.mean(), neutral_weight / (1 - y.mean())) / len(y)
@@ -105,7 +160,8 @@ def fit(texts: list[str], y: np.ndarray, penalty: float = 1.0, min_docs: int = 3
         at_sentence[worst] = dz
         g = np.bincount(words, at_sentence[sentence], minlength=len(w)) + ridge * w / len(y)
         gap = 2 * penalty * share * (w[one] - w[two])
-        g += np.bincount(one, gap, minlength=len(w)) - np.bincount(two, gap, minlength=len(w))
+        # And for a word that says nothing, which has no weight.
+        g += np.bincount(one, gap + 2 * penalty * share * w[one], minlength=len(w)) - np.bincount(two, gap, minlength=len(w))
         b = dz.sum()
         m, v, bm, bv = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * bm + 0.1 * b, 0.999 * bv + 0.001 * b * b
         fix = rate / (1 - 0.9**step)
@@ -133,12 +189,19 @@ def logit(text: str | None, bias: float, words: Weights) -> float:
     return bias + max((sum(map(words.__getitem__, s)) for s in sentences(text)), default=0.0)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500) -> dict:
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, fit_sentences: int = 400, fit_words: int = 4000) -> dict:
+    """The model of at most 2 * per_class documents, of which sentences of fit_words words at most go to the fitting task."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="text").assign(sample=[json.dumps(sample_of(t, fit_sentences, fit_words)) for t in b["text"]])
+
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"])
-        return pd.DataFrame({"model": [json.dumps(fit(pdf["text"].tolist(), pdf["y"].to_numpy(float)))]})
+        pdf = pdf.sort_values(["doc_id", "sample"])
+        return pd.DataFrame({"model": [json.dumps(fit_samples([json.loads(x) for x in pdf["sample"]], pdf["y"].to_numpy(float)))]})
 
-    made = labelled(docs, labels, label, per_class).select("doc_id", "y", "text").groupBy().applyInPandas(train, "model string").collect()
+    rows = labelled(docs, labels, label, per_class).select("doc_id", "y", "text").mapInPandas(cut, "doc_id long, y int, sample string")
+    made = rows.groupBy().applyInPandas(train, "model string").collect()
     return json.loads(made[0]["model"]) if made else {"bias": 0.0, "words": {}}
 
 
