@@ -148,15 +148,27 @@ def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
     )
 
 
+def inside(places: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataFrame:
+    """The places (doc_id, c) in one of the document's spans (lo, hi; ends included). Spans that touch are one, and they meet
+    places by stretches of the document, so that a long document does not pair all its places with all its spans."""
+    order = Window.partitionBy("doc_id").orderBy("lo", "hi")
+    begins = F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    apart = spans.withColumn("begins", begins.cast("int")).withColumn("k", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    by = apart.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / stretch), F.floor(F.col("hi") / stretch)))).drop("k")
+    return places.withColumn("stretch", F.floor(F.col("c") / stretch)).join(by, ["doc_id", "stretch"]).filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct()
+
+
 def still_open(found: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the buckets in which a place stands in no confirmed passage of its document, without the heads (they have
     met everyone) and without what has no smaller document left to meet: bucket, f, doc_id, c, open."""
     spans = pairs.select(F.col("b").alias("doc_id"), F.col("b_start").alias("lo"), (F.col("b_start") + F.col("b_words") - SIZE).alias("hi")).distinct()
-    settled = found.select("doc_id", "c").distinct().join(spans, "doc_id").filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct()
-    others = heads.select("bucket", F.col("h.doc_id").alias("head"))
-    free = written(sided(found.join(settled, ["doc_id", "c"], "left_anti")).join(others, "bucket").filter("doc_id <> head"), "free")
-    last = written(free.groupBy("bucket").agg(F.max("doc_id").alias("last"), F.first("head").alias("head")), "last")
-    rest = sided(found).join(last, "bucket").filter("doc_id <> head AND doc_id <= last").select("bucket", "f", "doc_id", "c")
+    settled = inside(found.select("doc_id", "c").distinct(), spans)
+    others = heads.select("bucket", F.col("h.doc_id").alias("head"), "n")
+    at = ["doc_id", "c", "f"]
+    free = met(sided(found.join(settled, ["doc_id", "c"], "left_anti")), others, ["bucket"], "n", at).filter("doc_id <> met.head")
+    free = written(free.select("bucket", "f", "doc_id", "c", F.col("met.head").alias("head"), F.col("met.n").alias("n")), "free")
+    last = written(free.groupBy("bucket").agg(F.max("doc_id").alias("last"), F.first("head").alias("head"), F.first("n").alias("n")), "last")
+    rest = met(sided(found), last, ["bucket"], "n", at).filter("doc_id <> met.head AND doc_id <= met.last").select("bucket", "f", "doc_id", "c")
     return rest.join(free.select("doc_id", "c", F.lit(True).alias("open")).distinct(), ["doc_id", "c"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
@@ -283,9 +295,10 @@ def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) ->
 
     made = written(contexts(rows.select("doc_id", "c").distinct(), docs, least), "contexts")
     placed = rows.join(made.select("doc_id", "c", "around"), ["doc_id", "c"])
-    kinds = written(placed.groupBy("bucket", "around").agg(F.min(F.struct("doc_id", "c", "open", "f")).alias("k")).select("bucket", "around", "k.*"), "kinds")
-    first = kinds.select("bucket", "around", F.col("doc_id").alias("a"), F.col("c").alias("a_c"))
-    same = placed.filter("open").join(first, ["bucket", "around"]).filter("doc_id <> a")
+    of_kind = written(placed.groupBy("bucket", "around").agg(F.min(F.struct("doc_id", "c", "open", "f")).alias("k"), F.count(F.lit(1)).alias("rows")), "kinds")
+    kinds = of_kind.select("bucket", "around", "k.*")
+    first = of_kind.select("bucket", "around", F.col("k.doc_id").alias("a"), F.col("k.c").alias("a_c"), "rows")
+    same = met(placed.filter("open"), first, ["bucket", "around"], "rows", ["doc_id", "c"]).withColumns({"a": F.col("met.a"), "a_c": F.col("met.a_c")}).drop("met").filter("doc_id <> a")
     one = lambda df, a, ac, b, bc: df.select(F.col(a).alias("a"), F.col(b).alias("b"), "f", F.col(ac).alias("a_lo"), F.col(ac).alias("a_hi"), F.col(bc).alias("b_lo"), F.col(bc).alias("b_hi"))
     sizes = kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last")).filter("least < last").select("bucket", "n", "last")
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -298,8 +311,8 @@ def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) ->
         .withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
         .drop("other", "n", "around")
     )
-    met = dealt.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long, f int, a_lo int, a_hi int, b_lo int, b_hi int")
-    return one(same, "a", "a_c", "doc_id", "c").unionByName(met).distinct()
+    compared = dealt.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long, f int, a_lo int, a_hi int, b_lo int, b_hi int")
+    return one(same, "a", "a_c", "doc_id", "c").unionByName(compared).distinct()
 
 
 def exact_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
