@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from agentlens.functions import text as X
 from agentlens.operators import learning as L
 from agentlens.plans.registry import query
+from agentlens.plans.text_queries import PARTS
 
 D, E, M = "v_decisions", "v_episodes", "v_task_metrics"
 NAMES = ["code", "debug", "plan", "research", "review", "refactor", "security", "test", "other"]
@@ -35,10 +36,14 @@ def reweight(d):
     return L.reweight(_outcomes(d), ALT)
 
 
-@query("m05_quality_variants", "v_results", None)
+VARIANTS = {"base": (0.45, 0.25, 0.2, 0.1), "no length": (0.55, 0.25, 0.2, 0.0), "novelty": (0.0, 1.0, 0.0, 0.0), "structure": (1.0, 0.0, 0.0, 0.0), "no plan": (0.55, 0.35, 0.0, 0.1), "even": (0.25, 0.25, 0.25, 0.25)}
+VARIANT_SQL = ", ".join(f"('{k}', {', '.join(f'{x}::DOUBLE' for x in w)})" for k, w in VARIANTS.items())
+
+
+@query("m05_quality_variants", "v_results", f"WITH {PARTS}, s AS (SELECT variant, r.bucket, r.agent, length(r.output)::DOUBLE AS tokens, a*structural+b*novelty+p*not_plan+l*length AS score FROM c JOIN v_results r USING (conv_id, turn), (VALUES {VARIANT_SQL}) w(variant,a,b,p,l)), g AS (SELECT variant, bucket, max(m)-min(m) AS gap FROM (SELECT variant, bucket, agent, avg(score) AS m FROM s GROUP BY ALL) GROUP BY ALL) SELECT variant, bucket, round(any_value(gap),6) AS gap, count(*) AS n, round(corr(score, tokens),6) AS r FROM s JOIN g USING (variant, bucket) GROUP BY variant, bucket")
 def quality_variants(r):
     c = r.select("bucket", "agent", F.length("output").alias("tokens"), X.prose_components(F.col("prompt"), F.col("output"), F.col("bucket")).alias("c")).select("bucket", "agent", "tokens", "c.*")
-    return L.quality_variants(c, {"base": (0.45, 0.25, 0.2, 0.1), "no length": (0.55, 0.25, 0.2, 0.0), "novelty": (0.0, 1.0, 0.0, 0.0), "structure": (1.0, 0.0, 0.0, 0.0), "no plan": (0.55, 0.35, 0.0, 0.1), "even": (0.25, 0.25, 0.25, 0.25)})
+    return L.quality_variants(c, VARIANTS)
 
 
 SOFT = "s AS (SELECT id, selected_agent, bandit_pick, k/100.0::DOUBLE AS a, latency_s/10 AS b, (k%7)/7.0::DOUBLE AS c FROM v_decisions), t AS (SELECT *, greatest(0.05, sqrt(((a-(a+b+c)/3)**2+(b-(a+b+c)/3)**2+(c-(a+b+c)/3)**2)/3)) AS t, greatest(a,b,c) AS m FROM s), e AS (SELECT *, exp((a-m)/t) AS ea, exp((b-m)/t) AS eb, exp((c-m)/t) AS ec FROM t)"
@@ -81,7 +86,23 @@ def linucb_state(d):
     return s.select("agent", "n", s.a[0].alias("a00"), s.a[1].alias("a01"), s.a[5].alias("a12"), s.a[8].alias("a22"), s.b[1].alias("b1"))
 
 
-@query("m10_linucb_scores", D, None)
+def _solved(x: tuple[float, float, float]) -> str:
+    """Common table expressions from s (bucket, agent, a00 .. a22, b0 .. b2) to v: exploit and variance at x, by cofactors."""
+    plus = "a00+1e-9 AS p, a01 AS q, a02 AS r, a11+1e-9 AS u, a12 AS v, a22+1e-9 AS w"
+    inverse = {"00": "u*w-v*v", "01": "r*v-q*w", "02": "q*v-r*u", "11": "p*w-r*r", "12": "q*r-p*v", "22": "p*u-q*q"}
+    at = lambda i, j: f"i{min(i, j)}{max(i, j)}"
+    form = lambda right: " + ".join(f"{x[i]}::DOUBLE*{at(i, j)}*{right(j)}" for i in range(3) for j in range(3))
+    return f"""t AS (SELECT *, {plus} FROM s), d AS (SELECT *, p*(u*w-v*v)-q*(q*w-v*r)+r*(q*v-u*r) AS det FROM t),
+i AS (SELECT bucket, agent, b0, b1, b2, {', '.join(f'({e})/det AS i{k}' for k, e in inverse.items())} FROM d),
+v AS (SELECT bucket, agent, {form(lambda j: f'b{j}')} AS exploit, greatest({form(lambda j: f'{x[j]}::DOUBLE')}, 0) AS variance FROM i)"""
+
+
+CELL = LIN.replace("PARTITION BY selected_agent", "PARTITION BY bucket, selected_agent").replace("SELECT selected_agent AS agent", "SELECT bucket, selected_agent AS agent")
+STATE = lambda own, b: "s AS (SELECT bucket, agent, " + ", ".join(f"sum(g*x{i}*x{j}) + pow(0.98::DOUBLE,count(*))*{own(i, j)} AS a{i}{j}" for i in range(3) for j in range(i, 3)) + ", " + ", ".join(f"sum(g*reward*x{i}) + pow(0.98::DOUBLE,count(*))*{b(i)} AS b{i}" for i in range(3)) + " FROM l GROUP BY bucket, agent)"
+AT, MID = (1.0, 0.5, 0.3), (1.0, 0.5, 0.5)
+
+
+@query("m10_linucb_scores", D, f"WITH {CELL}, {STATE(lambda i, j: float(i == j), lambda i: 0.5)}, {_solved(AT)} SELECT bucket, agent, round(exploit+sqrt(variance),6) AS ucb, round(exploit,6) AS exploit, round(sqrt(variance),6) AS explore, round(variance,6) AS variance FROM v")
 def linucb_scores(d):
     s = L.linucb_state(_log(d), ["bucket", "agent"], ["x0", "x1", "x2"], F.lit(1.0))
     return s.select("bucket", "agent", L.linucb_scores("a", "b", F.array(F.lit(1.0), F.lit(0.5), F.lit(0.3)), F.lit(1.0)).alias("s")).select("bucket", "agent", "s.*")
@@ -110,7 +131,10 @@ def static_route(d):
     return _outcomes(d).select("id", L.static_route(F.col("bucket"), F.array("selected_agent", "bandit_pick"), PREFS).alias("route"))
 
 
-@query("m14_warm_start_spread", D, None)
+WARM = STATE(lambda i, j: f"({float(i == j)}+{2 * MID[i] * MID[j]})", lambda i: f"(0.5+{2 * MID[i]}*avg(reward))")
+
+
+@query("m14_warm_start_spread", D, f"WITH {CELL}, {WARM}, {_solved(MID)}, w AS (SELECT bucket, max(exploit)-min(exploit) AS spread FROM v GROUP BY bucket) SELECT bucket, round(spread,6) AS spread, (SELECT count(*) FILTER (WHERE spread>0.01)>=3 FROM w) AS passes FROM w")
 def warm_start(d):
     log = _log(d)
     pseudo = log.groupBy("bucket", "agent").agg(F.avg("reward").alias("reward")).select("bucket", "agent", "reward", F.lit(1.0).alias("x0"), F.lit(0.5).alias("x1"), F.lit(0.5).alias("x2"), F.lit(2.0).alias("w"))
