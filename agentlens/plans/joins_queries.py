@@ -105,7 +105,7 @@ def schedule(r):
     return joins.schedule(r.select("prompt").distinct(), ["x", "y"], 3, 7).groupBy("agent").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"))
 
 
-NUMSTAT = "n AS (SELECT l_orderkey AS sha, 1+(l_orderkey%5=0)::INTEGER AS parents, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS committed, CASE l_linenumber WHEN 2 THEN 'test_module' WHEN 6 THEN 'test_module' WHEN 5 THEN 'test_file' WHEN 3 THEN 'text' ELSE 'source' END AS kind, CAST(l_quantity AS BIGINT) AS lines FROM lineitem WHERE l_quantity<>13)"
+NUMSTAT = "n AS (SELECT * FROM (SELECT l_orderkey AS sha, 1+(l_orderkey%5=0)::INTEGER AS parents, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS committed, CASE l_linenumber WHEN 2 THEN 'test_module' WHEN 6 THEN 'test_module' WHEN 5 THEN 'test_file' WHEN 3 THEN 'text' ELSE 'source' END AS kind, CAST(l_quantity AS BIGINT) AS lines FROM lineitem) WHERE lines<>13)"
 
 
 @query("p17_candidate_commits", "lineitem", f"WITH {NUMSTAT}, g AS (SELECT sha, committed, max(parents) AS parents, bool_or(kind='test_module') AS t, CAST(sum(CASE WHEN kind='source' THEN lines ELSE 0 END) AS BIGINT) AS src_lines FROM n GROUP BY sha, committed) SELECT sha, src_lines FROM g WHERE parents=1 AND t AND src_lines BETWEEN 1 AND 60 ORDER BY committed DESC, sha LIMIT 500")

@@ -68,7 +68,7 @@ def quarantine_tracker(d):
     return trackers.run_to_table(trackers.quarantine_tracker(learning_queries.quarantine_events(d)))
 
 
-@stream_query("t06_budget_tracker", "w04_budget_pacer", digits=5)
+@stream_query("t06_budget_tracker", "w04_budget_pacer", digits=12)
 def budget_tracker(d):
     return trackers.run_to_table(trackers.budget_tracker(d, 0.012, "bucket"))
 
@@ -78,16 +78,14 @@ def cap_tracker(d):
     return trackers.run_to_table(trackers.cap_tracker(d.filter("escalated_to IS NOT NULL").select("id", "ts"))).groupBy("passes").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-LAST = "(SELECT max(ts) FROM v_decisions WHERE event_type='purchase') - INTERVAL 2 DAY"
-
-
-@stream_query("j01_outcome_stream", None, f"WITH o AS (SELECT id AS outcome_id, task_id, ts FROM v_decisions WHERE event_type='purchase' AND ts < {LAST}), d AS (SELECT id, task_id, ts FROM v_decisions WHERE event_type<>'purchase') SELECT outcome_id, max_by(d.id, (d.ts, d.id)) AS decision_id FROM o JOIN d ON d.task_id=o.task_id AND d.ts<=o.ts AND d.ts>=o.ts - INTERVAL 6 HOUR GROUP BY outcome_id")
+@stream_query("j01_outcome_stream", None, "WITH o AS (SELECT id AS outcome_id, task_id, ts FROM v_decisions WHERE event_type='purchase'), d AS (SELECT id, task_id, ts FROM v_decisions WHERE event_type<>'purchase') SELECT outcome_id, max_by(d.id, (d.ts, d.id)) AS decision_id FROM o JOIN d ON d.task_id=o.task_id AND d.ts<=o.ts AND d.ts>=o.ts - INTERVAL 6 HOUR GROUP BY outcome_id")
 def outcome_stream(d):
     bought = F.col("event_type") == "purchase"
-    found = trackers.run_to_table(trackers.outcomes_attached(d.filter(~bought).select("id", "task_id", "ts"), d.filter(bought).select(F.col("id").alias("outcome_id"), "task_id", "ts"), "6 hours"))
-    # What the watermark has not closed yet is still to come; the last two days are left to it.
-    last = found.agg(F.max("ts")).first()[0]
-    return found.filter(F.col("ts") < F.lit(last) - F.expr("INTERVAL 2 DAYS")).select("outcome_id", "decision_id")
+    # Marks of no task, long after: with them the watermark passes all that is there, as it does on a log that goes on.
+    mark = lambda of: d.filter("event_type = 'error'").select("id", F.lit(f"no task of {of}").alias("task_id"), (F.col("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    decisions = d.filter(~bought).select("id", "task_id", "ts").unionByName(mark("decisions"))
+    outcomes = d.filter(bought).select("id", "task_id", "ts").unionByName(mark("outcomes")).withColumnRenamed("id", "outcome_id")
+    return trackers.run_to_table(trackers.outcomes_attached(decisions, outcomes, "6 hours")).select("outcome_id", "decision_id")
 
 
 @stream_query("t08_ingest_once", None, "SELECT id, event_type FROM v_decisions")
@@ -115,7 +113,7 @@ def markdown(docs):
     return logs.markdown_corpus(docs.sparkSession, path).select("title", "date", "kind", F.length("body").cast("long").alias("n_chars"))
 
 
-@query("s03_attempt_files", "customer", "SELECT c_mktsegment AS arm, count(*) FILTER (WHERE c_acctbal>=0) AS n, round(sum(CASE WHEN c_nationkey>=5 THEN c_acctbal/100 ELSE 0 END) FILTER (WHERE c_acctbal>=0),3) AS cost, count(*) FILTER (WHERE c_acctbal<0) AS torn FROM customer GROUP BY 1", 3)
+@query("s03_attempt_files", "customer", "SELECT c_mktsegment AS arm, count(*) FILTER (WHERE c_acctbal>=0) AS n, round(sum(CASE WHEN c_nationkey>=5 THEN c_acctbal/100 ELSE 0 END) FILTER (WHERE c_acctbal>=0),4) AS cost, count(*) FILTER (WHERE c_acctbal<0) AS torn FROM customer GROUP BY 1", 4)
 def attempt_files(c):
     path = shared_path(c.sparkSession, "attempt-files")
     whole = F.to_json(F.struct(F.lit("r").alias("repo"), F.col("c_mktsegment").alias("arm"), F.when(F.col("c_nationkey") >= 5, F.col("c_acctbal") / 100).alias("cost_usd"), F.lit("x").alias("unknown")))
