@@ -34,6 +34,8 @@ PIECE_ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 END = "."
 #: Places of a block of a bitmap, and blocks that travel together.
 PLACES, SPAN = 1 << 16, 16
+#: Shards that a task adds up at most; it holds one at a time.
+SHARDS_A_TASK = 64
 INDEX = "lang array<string>, word array<string>, hash array<long>, langs array<string>, words array<long>, left binary, right binary"
 
 
@@ -291,7 +293,9 @@ def phrase_counts(docs: DataFrame, at_least: int = 30, longest: int = 4, shard_w
 
         return shards.mapInArrow(run, "span int, per binary, places binary, n binary")
 
-    shards, enough = index.select("lang", "word", "hash", "left", "right"), min(at_least, 255)
+    # Two tasks a core, so that a task adds up many shards before it sends anything, but no more than so many shards each.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-len(index.inputFiles()) // SHARDS_A_TASK))
+    shards, enough = index.select("lang", "word", "hash", "left", "right").coalesce(tasks), min(at_least, 255)
     with batches_of(spark, 1):
         for k in range(1, longest + 1):
             bitmaps.append(bitmap(summed(k), enough, bits))
