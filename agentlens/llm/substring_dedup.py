@@ -280,7 +280,7 @@ def crossing(rows: DataFrame, docs: DataFrame, least: int, similarity: float) ->
     words around. Small buckets travel together."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket").reset_index(drop=True)
+        pdf = pdf.sort_values(["bucket", "doc_id", "c", "f"]).reset_index(drop=True)
         ids, mine, is_open, c, f, i, j, bucket = (pdf[x].to_numpy() for x in ("doc_id", "mine", "open", "c", "f", "i", "j", "bucket"))
         known = {x: Around(np.frombuffer(x, np.uint32), least, similarity) for x in set(pdf["bits"])}
         around, met, out = [known[x] for x in pdf["bits"]], {}, []
