@@ -38,8 +38,15 @@ MAGIC = b"HUF1"
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TANGLED = rf"\x00|(?:^|[{WHITE}])[ \n]|[ \n](?:$|[{WHITE}])"
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
-#: Bytes of text that are cut and put together at a time (one longer text stands alone), and unseen stretches a call.
-SLICE_BYTES, TOGETHER = 32_000_000, 1000
+#: A stretch that keeps its ids as a line between others: not empty, and no white space at its ends but one space before.
+LINE = re.compile(r" ?\S(?:[^\n]*\S)?")
+#: One piece of the vocabulary's pattern, as it stands.
+PIECE = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+#: Marks that begin a piece of their own after a letter; the last letter (of Unicode's oldest blocks) is looked at.
+TAIL, LETTERS = ".,;:!?#$%&*()=+-/", "\u024f"
+#: Bytes of text that are cut and put together at a time (one longer text stands alone), bytes to which small batches are
+#: gathered, and unseen stretches a call.
+SLICE_BYTES, GATHER_BYTES, TOGETHER = 32_000_000, 12_000_000, 1000
 
 
 def default_tokenizer() -> str:
@@ -53,8 +60,8 @@ class Encoder:
 
     The vocabulary's pattern starts a new piece at every single space and around every single line feed between two
     characters that are not white space, and never joins across it, so the stretches' ids in a row are the ids of the
-    whole text. Texts are cut and ids put together as Arrow and numpy columns; each different stretch of a batch is looked
-    up once.
+    whole text. So it is between a letter and the marks after it, which are cut off before a new stretch is encoded.
+    Texts are cut and ids put together as Arrow and numpy columns; each different stretch of a batch is looked up once.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
@@ -66,25 +73,51 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         feed = self.inner.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
+        self.whole = self._unsplit(path)
+        added = "".join(x.content for x in self.inner.get_added_tokens_decoder().values())
+        self.tail = "".join(c for c in TAIL if c not in added)
         # Two generations: what the older one still has is not encoded again when the newer one is full.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.limit = limit
 
-    def _raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
+    def _unsplit(self, path: str):
+        """The same tokenizer for lines of one piece each, which it need not look for; itself if its pattern is another."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        splitter = json.loads(self.inner.to_str())["pre_tokenizer"] or {}
+        if splitter.get("type") != "ByteLevel" or not splitter.get("use_regex") or splitter.get("add_prefix_space"):
+            return self.inner
+        out = Tokenizer.from_file(path)
+        out.no_padding()
+        out.no_truncation()
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
+    def _raw(self, texts: list[str], inner=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in (inner or self.inner).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes stretches many at a time, as lines of one text; those with line feeds by themselves."""
-        lines = [s for s in new if "\n" not in s] if self.feed is not None else []
-        for i in range(0, len(lines), TOGETHER):
-            some = lines[i : i + TOGETHER]
-            (ids,) = self._raw(["\n".join(some) + "\n"])
+        """Encodes stretches: those that end in marks as what stands before these, and the marks."""
+        bodies = [s.rstrip(self.tail) for s in new]
+        parted = [(s, x, s[len(x) :]) for s, x in zip(new, bodies, strict=True) if len(x) < len(s) and x[-1:].isalpha() and x[-1] <= LETTERS]
+        apart = {s for s, _, _ in parted}
+        found = {x: self.older.get(x) for _, *both in parted for x in both if x not in self.known}
+        self.known.update((x, ids) for x, ids in found.items() if ids is not None)
+        self._encoded(list(dict.fromkeys([*(s for s in new if s not in apart), *(x for x, ids in found.items() if ids is None)])))
+        self.known.update((s, self.known[x] + self.known[tail]) for s, x, tail in parted)
+
+    def _encoded(self, new: list[str]) -> None:
+        """Encodes stretches many at a time, as lines of one text; what may not stand in a line by itself."""
+        pieces, lines, alone = [], [], []
+        for s in new:
+            (alone if self.feed is None else pieces if PIECE.fullmatch(s) else lines if LINE.fullmatch(s) else alone).append(s)
+        for inner, some in ((x, part[i : i + TOGETHER]) for x, part in ((self.whole, pieces), (self.inner, lines)) for i in range(0, len(part), TOGETHER)):
+            (ids,) = self._raw(["\n".join(some) + "\n"], inner)
             blob, cuts, begin, width = ids.tobytes(), np.flatnonzero(ids == self.feed).tolist(), 0, self.dtype.itemsize
             for s, end in zip(some, cuts, strict=True):
                 self.known[s] = blob[begin * width : end * width]
                 begin = end + 1
-        alone = new if self.feed is None else [s for s in new if "\n" in s]
         for i in range(0, len(alone), TOGETHER):
             some = alone[i : i + TOGETHER]
             self.known.update((s, x.tobytes()) for s, x in zip(some, self._raw(some), strict=True))
@@ -126,13 +159,9 @@ class Encoder:
         if not len(cut):
             return pa.array([], pa.binary())
         coded = cut.flatten().dictionary_encode()
-        ids = self.of_stretches(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(ids), self.dtype)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
-        at = coded.indices.to_numpy()
-        n, begin = sizes[at], (np.cumsum(sizes) - sizes)[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(begin - ends[:-1], n) + np.arange(ends[-1])]
+        ids = pa.array(self.of_stretches(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1].astype(np.int64) // self.dtype.itemsize
+        out = np.frombuffer(ids.buffers()[2] or b"", self.dtype)[: ends[-1]]
         cuts = ends[cut.offsets.to_numpy()]
         out = np.insert(out, cuts[1:], end)
         offsets = (cuts + np.arange(len(cuts))) * self.dtype.itemsize
@@ -149,6 +178,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches as one, while their texts have less than ``GATHER_BYTES``; a larger batch stands alone."""
+    held, size = [], 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch["text"])).as_py() or 0
+        if held and size + n > GATHER_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held, size = [*held, batch], size + n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(texts: pa.Array) -> Iterator[slice]:
     """Consecutive rows of about ``SLICE_BYTES`` of text."""
     turn = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
@@ -168,7 +210,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, total = encoder(tokenizer), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in gathered(batches):
             for part in slices(batch["text"]):
                 texts = batch["text"].slice(part.start, part.stop - part.start)
                 ids = coder.encode(texts, end_id)

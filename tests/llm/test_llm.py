@@ -300,6 +300,25 @@ def test_stretches_encode_like_the_whole(spark):
     assert [(s.start, s.stop) for s in token_files.slices(pa.array([None, "x", "", "y"]))] == [(0, 4)]
 
 
+def test_stretches_that_are_no_line_and_marks_cut_off():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["one two", "", None, "three", "\xa0\xa0\xa0four five", "\t\tsix\xa0", "\u3000\u3000seven", "two. one, three!? one... #one# don't. don't' it's", "é. ß!! 漢。漢. 12. 3.4 a1. x<|endoftext|>. x<|endoftext|>", "naïve-- ª. ×. ǅ) а. b\x00c. ", " lone", "."]
+    texts += ["".join(np.random.default_rng(i).choice(list("ab.,!?'# \n\té漢1\xa0|<>"), i % 30)) for i in range(600)]
+    for limit in (600_000, 5):
+        ours = token_files.Encoder(token_files.default_tokenizer(), limit=limit)
+        for some in (texts, texts[::-1], *([t] for t in texts[:12])):
+            got = [np.frombuffer(x, ours.dtype).tolist() for x in ours.encode(pa.array(some, pa.string()), 2).to_pylist()]
+            assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
+
+
+def test_small_batches_are_gathered(monkeypatch):
+    monkeypatch.setattr(token_files, "GATHER_BYTES", 5)
+    batches = [pa.record_batch({"text": pa.array(t, pa.string())}) for t in (["ab"], [None, "c"], ["defghijk"], [], ["l"])]
+    assert [b["text"].to_pylist() for b in token_files.gathered(iter(batches))] == [["ab", None, "c"], ["defghijk"], ["l"]] and list(token_files.gathered(iter([]))) == []
+
+
 def test_token_files_round_trip(spark, monkeypatch):
     from tokenizers import Tokenizer
 
