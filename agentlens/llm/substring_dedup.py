@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.llm.common import bounded_batches, drop_path, met, new_path, table, written
-from agentlens.llm.shingles import Words, constants, mixed, shingled
+from agentlens.llm.shingles import constants, mixed, sequences, together
 
 SIZE = 5
 #: One changed word touches SIZE shingles; two changes next to each other make one gap.
@@ -74,14 +74,14 @@ BLOCK, TILE = 4096, 512
 
 
 def beside(s: np.ndarray) -> np.ndarray:
-    """16 bits for each place: the least of the BESIDE shingles before it (at the place itself), and of those after it
-    (BESIDE + 1 further on). A least does not shift with the words around it, and in a passage with one edit (or none) the
-    longer clean part has room for one of the two wherever in it the minimum stands."""
+    """16 bits for each place from which BESIDE shingles go on: the least of them. A place's own are those before it (at
+    the place less BESIDE), and those after it (one further on). A least does not shift with the words around it, and in a
+    passage with one edit (or none) the longer clean part has room for one of the two wherever in it the minimum stands."""
     n = max(0, len(s) - BESIDE + 1)
     least = s[:n].copy()
     for i in range(1, BESIDE):
         np.minimum(least, s[i : i + n], out=least)
-    return np.concatenate([np.full(BESIDE, NONE), (mixed(least) >> np.uint64(48)).astype(np.int64), np.full(BESIDE, NONE)])
+    return (mixed(least) >> np.uint64(48)).astype(np.int64)
 
 
 def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
@@ -89,26 +89,29 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
     and after. Nearly all windows leave after being counted, so what moves of them is kept small."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, k = Words(), constants(hashes, 41)
+        k = constants(hashes, 41)
         for batch in batches:
             keys, ids, places, sides = [], [], [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                s = shingled(cache.of(text), SIZE)
-                if len(s) < least:
-                    continue
-                values, at = runs(s)
-                ends, short = at.tolist(), beside(s)
-                for i in range(hashes):
-                    v = mixed(values ^ k[i])
-                    c = np.array(compact_windows(v, least, ends), np.int64).reshape(-1, 3)[:, 1]
-                    key, c, last = v[c], at[c], at[c + 1] - 1
-                    if len(values) < len(s):  # a run of one word over and over stands at its first and its last place
-                        long = last > c
-                        key, c = np.concatenate([key, key[long]]), np.concatenate([c, last[long]])
-                    keys.append(key)
-                    ids.append(np.full(len(c), doc_id, np.int64))
-                    places.append(c.astype(np.int32))
-                    sides.append((i << 34) | (short[c] << 17) | short[c + BESIDE + 1])
+            doc_ids, none = iter(batch["doc_id"]), np.full(BESIDE, NONE)
+            for all_, spans in together(batch["text"], SIZE):
+                near, long_enough = beside(all_), []
+                for (lo, hi), doc_id in zip(spans, doc_ids, strict=False):
+                    if hi - lo >= least:
+                        _, at = runs(all_[lo:hi])
+                        long_enough.append((doc_id, lo, hi, at, at.tolist(), np.concatenate([none, near[lo : max(lo, hi - BESIDE + 1)], none])))
+                for i in range(hashes if long_enough else 0):
+                    minima = mixed(all_ ^ k[i])
+                    for doc_id, lo, hi, at, ends, short in long_enough:
+                        v = minima[lo:hi][at[:-1]]
+                        c = np.array(compact_windows(v, least, ends), np.int64).reshape(-1, 3)[:, 1]
+                        key, c, last = v[c], at[c], at[c + 1] - 1
+                        if len(v) < hi - lo:  # a run of one word over and over stands at its first and its last place
+                            long = last > c
+                            key, c = np.concatenate([key, key[long]]), np.concatenate([c, last[long]])
+                        keys.append(key)
+                        ids.append(np.full(len(c), doc_id, np.int64))
+                        places.append(c.astype(np.int32))
+                        sides.append((i << 34) | (short[c] << 17) | short[c + BESIDE + 1])
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "c": np.concatenate(places), "sides": np.concatenate(sides)})
 
@@ -177,10 +180,9 @@ def contexts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     reach = least + GAP
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Words()
         for batch in batches:
-            for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
-                s = (shingled(cache.of(text), SIZE) >> np.uint64(32)).astype(np.uint32)
+            for doc_id, s, found in zip(batch["doc_id"], sequences(batch["text"], SIZE), batch["places"], strict=True):
+                s = (s >> np.uint64(32)).astype(np.uint32)
                 for i in range(0, len(found), 10_000):
                     some = [int(c) for c in found[i : i + 10_000] if c < len(s)]
                     yield pd.DataFrame({"doc_id": np.full(len(some), doc_id, np.int64), "c": np.array(some, np.int32), "bits": [s[max(0, c - reach) : c + reach + 1].tobytes() for c in some]})
@@ -402,12 +404,13 @@ def verified(found: DataFrame, docs: DataFrame, least: int, similarity: float) -
     length around it, are cut out beside the text, once for all the pairs that it stands in, and meet by the pair."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = Words()
         for batch in batches:
-            at, bits, last, seq = [], [], None, None
-            for text, lo, hi in zip(batch["text"], batch["lo"], batch["hi"], strict=True):
+            at, bits, last, texts = [], [], object(), batch["text"].tolist()
+            # A text's rows follow each other.
+            each = sequences((x for x, before in zip(texts, [last, *texts], strict=False) if x is not before), SIZE)
+            for text, lo, hi in zip(texts, batch["lo"], batch["hi"], strict=True):
                 if text is not last:
-                    last, seq = text, shingled(cache.of(text), SIZE)
+                    last, seq = text, next(each)
                 start = max(0, lo - least)
                 at.append(start)
                 bits.append(packed(seq[start : hi + least + 1]))

@@ -300,6 +300,28 @@ def test_stretches_encode_like_the_whole(spark):
     assert [(s.start, s.stop) for s in token_files.slices(pa.array([None, "x", "", "y"]))] == [(0, 4)]
 
 
+def test_words_hashed_together_are_those_of_each_text(monkeypatch):
+    monkeypatch.setattr(shingles, "PIECE_BYTES", 256)
+    rng = np.random.default_rng(3)
+    texts = ["", None, " ", "One", "A b\x0bc\x0c\r\nd\x1ce \xa0f", "x" * 700, "y " + "X" * 300 + " z", "w " * 400 + "Q" * 65 + " " + "q" * 65, "é ß 漢字 a b", LONG]
+    texts += ["".join(rng.choice(list("aAbB \n\té漢\x85"), i % 60)) for i in range(500)]
+    known = {}
+    for text, got in zip(texts, shingles.sequences(texts), strict=True):
+        words_ = (text or "").encode().lower().split()
+        hashes, starts = shingles.hashed((text or "").encode())
+        assert len(hashes) == len(words_) and all(known.setdefault(w, h) == h for w, h in zip(words_, hashes.tolist(), strict=True))
+        assert all((text or "").encode().lower()[i:].startswith(w) for w, i in zip(words_, starts.tolist(), strict=True))
+        assert got.tolist() == (shingles.shingled(hashes).tolist() if len(words_) >= 5 else [])
+    assert len(set(known.values())) == len(known)
+
+
+def test_passages_of_a_repeated_id_with_a_null_text(spark):
+    passage = " ".join(words(8, 70))
+    rows = [(1, passage), (2, None), (2, "before " + passage), (3, passage + " after")]
+    got = substring_dedup.repeated_passages(docs(spark, rows).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.n_words) for r in got) == [(1, 1, 70), (2, 1, 70), (3, 1, 70)]
+
+
 def test_stretches_that_are_no_line_and_marks_cut_off():
     from tokenizers import Tokenizer
 
