@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from agentlens.llm.common import bounded_batches, new_path, table
 
-EVERY, BLOCK_IDS, FILE_IDS = 128, 2_000_000, 16_000_000
+EVERY, BLOCK_IDS, FILE_IDS = 128, 500_000, 16_000_000
 MAGIC = b"HUF1"
 #: White space, for RE2; a text where a space or a line feed stands at an end or beside other white space (or which has a
 #: zero byte) is tangled: it is cut by ``SINGLE`` alone.
@@ -46,7 +46,7 @@ PIECE = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
 TAIL, LETTERS = ".,;:!?#$%&*()=+-/", "\u024f"
 #: Bytes of text that are cut and put together at a time (one longer text stands alone), bytes to which small batches are
 #: gathered, and unseen stretches a call.
-SLICE_BYTES, GATHER_BYTES, TOGETHER = 32_000_000, 12_000_000, 1000
+SLICE_BYTES, GATHER_BYTES, TOGETHER = 32_000_000, 4_000_000, 1000
 
 
 def default_tokenizer() -> str:
@@ -64,7 +64,7 @@ class Encoder:
     Texts are cut and ids put together as Arrow and numpy columns; each different stretch of a batch is looked up once.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -73,7 +73,7 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         feed = self.inner.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
-        self.whole = self._unsplit(path)
+        self.split, self.whole = self.inner.pre_tokenizer, self._unsplit()
         added = "".join(x.content for x in self.inner.get_added_tokens_decoder().values())
         self.tail = "".join(c for c in TAIL if c not in added)
         # Two generations: what the older one still has is not encoded again when the newer one is full.
@@ -81,21 +81,18 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.limit = limit
 
-    def _unsplit(self, path: str):
-        """The same tokenizer for lines of one piece each, which it need not look for; itself if its pattern is another."""
-        from tokenizers import Tokenizer, pre_tokenizers
+    def _unsplit(self):
+        """What cuts a text for lines of one piece each, in which no piece need be looked for; as it stands if the pattern is
+        another. The tokenizer gets it for these lines only, as a second one would hold the vocabulary once more."""
+        from tokenizers import pre_tokenizers
 
         splitter = json.loads(self.inner.to_str())["pre_tokenizer"] or {}
         if splitter.get("type") != "ByteLevel" or not splitter.get("use_regex") or splitter.get("add_prefix_space"):
-            return self.inner
-        out = Tokenizer.from_file(path)
-        out.no_padding()
-        out.no_truncation()
-        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        return out
+            return self.split
+        return pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
-    def _raw(self, texts: list[str], inner=None) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in (inner or self.inner).encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Encodes stretches: those that end in marks as what stands before these, and the marks."""
@@ -112,15 +109,26 @@ class Encoder:
         pieces, lines, alone = [], [], []
         for s in new:
             (alone if self.feed is None else pieces if PIECE.fullmatch(s) else lines if LINE.fullmatch(s) else alone).append(s)
-        for inner, some in ((x, part[i : i + TOGETHER]) for x, part in ((self.whole, pieces), (self.inner, lines)) for i in range(0, len(part), TOGETHER)):
-            (ids,) = self._raw(["\n".join(some) + "\n"], inner)
+        if pieces and self.whole is not self.split:
+            self.inner.pre_tokenizer = self.whole
+            try:
+                self._lines(pieces)
+            finally:
+                self.inner.pre_tokenizer = self.split
+        else:
+            self._lines(pieces)
+        self._lines(lines)
+        for i in range(0, len(alone), TOGETHER):
+            some = alone[i : i + TOGETHER]
+            self.known.update((s, x.tobytes()) for s, x in zip(some, self._raw(some), strict=True))
+
+    def _lines(self, new: list[str]) -> None:
+        for some in (new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)):
+            (ids,) = self._raw(["\n".join(some) + "\n"])
             blob, cuts, begin, width = ids.tobytes(), np.flatnonzero(ids == self.feed).tolist(), 0, self.dtype.itemsize
             for s, end in zip(some, cuts, strict=True):
                 self.known[s] = blob[begin * width : end * width]
                 begin = end + 1
-        for i in range(0, len(alone), TOGETHER):
-            some = alone[i : i + TOGETHER]
-            self.known.update((s, x.tobytes()) for s, x in zip(some, self._raw(some), strict=True))
 
     def of_stretches(self, stretches: list[str]) -> list[bytes]:
         """Ids of different stretches."""
@@ -178,6 +186,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drops this worker's encoders: the tasks after the encoding need them no more, and later stages run in the same worker."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Consecutive batches as one, while their texts have less than ``GATHER_BYTES``; a larger batch stands alone."""
     held, size = [], 0
@@ -218,6 +232,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 total, some = (some, total) if len(some) > len(total) else (total, some)
                 total[: len(some)] += some
                 yield pa.record_batch([batch["doc_id"].slice(part.start, len(texts)), ids, pa.nulls(len(texts), pa.binary())], schema=TOKENISED)
+            # Else Arrow keeps what a batch took beside what the encoder remembers.
+            pa.default_memory_pool().release_unused()
         yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=TOKENISED)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, counts binary")
@@ -227,6 +243,7 @@ def counts(made: DataFrame) -> DataFrame:
     """id, n over all documents; each task of ``tokenised`` sends at most one row an id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             for blob in batch["counts"]:
                 n = np.frombuffer(blob, np.int64)
@@ -363,6 +380,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        forget()
         lengths = shipped.value
         codes = canonical(lengths)
         part, name = TaskContext.get().partitionId(), f"part-{uuid.uuid4().hex}"
@@ -416,6 +434,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     shipped = spark.sparkContext.broadcast((lengths, files))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         lengths, files = shipped.value
         look, (fs, root) = decode_table(lengths, limit), _filesystem(path)
         for batch in batches:

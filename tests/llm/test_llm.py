@@ -335,6 +335,27 @@ def test_stretches_that_are_no_line_and_marks_cut_off():
             assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in some]
 
 
+def test_an_encoder_holds_one_tokenizer_and_leaves_with_its_stage(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
+    import tokenizers
+
+    made, real = [], tokenizers.Tokenizer
+    monkeypatch.setattr(token_files, "_ENCODERS", {})
+    monkeypatch.setattr(tokenizers, "Tokenizer", MagicMock(from_file=lambda p: made.append(real.from_file(p)) or made[-1]))
+    path = token_files.default_tokenizer()
+    ours = token_files.encoder(path)
+    texts = pa.array(["one two", "don't. stop (now) 12 x's", None, "one two three"])
+    want = [[*real.from_file(path).encode(t or "", add_special_tokens=False).ids, 2] for t in texts.to_pylist()]
+    before = made[0].to_str()
+    assert [np.frombuffer(x, ours.dtype).tolist() for x in ours.encode(texts, 2).to_pylist()] == want
+    assert len(made) == 1 and made[0].to_str() == before
+    # The tasks that count, write and read come after all texts are encoded, in the same workers.
+    rows = MagicMock()
+    token_files.counts(rows)
+    assert token_files._ENCODERS and not list(rows.filter().select().mapInPandas.call_args[0][0](iter([]))) and not token_files._ENCODERS
+
+
 def test_small_batches_are_gathered(monkeypatch):
     monkeypatch.setattr(token_files, "GATHER_BYTES", 5)
     batches = [pa.record_batch({"text": pa.array(t, pa.string())}) for t in (["ab"], [None, "c"], ["defghijk"], [], ["l"])]
