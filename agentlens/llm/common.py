@@ -50,12 +50,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
 LARGEST = 1000
 
 
-def met(left: DataFrame, groups: DataFrame, on: list[str], n: str, spread: list[str]) -> DataFrame:
+def met(left: DataFrame, groups: DataFrame, on: list[str], n: str, spread: list[str], hashed: bool = False) -> DataFrame:
     """``left`` and a column met: the columns of ``groups`` besides ``on``, null where there is none.
 
     ``groups`` is a written table with a row for each key and the key's number of rows, ``n``. The LARGEST groups are
     broadcast, which bounds what is sent; rows that find theirs there, or have no key, are dealt by ``spread`` instead,
-    so that a key which holds a third of all rows does not meet in one task. All other rows are joined by the key.
+    so that a key which holds a third of all rows does not meet in one task. All other rows are joined by the key;
+    ``hashed``: without a sort of both sides, where a partition's share of the groups is small (a row for each key).
     """
     met_with = F.struct(*(c for c in groups.columns if c not in on))
     largest = groups.orderBy(F.desc(n), *on).limit(LARGEST).select(*on, met_with.alias("_large"))
@@ -63,6 +64,7 @@ def met(left: DataFrame, groups: DataFrame, on: list[str], n: str, spread: list[
     # Where both sides derive the dealing column from the key, it is no condition more for rows that are still to meet.
     at = F.when(F.col("_large").isNull() & F.col(on[0]).isNotNull(), F.xxhash64(*on)).otherwise(F.xxhash64(*spread))
     rest = groups.select(*on, F.xxhash64(*on).alias("_at"), met_with.alias("_rest"))
+    rest = rest.hint("shuffle_hash") if hashed else rest
     return first.withColumn("_at", at).join(rest, [*on, "_at"], "left").select(*left.columns, F.coalesce("_large", "_rest").alias("met"))
 
 

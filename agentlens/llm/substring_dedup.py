@@ -2,8 +2,8 @@
 
 A text is its sequence of word-shingle hashes. Under one hash function, the Cartesian tree of the sequence splits all its
 stretches of ``least`` shingles or more into compact windows (l, c, r): every such stretch with l <= start <= c <= end <= r
-has its minimum at c, so the window stands for all of them. There are about 2 / (least + 1) windows a shingle, made by
-walking down the tree and stopping at short subtrees.
+has its minimum at c, so the window stands for all of them. There are about 2 / (least + 1) windows a shingle. Only their c
+is used, and these are the minima of the stretches of just ``least`` shingles, which are found for many texts together.
 
 1. Map: the windows of ``hashes`` functions: a key (function and minimum), the place, and 16 bits each of the least of the
    shingles before and after it, which an edit does not shift.
@@ -57,6 +57,39 @@ def compact_windows(values: np.ndarray, least: int, at: list[int] | None = None)
     return out
 
 
+def least_at(values: np.ndarray, least: int) -> np.ndarray:
+    """The place of the minimum of each stretch of ``least`` values; of equal ones the first. These are the c of all compact
+    windows, as one of them is the minimum of some stretch of just that length."""
+    at, width = np.arange(len(values), dtype=np.int32), 1
+    while width < least:
+        step = min(width, least - width)
+        lower = values[step:] < values[:-step]
+        values, at = np.where(lower, values[step:], values[:-step]), np.where(lower, at[step:], at[:-step])
+        width += step
+    return at
+
+
+def unrepeated(x: np.ndarray) -> np.ndarray:
+    """x without values that equal the one before."""
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1]) - np.repeat(ends - n, n)
+
+
+def run_ends(s: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last place of the run of equal neighbours that each place stands in; none goes over the ends of
+    a text (from lo to hi)."""
+    begins = np.ones(len(s) + 1, bool)
+    begins[1:-1] = s[1:] != s[:-1]
+    begins[lo] = begins[hi] = True
+    at = np.flatnonzero(begins)
+    return np.repeat(at[:-1], np.diff(at)), np.repeat(at[1:] - 1, np.diff(at))
+
+
 def runs(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of the runs of equal neighbours, and where each begins (and the end)."""
     at = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
@@ -71,6 +104,10 @@ BESIDE = 10
 LONG = 512
 #: Rows of a block in the full comparison of a bucket, and of one matrix in it.
 BLOCK, TILE = 4096, 512
+#: Fewer texts than this are not first compared as one.
+FEW = 64
+#: Places of which a batch is made, at least, while there are more; it has fewer than twice as many.
+PLACES = 10_000
 
 
 def beside(s: np.ndarray) -> np.ndarray:
@@ -89,31 +126,30 @@ def windows(docs: DataFrame, hashes: int, least: int) -> DataFrame:
     and after. Nearly all windows leave after being counted, so what moves of them is kept small."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = constants(hashes, 41)
+        k, none = constants(hashes, 41), np.full(BESIDE, NONE)
         for batch in batches:
-            keys, ids, places, sides = [], [], [], []
-            doc_ids, none = iter(batch["doc_id"]), np.full(BESIDE, NONE)
+            doc_ids, n, out = batch["doc_id"].to_numpy(), 0, []
             for all_, spans in together(batch["text"], SIZE):
-                near, long_enough = beside(all_), []
-                for (lo, hi), doc_id in zip(spans, doc_ids, strict=False):
-                    if hi - lo >= least:
-                        _, at = runs(all_[lo:hi])
-                        long_enough.append((doc_id, lo, hi, at, at.tolist(), np.concatenate([none, near[lo : max(lo, hi - BESIDE + 1)], none])))
-                for i in range(hashes if long_enough else 0):
+                (lo, hi), of = np.array(spans).T, doc_ids[n : n + len(spans)]
+                n += len(spans)
+                lo, hi, of = (x[hi - lo >= least] for x in (lo, hi, of))
+                if not len(of):
+                    continue
+                near, (first, last) = np.concatenate([none, beside(all_), none]), run_ends(all_, lo, hi)
+                starts = np.repeat(lo, hi - lo - least + 1) + counted(hi - lo - least + 1)
+                for i in range(hashes):
                     minima = mixed(all_ ^ k[i])
-                    for doc_id, lo, hi, at, ends, short in long_enough:
-                        v = minima[lo:hi][at[:-1]]
-                        c = np.array(compact_windows(v, least, ends), np.int64).reshape(-1, 3)[:, 1]
-                        key, c, last = v[c], at[c], at[c + 1] - 1
-                        if len(v) < hi - lo:  # a run of one word over and over stands at its first and its last place
-                            long = last > c
-                            key, c = np.concatenate([key, key[long]]), np.concatenate([c, last[long]])
-                        keys.append(key)
-                        ids.append(np.full(len(c), doc_id, np.int64))
-                        places.append(c.astype(np.int32))
-                        sides.append((i << 34) | (short[c] << 17) | short[c + BESIDE + 1])
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "doc_id": np.concatenate(ids), "c": np.concatenate(places), "sides": np.concatenate(sides)})
+                    # Places of minima do not fall from one stretch to the next.
+                    c = unrepeated(first[unrepeated(least_at(minima, least)[starts])])
+                    # A run of one word over and over stands at its first and its last place.
+                    c = np.concatenate([c, last[c][last[c] > c]])
+                    own = np.searchsorted(lo, c, "right") - 1
+                    before = np.where(c - lo[own] >= BESIDE, near[c], NONE)
+                    after = np.where(c + BESIDE < hi[own], near[c + BESIDE + 1], NONE)
+                    out.append((minima[c], of[own], (c - lo[own]).astype(np.int32), (i << 34) | (before << 17) | after))
+            if out:
+                key, doc_id, c, sides = map(np.concatenate, zip(*out, strict=True))
+                yield pd.DataFrame({"key": key.view(np.int64), "doc_id": doc_id, "c": c, "sides": sides})
 
     return docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInPandas(run, "key long, doc_id long, c int, sides long")
 
@@ -132,7 +168,7 @@ def starred(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     these smallest ones: bucket, h (doc_id, lo, hi), of the buckets of several documents."""
     places = rows.groupBy("bucket", "f", "doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     heads = written(places.groupBy("bucket").agg(F.min(F.struct("doc_id", "lo", "hi")).alias("h"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("h.doc_id < last").select("bucket", "h", "n"), "heads")
-    hits = met(places, heads, ["bucket"], "n", ["doc_id", "bucket"]).filter("doc_id <> met.h.doc_id")
+    hits = met(places, heads, ["bucket"], "n", ["doc_id", "bucket"], hashed=True).filter("doc_id <> met.h.doc_id")
     return hits.select(F.col("met.h.doc_id").alias("a"), F.col("doc_id").alias("b"), "f", F.col("met.h.lo").alias("a_lo"), F.col("met.h.hi").alias("a_hi"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")).distinct(), heads
 
 
@@ -151,27 +187,28 @@ def stretches(hits: DataFrame, agree: int, least: int) -> DataFrame:
     )
 
 
-def inside(places: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataFrame:
-    """The places (doc_id, c) in one of the document's spans (lo, hi; ends included). Spans that touch are one, and they meet
-    places by stretches of the document, so that a long document does not pair all its places with all its spans."""
+def outside(places: DataFrame, spans: DataFrame, stretch: int = 1024) -> DataFrame:
+    """The rows whose place (doc_id, c) is in none of the document's spans (lo, hi; ends included). Spans that touch are one,
+    and they meet places by stretches of the document, so that a long document does not pair all its places with all its
+    spans."""
     order = Window.partitionBy("doc_id").orderBy("lo", "hi")
     begins = F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     apart = spans.withColumn("begins", begins.cast("int")).withColumn("k", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     by = apart.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("lo") / stretch), F.floor(F.col("hi") / stretch)))).drop("k")
-    return places.withColumn("stretch", F.floor(F.col("c") / stretch)).join(by, ["doc_id", "stretch"]).filter("c BETWEEN lo AND hi").select("doc_id", "c").distinct()
+    by = by.select(F.col("doc_id").alias("_d"), F.col("stretch").alias("_s"), "lo", "hi")
+    return places.join(by, (F.col("doc_id") == F.col("_d")) & (F.floor(F.col("c") / stretch) == F.col("_s")) & F.col("c").between(F.col("lo"), F.col("hi")), "left_anti")
 
 
 def still_open(found: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the buckets in which a place stands in no confirmed passage of its document, without the heads (they have
     met everyone) and without what has no smaller document left to meet: bucket, f, doc_id, c, open."""
     spans = pairs.select(F.col("b").alias("doc_id"), F.col("b_start").alias("lo"), (F.col("b_start") + F.col("b_words") - SIZE).alias("hi")).distinct()
-    settled = inside(found.select("doc_id", "c").distinct(), spans)
     others = heads.select("bucket", F.col("h.doc_id").alias("head"), "n")
     at = ["doc_id", "c", "f"]
-    free = met(sided(found.join(settled, ["doc_id", "c"], "left_anti")), others, ["bucket"], "n", at).filter("doc_id <> met.head")
+    free = met(sided(outside(found, spans)), others, ["bucket"], "n", at, hashed=True).filter("doc_id <> met.head")
     free = written(free.select("bucket", "f", "doc_id", "c", F.col("met.head").alias("head"), F.col("met.n").alias("n")), "free")
     last = written(free.groupBy("bucket").agg(F.max("doc_id").alias("last"), F.first("head").alias("head"), F.first("n").alias("n")), "last")
-    rest = met(sided(found), last, ["bucket"], "n", at).filter("doc_id <> met.head AND doc_id <= met.last").select("bucket", "f", "doc_id", "c")
+    rest = met(sided(found), last, ["bucket"], "n", at, hashed=True).filter("doc_id <> met.head AND doc_id <= met.last").select("bucket", "f", "doc_id", "c")
     return rest.join(free.select("doc_id", "c", F.lit(True).alias("open")).distinct(), ["doc_id", "c"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
@@ -180,12 +217,25 @@ def contexts(places: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     reach = least + GAP
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made() -> pd.DataFrame:
+            return pd.DataFrame({"doc_id": np.concatenate(ids), "c": np.concatenate(at).astype(np.int32), "bits": bits})
+
         for batch in batches:
+            # Many documents make one batch: most have few places.
+            ids, at, bits = [], [], []
             for doc_id, s, found in zip(batch["doc_id"], sequences(batch["text"], SIZE), batch["places"], strict=True):
                 s = (s >> np.uint64(32)).astype(np.uint32)
-                for i in range(0, len(found), 10_000):
-                    some = [int(c) for c in found[i : i + 10_000] if c < len(s)]
-                    yield pd.DataFrame({"doc_id": np.full(len(some), doc_id, np.int64), "c": np.array(some, np.int32), "bits": [s[max(0, c - reach) : c + reach + 1].tobytes() for c in some]})
+                found = found[found < len(s)]
+                for i in range(0, len(found), PLACES):
+                    some = found[i : i + PLACES]
+                    ids.append(np.full(len(some), doc_id, np.int64))
+                    at.append(some)
+                    bits += [s[max(0, c - reach) : c + reach + 1].tobytes() for c in some.tolist()]
+                    if len(bits) >= PLACES:
+                        yield made()
+                        ids, at, bits = [], [], []
+            if bits:
+                yield made()
 
     of = places.groupBy("doc_id").agg(F.collect_set("c").alias("places"))
     return docs.select(F.col("doc_id").cast("long"), "text").join(of, "doc_id").mapInPandas(cut, "doc_id long, c int, bits binary").withColumn("around", F.xxhash64("bits"))
@@ -217,12 +267,15 @@ class Around:
     def may_share(self, hit: np.ndarray) -> np.ndarray:
         """hit: for each other text, which of ``values`` it has. Whether some stretch of a passage's length has the share
         of its distinct shingles there that the similarity asks for; texts without such a stretch share no passage."""
-        if not self.apart:
-            return hit.sum(axis=1) >= self.need
+        enough = np.count_nonzero(hit, axis=1) >= self.need - 1e-3 * self.apart
+        if not self.apart or not enough.any():
+            return enough
+        hit = hit[enough]
         sums = np.zeros((len(hit), hit.shape[1] + 1), np.float32)
         np.cumsum(hit - np.float32(self.similarity), axis=1, out=sums[:, 1:])
         least, (ends, begins) = np.minimum.accumulate(sums, axis=1), self.lengths
-        return (sums[:, ends] - least[:, begins] > -1e-3).any(axis=1)
+        enough[enough] = (sums[:, ends] - least[:, begins] > -1e-3).any(axis=1)
+        return enough
 
 
 def fewest_distinct(s: np.ndarray, distinct: int, least: int) -> float:
@@ -244,20 +297,19 @@ def nearest(ids: np.ndarray, around: list[Around], lower: np.ndarray, upper: np.
     todo, out = upper.tolist(), []
     for x in range(0, len(lower), TILE):
         xs = lower[x : x + TILE]
-        values = np.unique(np.concatenate([around[q].values for q in xs]))
+        sizes = np.array([len(around[q].values) for q in xs])
+        values, column = np.unique(np.concatenate([around[q].values for q in xs]), return_inverse=True)
         # Where each value stands in each text, from 1 on; 0: nowhere. The last column: values that none has.
-        where = np.zeros((len(xs), len(values) + 1), np.int16 if max(len(around[q].values) for q in xs) < 1 << 15 else np.int32)
-        for row, q in enumerate(xs):
-            v = around[q].values
-            where[row, np.searchsorted(values, v)] = np.arange(1, len(v) + 1)
+        where = np.zeros((len(xs), len(values) + 1), np.int16 if sizes.max() < 1 << 15 else np.int32)
+        where[np.repeat(np.arange(len(xs)), sizes), column] = counted(sizes) + 1
         open_, todo = todo, []
         for r in open_:
             one, n = around[r], int(np.searchsorted(ids[xs], ids[r]))
             at = np.searchsorted(values, one.values)
             known = values[np.minimum(at, len(values) - 1)] == one.values
             found = None
-            # First against all of the tile together: what nobody has, as after an edit, most often decides.
-            if n and one.may_share(known[None, :])[0]:
+            # First against all of the tile together, if they are many: what nobody has, as after an edit, may decide.
+            if n and (n < FEW or one.may_share(known[None, :])[0]):
                 places = where[:n][:, np.where(known, at, len(values))]
                 for row in np.flatnonzero(one.may_share(places > 0)):
                     other = around[xs[row]]
@@ -329,10 +381,12 @@ def exact_runs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
         best = (0, 0)
         for j in order[first[i] : last[i]].tolist():
             n = min(len(a) - j, len(b) - i)
-            if n <= best[0]:
+            # What is to be longer goes on where the best so far ends.
+            if n <= best[0] or a[j + best[0]] != b[i + best[0]]:
                 continue
             differ = a[j : j + n] != b[i : i + n]
-            n = int(differ.argmax()) if differ.any() else n
+            first_ = int(differ.argmax())
+            n = first_ if differ[first_] else n
             best = max(best, (n, j), key=lambda x: x[0])
         out.append((best[1], i, best[0]))
         k = int(np.searchsorted(places, i + best[0]))
@@ -368,6 +422,9 @@ def passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float, place:
     sides is a passage. So an exact run of that length is always part of one."""
     out, now = [], None
     place = places_in(a, b) if place is None else place
+    # k shared ones of a passage are at least similarity * (2 * least - k).
+    if place is not None and (1 + similarity) * np.count_nonzero(place >= 0) < similarity * 2 * least - 1e-6:
+        return out
 
     def jaccard(p: int, q: int, i: int, j: int) -> float:
         if place is not None:
@@ -462,7 +519,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float =
     made = spark.read.schema("key long, doc_id long, c int, sides long").parquet(made_path)
     # Most keys stand in one document: they are counted alone, without the windows.
     often = written(made.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "n"), "keys")
-    repeated = written(met(made, often, ["key"], "n", ["doc_id", "c"]).filter("met IS NOT NULL").drop("met"), "windows")
+    repeated = written(met(made, often, ["key"], "n", ["doc_id", "c"], hashed=True).filter("met IS NOT NULL").drop("met"), "windows")
     drop_path(spark, made_path)
     hits, heads = starred(sided(repeated))
     first = verified(written(stretches(hits, agree, least), "stretches"), docs, least, similarity)

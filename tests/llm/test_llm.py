@@ -152,6 +152,74 @@ def test_compact_windows_cover_each_stretch_once():
             assert fit == [i + int(v[i : j + 1].argmin())]
 
 
+def test_minima_of_stretches_are_those_of_the_windows():
+    rng = np.random.default_rng(8)
+    for least in (1, 2, 7, 46):
+        for n in (0, 1, least - 1, least, 90, 700):
+            v = rng.integers(0, (3, 40, 1 << 40)[n % 3], n)
+            at = substring_dedup.least_at(v, least)
+            assert at.tolist() == [i + int(v[i : i + least].argmin()) for i in range(n - least + 1)]
+            assert sorted(set(at.tolist())) == sorted({c for _, c, _ in substring_dedup.compact_windows(v, least)} if n else [])
+
+
+def test_windows_of_texts_are_those_of_their_stretches(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(map(str, np.repeat(v, rng.integers(1, 9, n)) if i % 3 else v)) for i, n in enumerate((0, 3, 11, 12, 13, 40, 200, 300)) for v in [rng.integers(0, 4 if i % 2 else 900, n)]]
+    rows = [(i, t) for i, t in enumerate([*texts, None, "one " * 50])]
+    got = {(r.doc_id, r.sides >> 34, r.c, r.key % (1 << 64)) for r in substring_dedup.windows(docs(spark, rows).coalesce(1), 2, 8).collect()}
+    want = set()
+    for (i, _), s in zip(rows, shingles.sequences([t for _, t in rows], 5), strict=True):
+        for f in range(2 if len(s) >= 8 else 0):
+            v, (_, at) = shingles.mixed(s ^ shingles.constants(2, 41)[f]), substring_dedup.runs(s)
+            for _, k, _ in substring_dedup.compact_windows(v[at[:-1]], 8, at.tolist()):
+                want |= {(i, f, int(c), int(v[at[k]])) for c in (at[k], at[k + 1] - 1)}
+    assert got == want and {9, 7} < {x[0] for x in want}
+
+
+def test_places_of_many_documents_and_of_a_long_one(spark):
+    rows = [(i, " ".join(words(20 + i, 12_100 if i == 3 else 70, 10**6))) for i in range(8)]
+    places = [(3, c) for c in range(12_090)] + [(i, c) for i in range(8) if i != 3 for c in (0, 30, 65, 66, 900)]
+    got = {(r.doc_id, r.c): bytes(r.bits) for r in substring_dedup.contexts(spark.createDataFrame(places, "doc_id long, c int"), docs(spark, rows).coalesce(1), 46).collect()}
+    s = {i: (x >> np.uint64(32)).astype(np.uint32) for (i, _), x in zip(rows, shingles.sequences([t for _, t in rows], 5), strict=True)}
+    assert got == {(i, c): s[i][max(0, c - 56) : c + 57].tobytes() for i, c in places if c < len(s[i])}
+
+
+def test_places_outside_all_spans(spark):
+    rng = np.random.default_rng(6)
+    places = sorted({(int(d), int(c)) for d, c in zip(rng.integers(0, 9, 600), rng.integers(0, 5000, 600), strict=True)})
+    spans = [(int(d), int(lo), int(lo + n)) for d, lo, n in zip(rng.integers(0, 8, 60), rng.integers(0, 4500, 60), rng.integers(0, 1500, 60), strict=True)]
+    out = substring_dedup.outside(spark.createDataFrame([(*p, 1) for p in places] + [(8, 1, 2)], "doc_id long, c int, key int"), spark.createDataFrame(spans, "doc_id long, lo long, hi long"))
+    want = [(d, c, 1) for d, c in places if not any(d == e and lo <= c <= hi for e, lo, hi in spans)] + [(8, 1, 2)]
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) < len(places)
+
+
+def test_groups_that_meet_without_a_sort(spark):
+    rows = spark.createDataFrame([(i % 1500 if i % 7 else None, i) for i in range(6000)], "key long, doc_id long")
+    groups = common.written(rows.filter("key % 3 = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "groups")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one, two = (common.met(rows, groups, ["key"], "n", ["doc_id"], hashed=x) for x in (False, True))
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and one.count() == 6000
+        plan = two._jdf.queryExecution().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_exact_runs_are_the_longest_matches():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = (rng.integers(0, 4, rng.integers(1, 40)).astype(np.uint64) for _ in "ab")
+        want, i = [], 0
+        while i < len(b):
+            fits = [(next((k for k in range(min(len(a) - j, len(b) - i)) if a[j + k] != b[i + k]), min(len(a) - j, len(b) - i)), -j) for j in range(len(a))]
+            n, j = max(fits)
+            want += [(-j, i, n)] if n else []
+            i += max(n, 1)
+        assert substring_dedup.exact_runs(a, b) == want
+
+
 def test_repeated_passages(spark):
     shared, near = words(50, 60), words(51, 120)
     edited = list(near)
