@@ -62,11 +62,12 @@ def own(rows: DataFrame) -> DataFrame:
 
 
 def running_sums(rows: DataFrame, key: list[str], values: dict[str, Column]) -> DataFrame:
-    """Blocked rows without leads, with the sums of ``values`` from the sequence's begin to each row; null values count 0."""
-    rows = rows.withColumns({f"_v_{name}": F.coalesce(v, F.lit(0.0)) for name, v in values.items()})
+    """Blocked rows without leads, with the sums of ``values`` from the sequence's begin to each row; null values count 0.
+    Sums are of the values' type: exact for decimals."""
+    rows = rows.withColumns({f"_v_{name}": F.coalesce(v, F.lit(0)) for name, v in values.items()})
     over = Window.partitionBy(*key).orderBy("block").rowsBetween(ALL, -1)
     sums = rows.groupBy(*key, "block").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
-    carry = sums.withColumns({f"_s_{name}": F.coalesce(F.sum(f"_s_{name}").over(over), F.lit(0.0)) for name in values})
+    carry = sums.withColumns({f"_s_{name}": F.coalesce(F.sum(f"_s_{name}").over(over), F.lit(0)) for name in values})
     inside = Window.partitionBy(*key, "block").orderBy("t").rowsBetween(ALL, 0)
     out = attached(rows.withColumns({name: F.sum(f"_v_{name}").over(inside) for name in values}), carry, [*key, "block"])
     return out.withColumns({name: F.col(name) + F.col(f"_s_{name}") for name in values}).drop(*[f"{p}{name}" for name in values for p in ("_v_", "_s_")])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from agentlens.operators.scans import BLOCK, blocked, last_rows, own, placed, running_min, running_moments, running_sums
 
 ALL = Window.unboundedPreceding
+#: A step of the pacer's walk: up to 20 digits before the point, rounded to 18 behind it.
+STEP = "decimal(38,18)"
 
 
 def rolling_reward(decisions: DataFrame, n: int = 20, least: int = 3, block: int = BLOCK) -> DataFrame:
@@ -30,11 +32,14 @@ def drift_alerts(decisions: DataFrame, sigma: float = 2.0, window: int = 50, lea
 
 def budget_pacer(decisions: DataFrame, ceiling: float, key: str, eta: float = 0.5, window: int = 100, block: int = BLOCK) -> DataFrame:
     """The pacer's multiplier after each decision. The recursion max(0, last + step) is a reflected walk: the running sum
-    of the steps less its running minimum (0 at most), so two scans give it. ``key`` is the tenant; tenants are paced apart."""
+    of the steps less its running minimum (0 at most), so two scans give it. The steps are decimals, as the sum moves away
+    from 0 for as long as the tenant stays under its ceiling: what came before the minimum cancels out whole, where doubles
+    would leave their rounding. ``key`` is the tenant; tenants are paced apart."""
     rows = placed(decisions.select(key, "id", "cost_usd"), [key], ["id"]).drop("n")
     rows = own(blocked(rows, block, window - 1).withColumn("mean_cost", F.avg("cost_usd").over(last_rows([key], window))))
-    rows = running_min(running_sums(rows, [key], {"s": eta * (F.col("mean_cost") - ceiling)}), [key], "s", "low")
-    lam = F.col("s") - F.least(F.lit(0.0), F.col("low"))
+    step = (eta * (F.col("mean_cost") - ceiling)).cast(STEP)
+    rows = running_min(running_sums(rows, [key], {"s": step}), [key], "s", "low")
+    lam = (F.col("s") - F.least(F.lit(0), F.col("low"))).cast("double")
     return rows.select(key, "id", "mean_cost", lam.alias("multiplier"), (F.lit(ceiling) - F.col("mean_cost")).alias("headroom"), (F.col("mean_cost") > ceiling).alias("over"))
 
 

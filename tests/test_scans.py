@@ -2,6 +2,7 @@
 
 import random
 import statistics
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,6 +59,19 @@ def test_rolling_and_drift(spark, log, block):
     assert {r.id: (r.n, r.mean, r.std, r.recent) for r in found} == alerts and len(alerts) > 5
 
 
+@pytest.mark.parametrize("block", [150, 1000])
+def test_pacer_far_under_its_ceiling(spark, block):
+    # The sum of the steps is at -60,000 when the costs begin to pass the ceiling by little.
+    costs = [0.0] * 300 + [400.0 + (i % 5) / 1024 for i in range(200)]
+    df = sequences.budget_pacer(spark.createDataFrame(list(enumerate(["t"] * 500)), "id int, k string").join(spark.createDataFrame(list(enumerate(costs)), "id int, cost_usd double"), "id"), 400.0, "k", eta=0.1, window=3, block=block)
+    lam, want = Fraction(0), []
+    for i in range(500):
+        last = costs[max(0, i - 2) : i + 1]
+        lam = max(Fraction(0), lam + Fraction(0.1 * (sum(last) / len(last) - 400.0)))
+        want.append(pytest.approx(float(lam), abs=1e-14))
+    assert [r.multiplier for r in df.orderBy("id").collect()] == want and lam > 0.03
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_pacer_regret_and_swaps(spark, log, block):
     rows, df = log
