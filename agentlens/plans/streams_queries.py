@@ -117,6 +117,8 @@ def markdown(docs):
 def attempt_files(c):
     path = shared_path(c.sparkSession, "attempt-files")
     whole = F.to_json(F.struct(F.lit("r").alias("repo"), F.col("c_mktsegment").alias("arm"), F.when(F.col("c_nationkey") >= 5, F.col("c_acctbal") / 100).alias("cost_usd"), F.lit("x").alias("unknown")))
+    # Rows are short and each makes a file, so they are dealt to all cores, however few parts the table has.
+    c = c.repartition(4 * c.sparkSession.sparkContext.defaultParallelism)
     # A negative balance stands for an attempt whose file was cut off.
     logs.write_files(c.withColumn("whole", whole).select(F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".json")).alias("name"), F.when(F.col("c_acctbal") < 0, F.expr("substring(whole, 1, length(whole) - 7)")).otherwise(F.col("whole")).alias("body")), path)
     rows = logs.attempt_files(c.sparkSession, path, "arm string, cost_usd double, tier string", {"cost_usd": 0.0})

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agentlens.sources.paths import shared_path
+
 #: Columns that older logs may lack, with the value that keeps their meaning.
 DECISION_DEFAULTS = {
     "id": "bigint", "ts": "timestamp", "task_id": "string", "selected_agent": "string", "strategy": "string", "success": "int", "reward": "double",
@@ -42,14 +49,98 @@ def attempts(spark: SparkSession, path: str, schema: str, defaults: dict, multi_
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
+def _entries(store, folder: str) -> Iterator[tuple[str, bool]]:
+    """Path and whether it is a folder of what lies in a folder; files without a byte, and what Spark's reader takes as
+    hidden, are left out. Local folders are gone through entry by entry, those of other stores come as one list."""
+    if store.type_name == "local":
+        with os.scandir(folder) as found:
+            seen = ((e.name, e.path, e.is_dir(), e.is_file() and e.stat().st_size > 0) for e in found)
+            yield from ((path, is_dir) for name, path, is_dir, filled in seen if (is_dir or filled) and not _hidden(name))
+        return
+    from pyarrow import fs
+
+    for i in store.get_file_info(fs.FileSelector(folder)):
+        is_dir = i.type == fs.FileType.Directory
+        if (is_dir or i.size) and not _hidden(i.base_name):
+            yield i.path, is_dir
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(spark: SparkSession, path: str, root: str, glob: str, files_per_task: int) -> DataFrame:
+    """The files under a folder, hidden and empty ones left out, as a table (file). Tasks list the folders level by level."""
+    to, level = shared_path(spark, "listing"), 0
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, rows = fs.FileSystem.from_uri(path)[0], []
+        for b in batches:
+            for folder in b["file"]:
+                for file, is_dir in _entries(store, folder):
+                    if is_dir or fnmatchcase(file.rpartition("/")[2], glob):
+                        rows.append((file, is_dir))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["file", "folder"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["file", "folder"])
+
+    folders, n = spark.createDataFrame([(root,)], "file string"), 1
+    while n:
+        tasks = max(min(n, spark.sparkContext.defaultParallelism), -(-n // files_per_task))
+        folders.repartition(tasks).mapInPandas(entries, "file string, folder boolean").write.parquet(f"{to}/level={level}")
+        folders = spark.read.schema("file string, folder boolean").parquet(f"{to}/level={level}").filter("folder").select("file")
+        n, level = folders.count(), level + 1
+    return spark.read.schema("file string, folder boolean").parquet(to).filter("NOT folder").select("file")
+
+
+def whole_files(spark: SparkSession, path: str, glob: str = "*", files_per_task: int = 2000) -> DataFrame:
+    """The files under a folder whose name fits ``glob``, each read whole: path, value; ``files_per_task`` to a task.
+
+    Spark's reader holds the list of all files on the driver. Here tasks list the folders into a table and its rows are
+    dealt to the tasks that read them, so that the driver holds none. Where only Spark reaches the store, and for patterns
+    and single files, Spark's reader it is, with its list."""
+    from pyarrow import fs
+
+    local = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+    try:
+        store, root = fs.FileSystem.from_uri(path) if (":" in path or local) and not re.search(r"[*?\[\]{}\\%]", path) else (None, "")
+    except (pa.ArrowInvalid, OSError):
+        store, root = None, ""
+    if store is None or store.get_file_info(root).type != fs.FileType.Directory:
+        found = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+        tasks = -(-len(found.inputFiles()) // files_per_task)
+        return found.select(F.col("_metadata.file_path").alias("path"), "value").coalesce(max(1, tasks))
+    at = urlsplit(path)
+    begin = "file:" if store.type_name == "local" else f"{at.scheme}://{at.netloc if root.startswith('/') else ''}"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, names, bodies, size = fs.FileSystem.from_uri(path)[0], [], [], 0
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                with store.open_input_stream(file) as f:
+                    bodies.append(f.read())
+                # As Spark names files: the characters that no URI may hold are escaped.
+                names.append(begin + re.sub(r"[\x00-\x20\x7f-\xa0%#?\"<>\[\]^`{|}\\]", lambda c: quote(c[0]), file))
+                size += len(bodies[-1])
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], ["path", "value"])
+                    names, bodies, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], ["path", "value"])
+
+    files = _listed(spark, path, root.rstrip("/") or "/", glob, files_per_task)
+    tasks = -(-files.count() // files_per_task)
+    return files.repartition(max(1, tasks)).mapInArrow(read, "path string, value binary").withColumn("value", F.col("value").cast("string"))
+
+
 def attempt_files(spark: SparkSession, path: str, schema: str, defaults: dict, files_per_task: int = 2000) -> DataFrame:
     """One JSON file an attempt, each read whole: the schema's columns, path and torn (the file holds no JSON object).
 
     Small files are read ``files_per_task`` to a task. Unknown fields are dropped, a null becomes its field's default; a
     torn file has nulls, so that it can be set apart instead of lost. A file without any byte is no attempt."""
-    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    tasks = -(-len(found.inputFiles()) // files_per_task)
-    rows = found.select("value", F.col("_metadata.file_path").alias("path")).coalesce(max(1, tasks))
+    rows = whole_files(spark, path, files_per_task=files_per_task)
     parsed = rows.select("path", F.from_json("value", f"{schema}, _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("r")).select("path", "r.*")
     torn = F.col("_torn").isNotNull()
     return parsed.withColumns({c: F.when(~torn, F.coalesce(F.col(c), F.lit(v))) for c, v in defaults.items()}).withColumn("torn", torn).drop("_torn")

@@ -116,3 +116,16 @@ def test_small_files_and_torn_ones(spark):
     found = got.collect()
     assert len(found) == len(rows) - 1 and {r.path.rsplit("/", 1)[1] for r in found if r.torn} >= {f"{i}.json" for i in range(0, 60, 5)} | {"list.json"}
     assert {(r.arm, r.cost_usd) for r in found if not r.torn and r.arm} == {(f"a{i}", 0.5) for i in range(3)}
+
+
+def test_attempt_files_are_listed_by_tasks(spark):
+    path = shared_path(spark, "files")
+    names = [f"r{i % 7}/s {i % 3}/{i}.json" for i in range(90)] + ["top.json", ".hidden/x.json", "_hidden/x.json", "r1/_x.json", "r1/k=1/_k=1.json", "r1/50%.json", "r1/empty.json"]
+    logs.write_files(spark.createDataFrame([(n, "" if "empty" in n else '{"arm": "%s"}' % n) for n in names], "name string, body string"), path)
+    got = logs.attempt_files(spark, path, "arm string", {}, files_per_task=40)
+    # The driver's plan holds the table that the tasks made of the folders, not one entry a file.
+    assert not any(f.endswith(".json") for f in got.inputFiles()) and got.rdd.getNumPartitions() == 3
+    plain = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("_metadata.file_path", "value").collect()
+    assert sorted((r.path, '{"arm": "%s"}' % r.arm) for r in got.collect()) == sorted(map(tuple, plain)) and len(plain) == 93
+    for single in (f"{path}/r*", f"{path}/top.json"):
+        assert logs.attempt_files(spark, single, "arm string", {}).count() == (92 if "*" in single else 1)
