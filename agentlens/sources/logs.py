@@ -182,7 +182,7 @@ def write_csv(rows: DataFrame, path: str, formats: dict[str, str]) -> None:
 def markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Documents under a folder: path, title (first heading, else the file's stem), date (name's prefix), kind (first
     folder), body; empty and index files are left out."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("path"))
+    rows = whole_files(spark, path, "*.md").withColumnRenamed("value", "body")
     root = path.rstrip("/").split("://")[-1]
     inner = F.regexp_replace(F.substring_index("path", root, -1), "^/", "")
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)

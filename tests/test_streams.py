@@ -129,3 +129,12 @@ def test_attempt_files_are_listed_by_tasks(spark):
     assert sorted((r.path, '{"arm": "%s"}' % r.arm) for r in got.collect()) == sorted(map(tuple, plain)) and len(plain) == 93
     for single in (f"{path}/r*", f"{path}/top.json"):
         assert logs.attempt_files(spark, single, "arm string", {}).count() == (92 if "*" in single else 1)
+
+
+def test_markdown_is_listed_by_tasks(spark):
+    path = shared_path(spark, "notes")
+    bodies = {"en/2024-05-01-a.md": "text", "en/deep/b.md": "x\n# Head \n", "c.md": "\u00e9", "en/readme.md": "no", "en/d.txt": "no", "en/blank.md": " \n", "e.md": ""}
+    logs.write_files(spark.createDataFrame(list(bodies.items()), "name string, body string"), path)
+    got = logs.markdown_corpus(spark, path)
+    assert not any(f.endswith(".md") for f in got.inputFiles())
+    assert {(r.title, r.date, r.kind, r.body) for r in got.collect()} == {("2024-05-01-a", "2024-05-01", "en", "text"), ("Head", "", "en", "x\n# Head \n"), ("c", "", "", "\u00e9")}
