@@ -1,5 +1,8 @@
 """Rules with fixed values: inputs that tell them from near misses."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,26 @@ def test_keyword_summary(spark):
     assert [r.t for r in df.select(X.hits_text(F.col("h")).alias("t")).collect()] == ["Top hit first tie second tie", ""]
 
 
+def test_keyword_summary_finds_its_words_once(spark, capsys):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["Ab-", "aB_", "THE", "the", "x", "q9"]) + rng.choice(["", "cd", "CD", " - ", "7", "\n"]) for _ in range(n)) for n in (0, 1, 5, 60, 400)] + [" ".join(f"Word{i % 70} word{i % 70}" for i in range(3000)), None]
+
+    def words(text):
+        found = {}
+        for w in re.findall("[A-Za-z][A-Za-z0-9_-]{2,}", text):
+            if w.lower() not in X.SUMMARY_STOPWORDS:
+                found.setdefault(w.lower(), w)
+        return ", ".join(list(found.values())[:50])
+
+    want = [None if t is None else words(t) for t in texts]
+    assert each(spark, texts, X.keyword_summary) == want
+    assert each(spark, texts, lambda c: X.augmented(F.lit("p"), X.keyword_summary(c))) == [f"p [{w}]" if w else "p" for w in want]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.augmented(F.col("t"), X.keyword_summary(F.col("t"))).alias("a"))
+    capsys.readouterr()
+    df.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all(") == 1
+
+
 def test_funnel_class(spark):
     lines = lambda n: "\n".join("x" * n)
     table = {
